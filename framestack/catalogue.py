@@ -1,6 +1,4 @@
-"""The registered queries and their SQL."""
+"""All registered queries of the library, without those of the corpus operators."""
 
-from __future__ import annotations
-
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import grid_queries, match_queries, night_queries, rule_queries, scalar_queries, source_queries, stack_queries  # noqa: F401
+from .plans.registry import ORACLES, QUERIES  # noqa: F401
