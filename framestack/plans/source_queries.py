@@ -1 +1,64 @@
+"""Tile and receipt queries over the tables."""
 
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from ..operators import tiles
+from ..sources import fits, records
+from .registry import query, r, table
+from .stack_queries import CLIPPED
+
+
+@query(
+    "stack_tile_udf",
+    CLIPPED.replace("l_partkey", "k").replace("FROM lineitem GROUP BY 1)", "FROM s0 GROUP BY 1)", 1).replace("FROM lineitem l JOIN m USING (k)", "FROM s0 l JOIN m USING (k)").replace("WITH m AS", "WITH s0 AS (SELECT l_partkey AS k, l_suppkey, avg(l_extendedprice)::FLOAT::DOUBLE AS l_extendedprice FROM lineitem GROUP BY 1, 2), m AS", 1)
+    + "SELECT k AS l_partkey, round(avg(CASE WHEN ok THEN l_extendedprice END), 0) AS mean, count(*) FILTER (WHERE ok) AS accepted FROM c GROUP BY 1",
+)
+def stack_tile_udf(spark, sf_dir):
+    """The tile form: a frame is a supplier, a band holds 64 parts; cells without a sample are NaN."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.avg("l_extendedprice").alias("v"))
+    rows = rows.select(F.col("l_suppkey").alias("frame"), F.floor(F.col("l_partkey") / 64).cast("int").alias("y0"), (F.col("l_partkey") % 64).cast("int").alias("x"), F.col("v").cast("float").alias("v"))
+
+    def band(part: pa.Table) -> pa.Table:
+        data = np.full(64, np.nan, "<f4")
+        data[part["x"].to_numpy()] = part["v"].to_numpy()
+        return pa.table({"frame": part["frame"][:1], "y0": part["y0"][:1], "rows": pa.array([1], pa.int32()), "width": pa.array([64], pa.int32()), "data": pa.array([data.tobytes()], pa.binary())})
+
+    bands = rows.groupBy("frame", "y0").applyInArrow(band, "frame long, y0 int, rows int, width int, data binary")
+    out = tiles.stack_tiles(bands.withColumn("g", F.lit(0)), ["g"], "frame")
+
+    def spread(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                mean, n = np.frombuffer(row["data"], "<f4"), np.frombuffer(row["accepted"], "<u2")
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_pydict({"l_partkey": row["y0"] * 64 + at, "mean": mean[at].astype(float), "accepted": n[at].astype(np.int64)})
+
+    flat = out.mapInArrow(spread, "l_partkey long, mean double, accepted long")
+    return flat.select("l_partkey", F.round("mean", 0).alias("mean"), "accepted")
+
+
+@query("receipts", """SELECT r_regionkey, 'sha256:' || sha256('{"r_name":"' || r_name || '","r_regionkey":' || r_regionkey || '}') AS receipt FROM region""")
+def receipts(spark, sf_dir):
+    return records.with_receipt(table(spark, sf_dir, "region").select("r_regionkey", "r_name")).select("r_regionkey", "receipt")
+
+
+@query(
+    "numeric_domain",
+    "SELECT p_partkey, round(CASE WHEN p_size > 25 THEN 1.0 / (p_size - 25) WHEN p_partkey % 3 = 0 THEN 1 / 255.0 WHEN p_partkey % 3 = 1 THEN 1 / 65535.0 ELSE 1.0 END + 1e-9, 8) AS scale FROM part",
+)
+def numeric_domain(spark, sf_dir):
+    bits = F.when(F.col("p_partkey") % 3 == 0, 8).when(F.col("p_partkey") % 3 == 1, 16).otherwise(-32)
+    return table(spark, sf_dir, "part").select("p_partkey", r(fits.domain_scale(bits, F.lit(25), F.col("p_size")), 8).alias("scale"))
+
+
+@query(
+    "cache_missing",
+    "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 20)",
+)
+def cache_missing(spark, sf_dir):
+    cached = table(spark, sf_dir, "lineitem").where("l_quantity > 20").select(F.col("l_orderkey").alias("o_orderkey"))
+    return records.missing_from_cache(table(spark, sf_dir, "orders").select("o_orderkey"), cached, ["o_orderkey"])
