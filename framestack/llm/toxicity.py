@@ -154,7 +154,7 @@ def train(texts: list[np.ndarray], label: np.ndarray, langs: list[str | None], e
     memory = [np.zeros_like(v) for v in (model.embedding, *model.filters, *model.bias, model.weight)]
     offset_memory = 0.0
     share = max(1e-3, float(label[fit].mean())) if len(fit) else 0.5
-    for _ in range(epochs if 0 < share < 1 else 0):
+    for _ in range(epochs if len(fit) and 0 < share < 1 else 0):
         for chosen in np.array_split(rng.permutation(fit), max(1, len(fit) // BATCH)):
             best, where, first, second = model.pooled([texts[i] for i in chosen], places=True)
             active = np.maximum(best, 0)

@@ -1,0 +1,154 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from framestack.llm import langid, mjpeg, quality, queries, secret_scan, toxicity
+
+BIG = "/root/testdata/sf0.01"
+
+
+def fold(i, n):
+    return zlib.crc32(str(i).encode()) % n
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return {r["doc_id"]: r for r in spark.read.parquet(f"{BIG}/labels.parquet").collect()}
+
+
+def test_op5_accuracy(spark):
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "lang").collect()}
+    got = queries.op5_language(spark, BIG).collect()
+    assert len(got) == len(truth) and all(r["held_out"] == (fold(r["doc_id"], 5) == 0) and 0 <= r["score"] <= 1 for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.95
+
+
+def test_op5_odd_rows(odd, empty, spark):
+    d = {"en": langid.letters("the quick brown fox and the lazy dog were here " * 40), "fr": langid.letters("le chat et la souris dans les bois avec une amie " * 40)}
+    got = {r["doc_id"]: r for r in langid.classify(odd, d).collect()}
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (2, 3, 6, 11)) and got[7]["lang_pred"] in d
+    assert langid.classify(empty, d).count() == 0 and langid.train(empty) == {}
+    assert langid.Compressors({}).predict("text")[0] == "und"
+    assert langid.Compressors(d).predict("the dog and the fox")[0] == "en"
+
+
+def test_op6_accuracy_and_folds(spark, labels):
+    got = queries.op6_toxicity(spark, BIG).collect()
+    assert all(r["held_out"] == (fold(r["doc_id"], 3) == 1) and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    held = [r for r in got if r["held_out"] and r["doc_id"] in labels]
+    y, s = np.array([labels[r["doc_id"]]["toxic"] for r in held]), np.array([r["score"] for r in held])
+    assert np.mean(s[y == 1][:, None] > s[y == 0][None]) > 0.85
+    assert np.mean(s[y == 0] >= 0.7) < 0.06
+
+
+def test_op6_pooling_is_that_of_each_text():
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (5, 0, 1, 200, 2)]
+    model = toxicity.train(texts * 4, np.array([1, 0, 0, 1, 0] * 4), ["en"] * 20, epochs=1)
+    whole = model.logits(texts)
+    assert np.allclose(whole, [model.logits([t])[0] for t in texts], atol=1e-4)
+    best, where, first, second = model.pooled(texts, places=True)
+    assert np.allclose(best, model.pooled(texts)[0])
+
+
+def test_op6_odd_rows(odd, empty):
+    model = toxicity.train([toxicity.word_hashes(t) for t in ("bad awful", "nice day") * 10], np.array([1, 0] * 10), ["en"] * 20)
+    got = toxicity.classify(odd, model).collect()
+    assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] in (2, 3, 6)}) == 1
+    assert toxicity.classify(empty, model).count() == 0 and toxicity.without_toxic(odd, model).columns == odd.columns
+    nothing = toxicity.train([], np.array([]), [])
+    assert 0 <= nothing.scores([toxicity.word_hashes("a b")])[0][0] <= 1
+
+
+def test_op10_accuracy(spark, labels):
+    got = queries.op10_quality(spark, BIG).collect()
+    held = [r for r in got if r["held_out"] and r["doc_id"] in labels]
+    assert all(r["held_out"] == (fold(r["doc_id"], 3) == 1) and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    assert np.mean([r["predicted"] == labels[r["doc_id"]]["quality"] for r in held]) > 0.93
+
+
+def test_op10_density_is_the_gaussian_one(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, len(quality.NAMES)))
+    x[200:] += 1
+    rows = spark.createDataFrame([(int(i >= 200), *map(float, r)) for i, r in enumerate(x)], ["label", *quality.NAMES])
+    model = quality.fit(rows)
+    share = quality.SHRINK + len(quality.NAMES) / 200
+    pooled = (np.cov(x[:200].T, bias=True) + np.cov(x[200:].T, bias=True)) / 2
+    want = []
+    for part in (x[:200], x[200:]):
+        s = (1 - share) * np.cov(part.T, bias=True) + share * np.diag(np.diag(pooled) + 1e-3)
+        d = x - part.mean(0)
+        want.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) - 0.5 * np.linalg.slogdet(s)[1])
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-(want[1] - want[0]) / quality.TEMPER)), atol=1e-6)
+    assert quality.fit(rows.where("label = 1")).score(x[:3]).tolist() == [0.5] * 3
+
+
+def test_op10_odd_rows(odd, empty):
+    f = quality.features(odd)
+    assert f.count() == odd.count() and f.where("words = 0").count() == 3
+    model = quality.Discriminant([], [], [])
+    assert quality.score(quality.features(empty), model).count() == 0
+    assert {r["score"] for r in quality.score(f, model).collect()} == {0.5}
+
+
+def test_op2_finds_planted_secrets_only(spark, data, texts):
+    got = {r["doc_id"]: r for r in queries.op2_secret_scan(spark, data).collect()}
+    import re
+
+    planted = re.compile(r'token = "[0-9a-f]{40}"|password=[0-9a-f]{18}\b|AKIA[A-Z0-9]{16}')
+    for i, t in texts.items():
+        assert got[i]["n_findings"] == len(planted.findall(t)), t
+    forest = secret_scan.train(secret_scan.labelled_findings())
+    bad = ["commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff fixed", "id 123e4567-e89b-12d3-a456-426614174000", "api_key = your_api_key_here", "card 4111111111111111", "see docs/guide/install/index.html now", "mail me a.long.name42@mail2.example.com"]
+    assert secret_scan.scan_text(bad, forest, 0.5) == [[]] * len(bad)
+    pem = "x -----BEGIN PRIVATE KEY-----\nMIIabc\n-----END PRIVATE KEY----- y"
+    found = secret_scan.scan_text([pem], forest, 0.5)[0]
+    assert len(found) == 1 and pem[found[0]["start"] : found[0]["end"]].startswith("-----BEGIN")
+
+
+def test_op2_redaction_and_odd_rows(spark, odd, empty):
+    forest = secret_scan.train(secret_scan.labelled_findings(600))
+    text = "é password=45bb0d53635bf1b89d and token = \"1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae\" end"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "plain")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact(secret_scan.scan(df, forest)).collect()}
+    assert got == {1: 'é password=<secret> and token = "<secret>" end', 2: None, 3: "plain"}
+    assert secret_scan.scan(odd, forest).count() == odd.count() and secret_scan.scan(empty, forest).count() == 0
+
+
+def test_op4_payload_and_form(spark, data, texts):
+    import hashlib
+
+    got = {r["doc_id"]: r for r in queries.op4_media_clips(spark, data).collect()}
+    for i, t in texts.items():
+        raw = (t or "").encode()
+        full = raw + b"\xff" * (-len(raw) % 576 or 576 * (not raw))
+        assert (got[i]["n_bytes"], got[i]["payload_bytes"]) == (len(raw), len(full))
+        assert got[i]["payload_sha256"] == hashlib.sha256(full).hexdigest() and got[i]["tail_crc32"] == zlib.crc32(full[-32:])
+
+
+def test_op4_odd_rows(odd, empty):
+    got = {r["doc_id"]: r for r in mjpeg.unpack(mjpeg.pack(odd)).collect()}
+    assert got[2]["payload"] == got[3]["payload"] == b"\xff" * 576 and got[1]["media"] == got[5]["media"]
+    clips = mjpeg.clips(mjpeg.unpack(mjpeg.pack(odd)).where("doc_id = 4")).collect()
+    assert clips[0]["first"] == 0 and clips[-1]["after"] == got[4]["frames"] and all(a["after"] == b["first"] for a, b in zip(clips, clips[1:]))
+    assert mjpeg.unpack(mjpeg.pack(empty)).count() == 0
+
+
+def test_op4_lossless_codec_and_shots():
+    rng = np.random.default_rng(3)
+    frames = rng.integers(0, 256, (70, 24, 24)).astype(np.uint8)
+    frames[10] = 255
+    assert np.array_equal(mjpeg.decode_frames(mjpeg.encode_frames(frames)), frames)
+    quiet = np.concatenate([np.full((20, 24, 24), 10), np.full((15, 24, 24), 200), np.full((9, 24, 24), 90)]).astype(np.uint8)
+    assert mjpeg.shots(mjpeg.histograms(quiet)) == [(0, 20), (20, 35), (35, 44)]
+    avi = mjpeg.build_avi(mjpeg.encode_frames(quiet), 10)
+    micros, parts = mjpeg.parse_avi(avi)
+    assert micros == 100_000 and len(parts) == 44
+    cut = avi.replace(b"idx1", b"JUNK")
+    assert mjpeg.parse_avi(cut)[1] == parts
+    with pytest.raises(ValueError):
+        mjpeg.parse_avi(b"RIFF")
