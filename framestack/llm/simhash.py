@@ -5,21 +5,27 @@ nothing.  At most `bits` of 64 bits may differ, so of bits + 1 equal blocks one
 both: for each block the fingerprint is rotated to start with it, and a trie node of that depth is
 joined with itself only.  Below, tries are traversed as node pairs that carry the differing bits so
 far and end when these exceed the budget.  Node pairs with more than NODE_ROWS fingerprints are
-first cut by further bits into child pairs, so no task holds an unbounded node.  A task returns
-each linked fingerprint once, with the smallest one of its part, not all pairs.
+first cut by further bits into child pairs, so no task holds an unbounded node.  A task returns pairs that
+span the parts it has linked, fewer than it has fingerprints, and skips nodes that are linked already.
 
 Null and empty texts, and texts without words, have fingerprint zero.  Repeated rows stay.
+
+cluster() links single fingerprints.  deduplicated() asks for texts whose sets of five-word shingles
+are alike to 0.8 or more; such texts differ in some ten of 64 bits, out of reach of a budget that a
+trie can carry.  So it takes VIEWS independent fingerprints of each text and pairs texts that come
+within the budget in any one of them: the closer the texts, the surer (see the README for shares).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, partitions, stored
@@ -65,19 +71,26 @@ def fingerprints(df: DataFrame, width: int = 3, key: str = "doc_id", text: str =
 # -- tries in a task ---------------------------------------------------------------------------
 
 
-def components(n: int, u: np.ndarray, v: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
-    """The smallest reachable vertex of each of n vertices."""
-    label = np.arange(n) if label is None else label.copy()
-    while len(u):
-        a, b = label[u], label[v]
+def merged(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels (the smallest vertex of each part) after joining the pairs, and the indices of pairs that joined parts.
+
+    In each round every part takes the pair that leads to the smallest label; these pairs form a
+    spanning forest, so there are fewer of them than vertices.
+    """
+    label, index, used = label.copy(), np.arange(len(u)), []
+    while len(index):
+        a, b = label[u[index]], label[v[index]]
         apart = a != b
-        if not apart.any():
+        index, lo, hi = index[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        if not len(index):
             break
-        a, b, u, v = a[apart], b[apart], u[apart], v[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        order = np.lexsort((lo, hi))
+        first = order[np.concatenate(([True], hi[order][1:] != hi[order][:-1]))]
+        label[hi[first]] = lo[first]
+        used.append(index[first])
         while (label[label] != label).any():
             label = label[label]
-    return label
+    return label, np.concatenate(used) if used else np.empty(0, np.int64)
 
 
 class Trie:
@@ -86,7 +99,7 @@ class Trie:
     def __init__(self, codes: np.ndarray, budget: int):
         self.codes, self.budget = codes, budget
         self.label = np.arange(len(codes))
-        self.found: list[np.ndarray] = []
+        self.found: list[np.ndarray] = []  # pairs that joined parts
         self.ones: dict[int, np.ndarray] = {}
         self._changes()
 
@@ -107,7 +120,12 @@ class Trie:
         step = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
         u, v = a[which] + step // nb[which], b[which] + step % nb[which]
         near = (u < v) & (np.bitwise_count(self.codes[u] ^ self.codes[v]) <= self.budget)
-        self.label = components(len(self.codes), u[near], v[near], self.label)
+        u, v = u[near], v[near]
+        label, used = merged(self.label, u, v)
+        if len(used):
+            self.label = label
+            self.found.append(np.stack([u[used], v[used]]))
+            self._changes()
 
     def join(self, pairs: np.ndarray, depth: int) -> None:
         """Traverse node pairs, rows (start, end, start, end, errors), all at `depth`, together."""
@@ -125,10 +143,7 @@ class Trie:
             if depth == 64:
                 small[:] = True
             if small.any():
-                before = self.label
                 self._compare(a0[small], (a1 - a0)[small], b0[small], (b1 - b0)[small])
-                if before is not self.label:
-                    self._changes()
                 p = p[~small]
             if not len(p):
                 continue
@@ -149,7 +164,7 @@ class Trie:
 
 
 def join_groups(group: np.ndarray, side: np.ndarray, depth: np.ndarray, err: np.ndarray, codes: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """(code index, index of its part's smallest) of linked codes; rows of a group are one node pair.
+    """Indices of code pairs within the budget that span the linked parts; rows of a group are one node pair.
 
     side 1 rows are the second node of a pair; a group without them is a node with itself.
     """
@@ -164,10 +179,8 @@ def join_groups(group: np.ndarray, side: np.ndarray, depth: np.ndarray, err: np.
     pairs = np.stack([edge, np.where(alone, end, second), np.where(alone, edge, second), end, err[edge]], 1).astype(np.int64)
     for d in np.unique(depth):
         trie.join(pairs[depth[edge] == d], int(d))
-    linked = trie.label != np.arange(len(codes))
-    linked[trie.label[linked]] = True
-    at = np.flatnonzero(linked)
-    return order[at], order[trie.label[at]]
+    u, v = np.concatenate(trie.found, axis=1) if trie.found else np.empty((2, 0), np.int64)
+    return order[u], order[v]
 
 
 # -- tries over partitions ---------------------------------------------------------------------
@@ -209,17 +222,19 @@ def _split(tasks: DataFrame, hot: DataFrame, budget: int) -> DataFrame:
 
 
 def links(fps: DataFrame, bits: int = 3, node_rows: int = NODE_ROWS) -> DataFrame:
-    """(fp, root): each distinct fingerprint that has a partner, with one it is connected to; several rows may name one fp.
+    """(fp, root), also view if fps has one: pairs of distinct fingerprints with at most `bits` differing bits.
 
-    The rows' graph has the same connected parts as all links of at most `bits` differing bits.
+    Not all such pairs, but enough for the same connected parts; fingerprints of different views are
+    never linked.
     """
     spark = fps.sparkSession
-    width = 64 // (bits + 1)
+    width, blocks = 64 // (bits + 1), bits + 1
+    views = "view" in fps.columns
     tasks = (
-        fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("block"))
+        fps.select("fp", (F.col("view") if views else F.lit(0)).alias("view"), F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("block"))
         .withColumn("code", F.expr(f"shiftleft(fp, block * {width}) | if(block = 0, 0L, shiftrightunsigned(fp, 64 - block * {width}))"))
         .withColumn("a", F.expr(f"shiftrightunsigned(code, {64 - width})"))
-        .select("block", "a", F.col("a").alias("b"), F.lit(width).alias("depth"), F.lit(0).alias("err"), F.lit(0).alias("side"), "code")
+        .select((F.col("view") * blocks + F.col("block")).cast("int").alias("block"), "a", F.col("a").alias("b"), F.lit(width).alias("depth"), F.lit(0).alias("err"), F.lit(0).alias("side"), "code")
     )
     group = ["block", "a", "b", "depth"]
     cool = []
@@ -243,9 +258,9 @@ def links(fps: DataFrame, bits: int = 3, node_rows: int = NODE_ROWS) -> DataFram
             ids = np.concatenate(([0], np.cumsum(change)))
             codes = _unsigned(code)
             at, root = join_groups(ids, side, depth, err, codes, bits)
-            back = (block * width).astype(np.uint64)
+            back = (block % blocks * width).astype(np.uint64)
             whole = codes >> back | np.where(back > 0, codes << (np.uint64(64) - np.maximum(back, _ONE)), 0)
-            return pa.RecordBatch.from_arrays([pa.array(whole[at].view(np.int64)), pa.array(whole[root].view(np.int64))], ["fp", "root"])
+            return pa.RecordBatch.from_arrays([pa.array((block[at] // blocks).astype(np.int32)), pa.array(whole[at].view(np.int64)), pa.array(whole[root].view(np.int64))], ["view", "fp", "root"])
 
         for batch in batches:
             held.append(batch)
@@ -264,7 +279,8 @@ def links(fps: DataFrame, bits: int = 3, node_rows: int = NODE_ROWS) -> DataFram
 
     bounded_batches(spark, rows=1 << 17)
     dealt = tasks.repartition(partitions(spark), *group).sortWithinPartitions(*group)
-    return dealt.mapInArrow(run, "fp long, root long").where("fp <> root")
+    found = dealt.mapInArrow(run, "view int, fp long, root long").where("fp <> root")
+    return found if views else found.drop("view")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -286,6 +302,18 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = new
 
 
+#: A value that more than one in HOT_SHARE rows have is hot; there are fewer than HOT_SHARE of those.
+HOT_SHARE = 1000
+
+
+def _with_hot(rows: DataFrame, known: DataFrame, on: str, counted: DataFrame) -> DataFrame:
+    """rows joined with known, which has one row for each value of `on`; hot values go by a broadcast of fewer than HOT_SHARE rows."""
+    counts = counted.groupBy(on).agg(F.count("*").alias("_n"))
+    total = counted.count()
+    hot = F.broadcast(stored(known.join(counts.where(F.col("_n") * HOT_SHARE > total).select(on), on, "left_semi"), "hot"))
+    return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(known, on))
+
+
 def cluster(df: DataFrame, width: int = 3, bits: int = 3, key: str = "doc_id", text: str = "text", node_rows: int = NODE_ROWS) -> DataFrame:
     """(key, fp, component_id): component_id is the smallest key reachable over links."""
     prints = stored(fingerprints(df, width, key, text), "fingerprints")
@@ -297,8 +325,104 @@ def cluster(df: DataFrame, width: int = 3, bits: int = 3, key: str = "doc_id", t
     return prints.join(known, "fp").select(key, "fp", "component_id")
 
 
-def deduplicated(df: DataFrame, width: int = 3, bits: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+# -- texts alike in any of several views ---------------------------------------------------------
+
+VIEWS, VIEW_BITS, VIEW_WORDS = 24, 5, 5
+#: The least similarity, less the error of its estimate.
+LEAST = 0.78
+_ODD = np.random.default_rng(64).integers(1 << 62, 1 << 63, VIEWS, dtype=np.uint64) * np.uint64(2) + _ONE
+#: Shingles that are summed at once.
+SUM_ROWS = 1 << 13
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many rows have each bit set, by column of (n, views) hashes: adders over whole words, halving the rows."""
+    planes = [hashes]
+    while len(planes[0]) > 1:
+        if len(planes[0]) & 1:
+            planes = [np.concatenate([p, np.zeros_like(p[:1])]) for p in planes]
+        carry, out = None, []
+        for p in planes:
+            x, y = p[0::2], p[1::2]
+            both = x ^ y
+            out.append(both if carry is None else both ^ carry)
+            carry = x & y if carry is None else (x & y) | (carry & both)
+        planes = [*out, carry]
+    counts = np.zeros(hashes.shape[1] * 64, np.int64)
+    for i, p in enumerate(planes):
+        counts += np.unpackbits(p[0].view(np.uint8), bitorder="little").astype(np.int64) << i
+    return counts
+
+
+def signature(text: str | None, width: int = VIEW_WORDS) -> tuple[np.ndarray, int]:
+    """VIEWS fingerprints of the set of shingles and its size; all zero without words."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(VIEWS, np.uint64), 0
+    shingles = set(map(b" ".join, zip(*(words[i:] for i in range(width))))) or {b" ".join(words)}
+    base = np.fromiter(map(_hash, shingles), np.uint64, len(shingles))
+    counts = np.zeros(VIEWS * 64, np.int64)
+    for at in range(0, len(base), SUM_ROWS):
+        h = base[at : at + SUM_ROWS, None] * _ODD
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        counts += bit_counts(h)
+    return np.packbits(2 * counts > len(base), bitorder="little").view(np.uint64), len(base)
+
+
+def similarity(bits: Column, n: Column, m: Column) -> Column:
+    """Estimated Jaccard of two sets of n and m shingles whose views differ in so many bits."""
+    shared = F.cos(bits * (math.pi / (64 * VIEWS))) * F.sqrt(n * m)
+    return F.when((n > 0) & (m > 0), shared / (n + m - shared)).otherwise((n == m).cast("double"))
+
+
+def signatures(df: DataFrame, width: int = VIEW_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, codes array of VIEWS longs, size long)."""
+    bounded_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [signature(t, width) for t in batch.column(1).to_pylist()]
+            flat = np.concatenate([codes for codes, _ in got]).view(np.int64) if got else np.empty(0, np.int64)
+            ends = np.arange(0, len(flat) + 1, VIEWS, dtype=np.int32)
+            sizes = pa.array([n for _, n in got], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), sizes], [key, "codes", "size"])
+
+    rows = df.select(key, F.col(text).cast("string"))
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, codes array<long>, size long")
+
+
+def near_groups(df: DataFrame, width: int = VIEW_WORDS, bits: int = VIEW_BITS, least: float = LEAST, key: str = "doc_id", text: str = "text", node_rows: int = NODE_ROWS) -> DataFrame:
+    """(key, component_id): the smallest key reachable over pairs of texts found in any view and alike by all.
+
+    A vertex is a distinct signature, so copies meet in an aggregate.  Within a view, vertices of one
+    code are paired with the smallest of them, and the tries pair the distinct codes.
+    """
+    prints = stored(signatures(df, width, key, text).withColumn("sig", F.xxhash64("codes", "size")), "signatures")
+    first = stored(prints.groupBy("sig").agg(F.min(key).alias("first"), F.any_value("codes").alias("codes"), F.any_value("size").alias("size")), "distinct")
+    each = first.select("sig", F.posexplode("codes").alias("view", "fp"))
+    lowest = stored(each.groupBy("view", "fp").agg(F.min("sig").alias("lowest")), "codes")
+    same = each.join(lowest, ["view", "fp"]).where("sig <> lowest").select(F.col("sig").alias("u"), F.col("lowest").alias("v"))
+    found = links(lowest.select("view", "fp"), bits, node_rows)
+    ends = found.join(lowest, ["view", "fp"]).select("view", F.col("lowest").alias("u"), F.col("root").alias("fp")).join(lowest, ["view", "fp"]).select("u", F.col("lowest").alias("v"))
+    pairs = stored(same.union(ends).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    side = lambda n: first.select(F.col("sig").alias(n), F.col("codes").alias(f"c{n}"), F.col("size").alias(f"n{n}"))
+    differing = F.aggregate(F.zip_with("cu", "cv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
+    alike = pairs.join(side("u"), "u").join(side("v"), "v").where(similarity(differing, F.col("nu"), F.col("nv")) >= least)
+    labels = connected(alike.select(F.col("u").alias("fp"), F.col("v").alias("root")))
+    slim = first.select("sig", "first")
+    ids = labels.join(slim, labels["fp"] == slim["sig"]).groupBy("label").agg(F.min("first").alias("component_id"))
+    known = labels.join(ids, "label").select(F.col("fp").alias("sig"), "component_id")
+    known = slim.join(known, "sig", "left").select("sig", F.coalesce("component_id", "first").alias("component_id"))
+    return _with_hot(prints.select(key, "sig"), known, "sig", prints).select(key, "component_id")
+
+
+def deduplicated(df: DataFrame, width: int = VIEW_WORDS, bits: int = VIEW_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df without the documents that near-repeat one with a smaller key; rows of one key (null is one) count as one document."""
-    groups = cluster(df, width, bits, key, text)
-    stay = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("stay_key")).distinct()
-    return df.join(stay, df[key].eqNullSafe(stay["stay_key"]), "left_semi").dropDuplicates([key])
+    groups = near_groups(df, width, bits, LEAST, key, text)
+    stay = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct()
+    # A null key as two columns without nulls: the join and the aggregate then share one shuffle of the texts.
+    named = [F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), F.col(key).isNull().alias("_none")]
+    one = df.select("*", *named).join(stay.select(*named), ["_key", "_none"], "left_semi").dropDuplicates(["_key", "_none"])
+    return one.select(*df.columns)
