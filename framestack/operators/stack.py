@@ -48,6 +48,33 @@ def clip_mean(df: DataFrame, keys: list[str], value: str, weight: str | None = N
     )
 
 
+def clip_mean_large(df: DataFrame, keys: list[str], value: str, weight: str | None = None, clip: float = CLIP, group_floor: float = ABSOLUTE_FLOOR) -> DataFrame:
+    """clip_mean() for few, large or very uneven groups: no task holds a group.
+
+    Medians come from counts in bins (exact_quantile), the rest is sums that combine before the
+    shuffle; the statistics of the groups are joined back, by broadcast where Spark finds them small.
+    """
+    from .stats import exact_quantile
+
+    v = clean(value)
+    rows = df.withColumns({"_v": v, "_w": F.col(weight).cast("double") if weight else F.lit(1.0)})
+    med = exact_quantile(rows, keys, "_v").withColumnRenamed("quantile", "med")
+    rows = rows.join(med, keys, "left").withColumn("_d", F.abs(F.col("_v") - F.col("med")))
+    mad = exact_quantile(rows, keys, "_d").withColumnRenamed("quantile", "mad")
+    n = rows.groupBy(*keys).agg(F.count("_v").alias("n"))
+    rows = rows.join(mad.join(n, keys), keys, "left")
+    sigma = F.greatest(MADN * F.col("mad"), F.lit(group_floor), numeric_floor(F.col("med")))
+    ok = F.col("_v").isNotNull() & ((F.col("n") < MIN_SAMPLES) | (F.col("_d") <= clip * sigma))
+    return rows.withColumn("_ok", ok).groupBy(*keys).agg(
+        F.max("n").alias("n"),
+        F.max("med").alias("med"),
+        F.max("mad").alias("mad"),
+        weighted_mean(F.col("_v"), F.col("_w"), F.col("_ok")).alias("mean"),
+        F.count_if("_ok").alias("n_accepted"),
+        (F.count("_v") - F.count_if("_ok")).alias("n_rejected"),
+    )
+
+
 def cell_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, finite, invalid, low, high, mean): algebraic, so partial sums are merged."""
     v = clean(value)

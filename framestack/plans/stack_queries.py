@@ -28,6 +28,18 @@ def stack_clip_mean(spark, sf_dir):
     return out.select("l_partkey", "n", r("med", 4).alias("med"), r("mad", 4).alias("mad"), r("mean", 4).alias("mean"), "n_accepted", "n_rejected")
 
 
+@query(
+    "stack_clip_mean_large_groups",
+    CLIPPED.replace("l_partkey", "l_linestatus")
+    + """SELECT l_linestatus, max(n) AS n, round(max(med) + 1e-9, 4) AS med, round(max(mad) + 1e-9, 4) AS mad,
+    round(sum(CASE WHEN ok THEN l_quantity * l_extendedprice END) / sum(CASE WHEN ok THEN l_quantity END) + 1e-9, 3) AS mean,
+    count(*) FILTER (WHERE ok) AS n_accepted, max(n) - count(*) FILTER (WHERE ok) AS n_rejected FROM c GROUP BY 1""",
+)
+def stack_clip_mean_large_groups(spark, sf_dir):
+    out = stack.clip_mean_large(table(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_extendedprice", "l_quantity")
+    return out.select("l_linestatus", "n", r("med", 4).alias("med"), r("mad", 4).alias("mad"), r("mean", 3).alias("mean"), "n_accepted", "n_rejected")
+
+
 @query(
     "stack_irls_huber",
     CLIPPED
