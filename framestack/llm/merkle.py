@@ -10,6 +10,7 @@ text has one empty paragraph and no clauses.  Two texts without clauses are alik
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +72,16 @@ def edits(df: DataFrame, text: str, other: str) -> DataFrame:
     return df.withColumn("edits", differing)
 
 
+def _below(cuts: list[int], key: Column, step: int = 128) -> Column:
+    """How many of the ascending cuts lie below the key: first by every step-th of them, then within one step."""
+    if not cuts:
+        return F.lit(0)
+    count = lambda a: F.size(F.filter(a, lambda c: c < key))
+    coarse = cuts[step - 1 :: step]
+    at = count(F.lit(np.array(coarse, np.int64))) * step if coarse else F.lit(0)
+    return at + count(F.slice(F.lit(np.array(cuts, np.int64)), at + 1, F.lit(step)))
+
+
 def neighbours(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, next_text): next is the row before in ascending key order, the largest for the smallest key.
 
@@ -81,12 +92,7 @@ def neighbours(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     n = RANGES * partitions(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10_000).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
-    place = F.lit(0)
-    if cuts:
-        bounds = F.array(*map(F.lit, cuts))
-        place = F.size(F.filter(bounds, lambda b: b < F.col("key")))
-    place = F.when(F.col("key").isNull(), F.lit(-1)).otherwise(place).alias("range")
+    place = F.when(F.col("key").isNull(), F.lit(-1)).otherwise(_below(sorted(set(cuts)), F.col("key"))).alias("range")
     tops = rows.select("key", place).groupBy("range").agg(F.max("key").alias("top"))
     order = Window.orderBy("range")  # a row a range
     tops = tops.select("top", F.col("range").alias("own"), F.lead("range").over(order).alias("above"), F.first("range").over(order).alias("lowest"))

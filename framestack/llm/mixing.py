@@ -80,11 +80,11 @@ def weights(sources: DataFrame, exponent: float, budget: float | None = None) ->
     """(source, tokens, weight, target): target tokens of each source, which sum to the budget."""
     mass = F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(exponent))).otherwise(F.lit(0.0))
     massed = sources.withColumn("mass", mass)
-    total = massed.agg(F.sum("mass").alias("all"), F.max(F.col("tokens") / F.col("mass")).alias("most"))
-    spend = F.lit(float(budget)) if budget is not None else F.col("all") * F.col("most")
-    return massed.crossJoin(F.broadcast(total)).select(
-        "source", "tokens", F.when(F.col("all") > 0, F.col("mass") / F.col("all")).otherwise(0.0).alias("weight"), F.coalesce(F.col("mass") / F.col("all") * spend, F.lit(0.0)).alias("target")
-    )
+    total = massed.agg(F.sum("mass").alias("all"), F.max(F.col("tokens") / F.nullif("mass", F.lit(0.0))).alias("most")).first()  # one row
+    every = float(total["all"] or 0.0)
+    spend = float(budget) if budget is not None else every * float(total["most"] or 0.0)
+    weight = F.col("mass") / every if every > 0 else F.lit(0.0)
+    return massed.select("source", "tokens", weight.alias("weight"), (weight * spend).alias("target"))
 
 
 def _lot(seed: int, *of: str) -> Column:

@@ -193,7 +193,7 @@ def _unsigned(x: np.ndarray) -> np.ndarray:
 def _split(tasks: DataFrame, hot: DataFrame, budget: int) -> DataFrame:
     """Node pairs of hot groups, cut by CUT_BITS more bits into the child pairs within the budget."""
     group = ["block", "a", "b", "depth"]
-    rows = tasks.join(F.broadcast(hot.select(*group)), group).withColumn(
+    rows = tasks.join(hot.select(*group), group).withColumn(
         "child", F.expr(f"cast(shiftrightunsigned(shiftleft(code, depth), {64 - CUT_BITS}) as int)")
     )
     nodes = rows.groupBy(*group, "err", "side", "child").agg(F.lit(1).alias("one")).drop("one")
@@ -209,7 +209,7 @@ def _split(tasks: DataFrame, hot: DataFrame, budget: int) -> DataFrame:
     )
     met = pairs.select(*group, "err", "ca", "cb", F.explode(F.when(own & (F.col("ca") == F.col("cb")), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("to"))
     met = met.withColumn("child", F.when(F.col("to") == 0, F.col("ca")).otherwise(F.col("cb"))).withColumn("side", F.when(own, 0).otherwise(F.col("to")))
-    out = rows.drop("err").join(F.broadcast(met), [*group, "side", "child"])
+    out = rows.drop("err").join(met, [*group, "side", "child"])
     return out.select(
         "block",
         F.expr(f"a * {1 << CUT_BITS} + ca").alias("a"),
@@ -243,7 +243,7 @@ def links(fps: DataFrame, bits: int = 3, node_rows: int = NODE_ROWS) -> DataFram
         hot = stored(hot, "hot")
         if not hot.head(1):
             break
-        cool.append(tasks.join(F.broadcast(hot.select(*group)), group, "left_anti"))
+        cool.append(tasks.join(hot.select(*group), group, "left_anti"))
         tasks = stored(_split(tasks, hot, bits), "split")
     for part in cool:
         tasks = tasks.unionByName(part)

@@ -159,6 +159,12 @@ def test_next_rows_over_many_ranges(spark):
     assert {r["doc_id"]: r["next_text"] for r in merkle.neighbours(df).collect()} == want
 
 
+def test_places_among_many_cuts(spark):
+    cuts = list(range(5, 3000, 7))
+    got = spark.range(0, 3100, 3).select("id", merkle._below(cuts, F.col("id")).alias("n")).collect()
+    assert all(r["n"] == sum(c < r["id"] for c in cuts) for r in got)
+
+
 def test_edits_are_located(spark):
     df = spark.createDataFrame([("a\nb\n\nc", "a\nx\n\nc"), ("a", "a\n\nnew"), ("a", "a")], "t string, u string")
     got = [[(e["section"], e["paragraph"]) for e in r["edits"]] for r in merkle.edits(df, "t", "u").collect()]
