@@ -41,11 +41,11 @@ def robust_ratio(spark, sf_dir):
     "half_flux_radius",
     """WITH f AS (SELECT l_suppkey, l_quantity AS rad, sum(l_extendedprice) AS f FROM lineitem GROUP BY 1, 2),
     c AS (SELECT *, sum(f) OVER (PARTITION BY l_suppkey ORDER BY rad) AS c, sum(f) OVER (PARTITION BY l_suppkey) AS t, coalesce(lag(rad) OVER (PARTITION BY l_suppkey ORDER BY rad), 0) AS p FROM f)
-    SELECT l_suppkey, round(total + 1e-9, 1) AS total, round(radius + 1e-9, 6) AS radius FROM (SELECT l_suppkey, t AS total, p + (rad - p) * (0.5 * t - (c - f)) / f AS radius, row_number() OVER (PARTITION BY l_suppkey ORDER BY rad) AS k FROM c WHERE c >= 0.5 * t) WHERE k = 1""",
+    SELECT l_suppkey, round(total, 2) AS total, round(radius + 1e-9, 6) AS radius FROM (SELECT l_suppkey, t AS total, p + (rad - p) * (0.5 * t - (c - f)) / f AS radius, row_number() OVER (PARTITION BY l_suppkey ORDER BY rad) AS k FROM c WHERE c >= 0.5 * t) WHERE k = 1""",
 )
 def half_flux_radius(spark, sf_dir):
     out = photometry.half_flux_radius(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice")
-    return out.select("l_suppkey", r("total", 1).alias("total"), r("radius").alias("radius"))
+    return out.select("l_suppkey", F.round("total", 2).alias("total"), r("radius").alias("radius"))
 
 
 @query(

@@ -15,7 +15,7 @@ from .stack_queries import CLIPPED
 @query(
     "stack_tile_udf",
     CLIPPED.replace("l_partkey", "k").replace("FROM lineitem GROUP BY 1)", "FROM s0 GROUP BY 1)", 1).replace("FROM lineitem l JOIN m USING (k)", "FROM s0 l JOIN m USING (k)").replace("WITH m AS", "WITH s0 AS (SELECT l_partkey AS k, l_suppkey, avg(l_extendedprice)::FLOAT::DOUBLE AS l_extendedprice FROM lineitem GROUP BY 1, 2), m AS", 1)
-    + "SELECT k AS l_partkey, round(avg(CASE WHEN ok THEN l_extendedprice END), 0) AS mean, count(*) FILTER (WHERE ok) AS accepted FROM c GROUP BY 1",
+    + "SELECT k AS l_partkey, avg(CASE WHEN ok THEN l_extendedprice END)::FLOAT::DOUBLE AS mean, count(*) FILTER (WHERE ok) AS accepted FROM c GROUP BY 1",
 )
 def stack_tile_udf(spark, sf_dir):
     """The tile form: a frame is a supplier, a band holds 64 parts; cells without a sample are NaN."""
@@ -38,7 +38,7 @@ def stack_tile_udf(spark, sf_dir):
                 yield pa.RecordBatch.from_pydict({"l_partkey": row["y0"] * 64 + at, "mean": mean[at].astype(float), "accepted": n[at].astype(np.int64)})
 
     flat = out.mapInArrow(spread, "l_partkey long, mean double, accepted long")
-    return flat.select("l_partkey", F.round("mean", 0).alias("mean"), "accepted")
+    return flat.select("l_partkey", "mean", "accepted")
 
 
 @query("receipts", """SELECT r_regionkey, 'sha256:' || sha256('{"r_name":"' || r_name || '","r_regionkey":' || r_regionkey || '}') AS receipt FROM region""")
