@@ -63,7 +63,7 @@ def super_channel(df: DataFrame, channel: str, cell: list[str], value: str, refe
 
     v = clean(value)
     ref = df.where(F.col(channel) == reference).select(*cell, v.alias("_ref"))
-    ratio = df.join(ref, cell).where("_ref > 0").groupBy(channel).agg(F.percentile(v / F.col("_ref"), F.lit(0.5)).alias("scale"))
+    ratio = df.join(ref, cell).where("_ref > 0").groupBy(channel).agg(F.percentile(F.try_divide(v, F.col("_ref")), F.lit(0.5)).alias("scale"))
     steps = df.withColumn("_d", v - F.lag(v).over(Window.partitionBy(channel, *cell[:-1]).orderBy(cell[-1])))
     noise = with_median_mad(steps, [channel], "_d").groupBy(channel).agg((MADN * F.max("mad") / F.sqrt(F.lit(2.0))).alias("noise"))
     both = ratio.join(noise, channel).withColumn("_w", F.pow(F.col("scale") / F.nullif(F.col("noise"), F.lit(0.0)), 2))

@@ -51,7 +51,7 @@ def tolerance_gate(df: DataFrame, keys: list[str], ours: str, theirs: str, sigma
     d = F.abs(clean(ours) - clean(theirs))
     both = d.isNotNull()
     n = F.count_if(both)
-    return df.groupBy(*keys).agg(n.alias("n"), F.count_if(d == 0).alias("equal"), (F.count_if(d <= bulk * sigma) / n).alias("bulk_share"), (F.count_if(d > outlier * sigma) / n).alias("outlier_share"))
+    return df.groupBy(*keys).agg(n.alias("n"), F.count_if(d == 0).alias("equal"), F.try_divide(F.count_if(d <= bulk * sigma), n).alias("bulk_share"), F.try_divide(F.count_if(d > outlier * sigma), n).alias("outlier_share"))
 
 
 def airmass_envelope(df: DataFrame, keys: list[str], x: str, y: str, order: str, slopes: tuple[float, float] = (-0.05, 3.0)) -> DataFrame:
@@ -98,7 +98,7 @@ def triangles(points: DataFrame, keys: list[str], pid: str, x: str, y: str, flux
     side = lambda i, j: F.sqrt(F.pow(F.col(f"x{i}") - F.col(f"x{j}"), 2) + F.pow(F.col(f"y{i}") - F.col(f"y{j}"), 2))
     met = met.withColumn("_s", F.array_sort(F.array(side("a", "b"), side("b", "c"), side("a", "c"))))
     s = lambda i: F.get("_s", F.lit(i))
-    return met.where(s(0) > 0).select(*keys, F.col("ida").alias("a"), F.col("idb").alias("b"), F.col("idc").alias("c"), (s(2) / s(1)).alias("r1"), (s(2) / s(0)).alias("r2"))
+    return met.where(s(0) > 0).select(*keys, F.col("ida").alias("a"), F.col("idb").alias("b"), F.col("idc").alias("c"), F.try_divide(s(2), s(1)).alias("r1"), F.try_divide(s(2), s(0)).alias("r2"))
 
 
 def triangle_votes(left: DataFrame, right: DataFrame, keys: list[str], radius: float = 0.1) -> DataFrame:

@@ -62,7 +62,7 @@ def clip_mean_large(df: DataFrame, keys: list[str], value: str, weight: str | No
     rows = rows.join(med, keys, "left").withColumn("_d", F.abs(F.col("_v") - F.col("med")))
     mad = exact_quantile(rows, keys, "_d").withColumnRenamed("quantile", "mad")
     n = rows.groupBy(*keys).agg(F.count("_v").alias("n"))
-    rows = rows.join(mad.join(n, keys), keys, "left")
+    rows = rows.join(n.join(mad, keys, "left"), keys, "left")
     sigma = F.greatest(MADN * F.col("mad"), F.lit(group_floor), numeric_floor(F.col("med")))
     ok = F.col("_v").isNotNull() & ((F.col("n") < MIN_SAMPLES) | (F.col("_d") <= clip * sigma))
     return rows.withColumn("_ok", ok).groupBy(*keys).agg(

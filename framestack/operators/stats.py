@@ -50,7 +50,7 @@ def theil_sen(df: DataFrame, keys: list[str], x: str, y: str, order: str, min_dx
     rows = df.select(*keys, clean(x).alias("x"), clean(y).alias("y"), F.col(order).alias("o")).where("x is not null and y is not null")
     a, b = rows, rows.select(*keys, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("o").alias("o2"))
     dx = F.col("x2") - F.col("x")
-    pairs = a.join(b, keys).where((F.col("o") < F.col("o2")) & (F.abs(dx) >= min_dx) & (dx != 0)).withColumn("slope", (F.col("y2") - F.col("y")) / dx)
+    pairs = a.join(b, keys).where((F.col("o") < F.col("o2")) & (F.abs(dx) >= min_dx) & (dx != 0)).withColumn("slope", F.try_divide(F.col("y2") - F.col("y"), dx))
     if slope_limit is not None:
         pairs = pairs.where(F.abs("slope") <= slope_limit)
     slopes = pairs.groupBy(*keys).agg(F.count("*").alias("pairs"), F.percentile("slope", F.lit(0.5)).alias("slope"))

@@ -105,7 +105,7 @@ def night_extinction(df: DataFrame, night: str, airmass: str, extinction: str, o
     a = rows.where("_x is not null and _y is not null").select(F.col(night).alias("n1"), F.col("_x").alias("x1"), F.col("_y").alias("y1"), F.col(order).alias("o1"))
     b = a.toDF("n2", "x2", "y2", "o2")
     pairs = a.join(b, (F.col("n1") == F.col("n2")) & (F.col("o1") < F.col("o2"))).where(F.abs(F.col("x2") - F.col("x1")) >= least_dx)
-    slope = (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))
+    slope = F.try_divide(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
     fit = pairs.withColumn("s", slope).where(F.abs("s") <= steepest).agg(F.count("*").alias("pairs"), F.percentile("s", F.lit(0.5)).alias("raw"))
     valid = a.groupBy("n1").agg(F.count("*").alias("c"), (F.max("x1") - F.min("x1")).alias("span")).agg(F.sum("c").alias("valid"), F.max("span").alias("span"))
     model = fit.crossJoin(valid).select(
