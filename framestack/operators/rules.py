@@ -23,19 +23,22 @@ def collected(*items: Column) -> Column:
     return F.array_compact(F.array(*items))
 
 
-def worst_by_family(df: DataFrame, key: str, evidences: str = "evidence") -> DataFrame:
-    """(key, family, code, severity): of each family the evidence of highest severity, then of the last code."""
-    rows = df.select(key, F.explode(evidences).alias("e")).select(key, "e.*")
-    top = rows.groupBy(key, "family").agg(F.max(F.struct(severity_rank(F.col("severity")).alias("rank"), "code", "severity")).alias("t"))
-    return top.select(key, "family", "t.code", "t.severity")
+def worst_by_family(evidences: Column) -> Column:
+    """Of each family in an array of evidence the item of highest severity, then of the last code, as (rank, code, family).
 
+    All of a row's evidence is in the row, so nothing is exploded or shuffled.
+    """
+    ranked = F.transform(evidences, lambda e: F.struct(severity_rank(e["severity"]).alias("rank"), e["code"].alias("code"), e["family"].alias("family")))
+    families = F.array_distinct(F.transform(evidences, lambda e: e["family"]))
+    return F.transform(families, lambda f: F.array_max(F.filter(ranked, lambda e: e["family"] == f)))
 
-def disposition(df: DataFrame, key: str, evidences: str = "evidence") -> DataFrame:
+
+def disposition(df: DataFrame, evidences: str = "evidence") -> DataFrame:
     """df with codes (one a family, sorted) and disposition: HARD_FAIL, REVIEW or PASS."""
-    worst = worst_by_family(df, key, evidences).groupBy(key).agg(F.array_sort(F.collect_list("code")).alias("codes"), F.max(severity_rank(F.col("severity"))).alias("_top"))  # families are few
-    out = df.join(worst, key, "left")
-    state = F.when(F.col("_top") >= 5, "HARD_FAIL").when(F.col("_top") >= 3, "REVIEW").otherwise("PASS")
-    return out.withColumns({"codes": F.coalesce("codes", F.array().cast("array<string>")), "disposition": state}).drop("_top")
+    worst = worst_by_family(F.col(evidences))
+    top = F.coalesce(F.array_max(F.transform(worst, lambda e: e["rank"])), F.lit(0))
+    state = F.when(top >= 5, "HARD_FAIL").when(top >= 3, "REVIEW").otherwise("PASS")
+    return df.withColumns({"codes": F.array_sort(F.transform(worst, lambda e: e["code"])), "disposition": state})
 
 
 def frame_gates() -> Column:
@@ -61,15 +64,12 @@ def frame_gates() -> Column:
     )
 
 
-def hard_cloud(df: DataFrame, key: str, cohort_size: int, evidences: str = "evidence") -> DataFrame:
+def hard_cloud(df: DataFrame, cohort_size: int, evidences: str = "evidence") -> DataFrame:
     """df whose evidence gains MULTI_FAMILY_CLOUD_HARD: two of three families at REVIEW or worse and one at ERROR."""
-    worst = worst_by_family(df, key, evidences).where(F.col("family").isin("consensus", "transparency", "background"))
-    rank = severity_rank(F.col("severity"))
-    found = worst.groupBy(key).agg((F.count_if(rank >= 3) >= 2).alias("two"), (F.max(rank) >= 4).alias("one"))
-    out = df.join(found, key, "left")
-    hit = F.coalesce(F.col("two") & F.col("one") & F.col("registered"), F.lit(False)) & F.lit(cohort_size >= 8)
-    more = evidence("MULTI_FAMILY_CLOUD_HARD", "cloud", "HARD_FAIL", hit)
-    return out.withColumn(evidences, F.concat(F.col(evidences), collected(more))).drop("two", "one")
+    sky = F.filter(worst_by_family(F.col(evidences)), lambda e: e["family"].isin("consensus", "transparency", "background"))
+    two = F.size(F.filter(sky, lambda e: e["rank"] >= 3)) >= 2
+    hit = two & F.exists(sky, lambda e: e["rank"] >= 4) & F.coalesce(F.col("registered"), F.lit(False)) & F.lit(cohort_size >= 8)
+    return df.withColumn(evidences, F.concat(F.col(evidences), collected(evidence("MULTI_FAMILY_CLOUD_HARD", "cloud", "HARD_FAIL", hit))))
 
 
 def channel_statistics(df: DataFrame, keys: list[str], clean_when: Column, sources: str, fwhm: str, sky: str) -> DataFrame:

@@ -147,7 +147,7 @@ def warp_frames(frames: DataFrame, rows: int = 64) -> DataFrame:
                     band = warp(image, m, (min(rows, r["height"] - y), r["width"]), y)
                     yield pa.RecordBatch.from_pydict({"frame": [r["frame"]], "y0": pa.array([y], pa.int32()), "rows": pa.array([len(band)], pa.int32()), "width": pa.array([r["width"]], pa.int32()), "data": pa.array([band.astype("<f4").tobytes()], pa.binary())})
 
-    frames.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    frames.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     kind = frames.schema["frame"].dataType.simpleString()
     return frames.select("frame", "height", "width", "data", "matrix").mapInArrow(run, f"frame {kind}, y0 int, rows int, width int, data binary")
 

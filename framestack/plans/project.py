@@ -103,7 +103,7 @@ def _calibrated(rows: DataFrame, normalise: bool) -> DataFrame:
                     v = np.where(gain > 1e-3, v / np.where(gain > 1e-3, gain, 1), np.nan)
                 yield pa.RecordBatch.from_pydict({"path": [r["path"]], "y0": pa.array([r["y0"]], pa.int32()), "rows": pa.array([r["rows"]], pa.int32()), "width": pa.array([r["width"]], pa.int32()), "data": pa.array([v.astype("<f4").tobytes()], pa.binary())})
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(fits.BATCH_BYTES))
     out = rows.mapInArrow(run, fits.TILE)
     return _levelled(out) if normalise else out
 

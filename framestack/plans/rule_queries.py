@@ -108,7 +108,7 @@ x AS (SELECT frame, sev, code FROM w UNION ALL SELECT frame, sev, code FROM h)
 )
 def gate_family_max(spark, sf_dir):
     rows = measured(spark, sf_dir).withColumn("evidence", rules.frame_gates())
-    out = rules.disposition(rules.hard_cloud(rows, "frame", 100), "frame")
+    out = rules.disposition(rules.hard_cloud(rows, 100))
     return out.select("frame", F.array_join("codes", ",").alias("codes"), "disposition")
 
 
@@ -118,7 +118,7 @@ def gate_family_max(spark, sf_dir):
 )
 def gate_summary(spark, sf_dir):
     rows = measured(spark, sf_dir).withColumn("evidence", rules.frame_gates())
-    return rules.disposition(rules.hard_cloud(rows, "frame", 100), "frame").groupBy("disposition").agg(F.count("*").alias("n"))
+    return rules.disposition(rules.hard_cloud(rows, 100)).groupBy("disposition").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK, CARD = 2880, 80
+#: What an Arrow batch of files or tiles holds, beside its first row.
+BATCH_BYTES = 16 << 20
 TYPES = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 EXTENSIONS = ("fit", "fits", "fts")
 HOUSEKEEPING = (".", "~", "thumbs.db", "desktop.ini")
@@ -111,7 +113,7 @@ def discover(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTEN
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{fit,fits,fts,FIT,FITS,FTS}").load(path)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return files.select("path", "content")
 
 

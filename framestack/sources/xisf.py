@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .fits import _HEADERS, _TILE, TILE
+from .fits import _HEADERS, _TILE, BATCH_BYTES, TILE
 
 MAGIC = b"XISF0100"
 MOST_HEADER = 1 << 24
@@ -107,7 +107,7 @@ def build(values: np.ndarray, keywords: dict[str, str] | None = None, compressio
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{xisf,XISF}").load(path).select("path", "content")
 
 

@@ -108,9 +108,9 @@ def test_network_recovers_offsets(spark):
 
 def test_rules_keep_the_worst_of_a_family(spark):
     e = rules.collected(rules.evidence("B", "f", "REVIEW", F.lit(True)), rules.evidence("A", "f", "ERROR", F.lit(True)), rules.evidence("C", "g", "INFO", F.lit(True)), rules.evidence("D", "h", "HARD_FAIL", F.lit(None).cast("boolean")))
-    row = rules.disposition(spark.range(1).withColumn("evidence", e), "id").first()
+    row = rules.disposition(spark.range(1).withColumn("evidence", e)).first()
     assert row["codes"] == ["A", "C"] and row["disposition"] == "REVIEW"
-    none = rules.disposition(spark.range(1).withColumn("evidence", rules.collected(rules.evidence("D", "h", "HARD_FAIL", F.lit(False)))), "id").first()
+    none = rules.disposition(spark.range(1).withColumn("evidence", rules.collected(rules.evidence("D", "h", "HARD_FAIL", F.lit(False))))).first()
     assert none["codes"] == [] and none["disposition"] == "PASS"
 
 
