@@ -264,7 +264,7 @@ def read(segments: DataFrame, key: str = "doc_id") -> DataFrame:
                     [key, "start", "n_tokens", "ids"],
                 )
 
-    bounded_batches(segments.sparkSession, rows=4)
+    bounded_batches(segments.sparkSession)
     return segments.mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids binary")
 
 
@@ -290,5 +290,5 @@ def tokens_at(segments: DataFrame, wanted: DataFrame, key: str = "doc_id", posit
                 out[inside] = ids
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(at), pa.array(out, mask=~inside)], [key, position, "id"])
 
-    bounded_batches(segments.sparkSession, rows=4)
+    bounded_batches(segments.sparkSession)
     return joined.mapInArrow(run, f"`{key}` long, `{position}` long, id long")

@@ -114,7 +114,7 @@ def score(feature_rows: DataFrame, model: Discriminant, key: str = "doc_id") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], [key, "score"])
 
     rows = feature_rows.select(key, *NAMES)
-    bounded_batches(rows.sparkSession, rows=10_000)
+    bounded_batches(rows.sparkSession)
     return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, score double")
 
 
