@@ -33,6 +33,8 @@ from .common import bounded_batches, partitions, stored
 #: Fingerprints of a node pair that one task may hold; larger node pairs are split by CUT_BITS more.
 NODE_ROWS = 1 << 19
 CUT_BITS = 8
+#: Rows that a task gathers, to the end of a node pair, before it joins them.
+CHUNK_ROWS = 1 << 17
 #: Pairs of small nodes are compared at once; frontiers are expanded in pieces of this many node pairs.
 SMALL_PAIRS, FRONTIER = 24, 1 << 17
 
@@ -265,7 +267,7 @@ def links(fps: DataFrame, bits: int = 3, node_rows: int = NODE_ROWS) -> DataFram
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows < node_rows:
+            if rows < min(node_rows, CHUNK_ROWS):
                 continue
             part = pa.Table.from_batches(held).combine_chunks()
             keys = np.stack([part.column(i).to_numpy() for i in range(4)], 1)
@@ -277,29 +279,40 @@ def links(fps: DataFrame, bits: int = 3, node_rows: int = NODE_ROWS) -> DataFram
         if rows:
             yield answer(pa.Table.from_batches(held).combine_chunks())
 
-    bounded_batches(spark, rows=1 << 17)
+    bounded_batches(spark, rows=1 << 15)
     dealt = tasks.repartition(partitions(spark), *group).sortWithinPartitions(*group)
     found = dealt.mapInArrow(run, "view int, fp long, root long").where("fp <> root")
     return found if views else found.drop("view")
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(fp, label): the smallest vertex reachable, for every vertex of edges (fp, root).
+    """(fp, label): one vertex of each connected part stands for it, for every vertex of edges (fp, root).
 
-    Rounds of: take the smallest label among neighbours (pre-aggregated), then follow labels of labels.
+    Rounds of contraction: each vertex hooks onto its smallest neighbour if that is smaller
+    (pre-aggregated), hooks are followed to their ends, and the edges between the ends, without loops
+    and repeats, make the next round.  Edges shrink from round to round.
     """
-    edges = stored(edges.select(F.col("fp").alias("u"), F.col("root").alias("v")).distinct(), "edges")
-    both = edges.union(edges.select("v", "u"))
-    labels = stored(both.groupBy(F.col("u").alias("fp")).agg(F.min("v").alias("m")).select("fp", F.least("fp", "m").alias("label")), "labels")
-    while True:
-        told = both.join(labels, both.v == labels.fp).select(F.col("u").alias("fp"), "label")
-        least = labels.union(told).groupBy("fp").agg(F.min("label").alias("label"))
-        after = labels.select(F.col("fp").alias("label"), F.col("label").alias("next"))
-        jumped = least.join(after, "label", "left").select("fp", F.least("label", "next").alias("label"))
-        new = stored(jumped, "labels")
-        if not new.join(labels.withColumnRenamed("label", "was"), "fp").where("label <> was").head(1):
-            return new
-        labels = new
+    edges = stored(edges.select(F.least("fp", "root").alias("u"), F.greatest("fp", "root").alias("v")).where("u <> v").distinct(), "edges")
+    labels = None
+    while labels is None or edges.head(1):
+        down = edges.groupBy(F.col("v").alias("n")).agg(F.min("u").alias("to"))
+        top = edges.select(F.col("u").alias("n")).distinct().join(down.select("n"), "n", "left_anti").select("n", F.col("n").alias("to"))
+        hooks = stored(down.union(top), "hooks")
+        while True:
+            next_ = hooks.select(F.col("n").alias("to"), F.col("to").alias("end"))
+            jumped = stored(hooks.join(next_, "to").select("n", F.col("end").alias("to"), (F.col("end") < F.col("to")).alias("moved")), "hooks")
+            hooks = jumped.select("n", "to")
+            if not jumped.where("moved").head(1):
+                break
+        if labels is None:
+            labels = hooks.select(F.col("n").alias("fp"), F.col("to").alias("label"))
+        else:
+            further = hooks.select(F.col("n").alias("label"), "to")
+            labels = stored(labels.join(further, "label", "left").select("fp", F.coalesce("to", "label").alias("label")), "labels")
+        ends = hooks.select(F.col("n").alias("u"), F.col("to").alias("a"))
+        moved = edges.join(ends, "u").join(ends.withColumnsRenamed({"u": "v", "a": "b"}), "v").where("a <> b")
+        edges = stored(moved.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+    return labels
 
 
 #: A value that more than one in HOT_SHARE rows have is hot; there are fewer than HOT_SHARE of those.
@@ -319,6 +332,7 @@ def cluster(df: DataFrame, width: int = 3, bits: int = 3, key: str = "doc_id", t
     prints = stored(fingerprints(df, width, key, text), "fingerprints")
     first = stored(prints.groupBy("fp").agg(F.min(key).alias("first")), "distinct")
     labels = connected(links(first, bits, node_rows))
+    bounded_batches(df.sparkSession)
     ids = labels.join(first, "fp").groupBy("label").agg(F.min("first").alias("component_id"))
     known = labels.join(ids, "label").select("fp", "component_id")
     known = first.join(known, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
@@ -411,6 +425,7 @@ def near_groups(df: DataFrame, width: int = VIEW_WORDS, bits: int = VIEW_BITS, l
     differing = F.aggregate(F.zip_with("cu", "cv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
     alike = pairs.join(side("u"), "u").join(side("v"), "v").where(similarity(differing, F.col("nu"), F.col("nv")) >= least)
     labels = connected(alike.select(F.col("u").alias("fp"), F.col("v").alias("root")))
+    bounded_batches(df.sparkSession)
     slim = first.select("sig", "first")
     ids = labels.join(slim, labels["fp"] == slim["sig"]).groupBy("label").agg(F.min("first").alias("component_id"))
     known = labels.join(ids, "label").select(F.col("fp").alias("sig"), "component_id")
