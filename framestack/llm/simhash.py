@@ -336,7 +336,7 @@ def cluster(df: DataFrame, width: int = 3, bits: int = 3, key: str = "doc_id", t
     ids = labels.join(first, "fp").groupBy("label").agg(F.min("first").alias("component_id"))
     known = labels.join(ids, "label").select("fp", "component_id")
     known = first.join(known, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(known, "fp").select(key, "fp", "component_id")
+    return _with_hot(prints, known, "fp", prints).select(key, "fp", "component_id")
 
 
 # -- texts alike in any of several views ---------------------------------------------------------
