@@ -30,7 +30,7 @@ WINDOW, SPREAD, LEAST = 8, 3.0, 0.35
 # The Huffman code lengths of the difference categories 0 to 8.
 LENGTHS = (4, 5, 4, 4, 3, 3, 4, 2, 5)
 #: Frames decoded in step at once; bounds the working memory.
-CHUNK = 16_384
+CHUNK = 8192
 
 
 def _codes() -> tuple[np.ndarray, list[int]]:
@@ -139,36 +139,40 @@ def parse_jpeg(data: bytes) -> tuple[int, int, bytes]:
             return width, height, data[at : data.rindex(b"\xff\xd9")].replace(b"\xff\x00", b"\xff")
 
 
+def _entropy_coded(jpeg: bytes) -> bytes:
+    if jpeg.startswith(HEAD):
+        return jpeg[len(HEAD) : -2].replace(b"\xff\x00", b"\xff")
+    width, height, body = parse_jpeg(jpeg)
+    if (width, height) != (SIDE, SIDE):
+        raise ValueError("frames of another size")
+    return body
+
+
 def decode_frames(jpegs: list[bytes]) -> np.ndarray:
-    """(n, SIDE, SIDE) samples; all frames advance together, one sample a step."""
-    out = np.empty((len(jpegs), FRAME), np.int16)
+    """(n, SIDE, SIDE) samples; CHUNK frames at a time advance together, one sample a step."""
+    out = np.empty((len(jpegs), SIDE, SIDE), np.uint8)
     for at in range(0, len(jpegs), CHUNK):
-        part = jpegs[at : at + CHUNK]
-        coded = []
-        for j in part:
-            if j.startswith(HEAD):
-                coded.append(j[len(HEAD) : -2].replace(b"\xff\x00", b"\xff"))
-            else:
-                width, height, body = parse_jpeg(j)
-                if (width, height) != (SIDE, SIDE):
-                    raise ValueError("frames of another size")
-                coded.append(body)
-        size = np.array([len(c) for c in coded], np.int64)
-        data = np.frombuffer(b"".join(coded) + bytes(4), np.uint8).astype(np.uint32)
-        word = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]  # 32 bits from each byte on
-        at_bit = 8 * (np.cumsum(size) - size)
-        got = np.empty((FRAME, len(part)), np.int16)
-        for s in range(FRAME):
-            window = word[at_bit >> 3] << (at_bit & 7).astype(np.uint32)
-            cat = TABLE[window >> np.uint32(32 - TOP)]
-            n = LEN[cat]
-            wide = cat.astype(np.uint32)
-            extra = ((window << n.astype(np.uint32)).astype(np.uint64) >> (32 - wide).astype(np.uint64)).astype(np.int32)
-            half = np.left_shift(1, wide.astype(np.int32)) >> 1
-            got[s] = np.where(extra < half, extra - 2 * half + 1, extra)
-            at_bit += n + cat
-        out[at : at + len(part)] = got.T
-    diff = out.reshape(-1, SIDE, SIDE)
+        out[at : at + CHUNK] = _decode_chunk(jpegs[at : at + CHUNK])
+    return out
+
+
+def _decode_chunk(jpegs: list[bytes]) -> np.ndarray:
+    coded = [_entropy_coded(j) for j in jpegs]
+    size = np.array([len(c) for c in coded], np.int64)
+    data = np.frombuffer(b"".join(coded) + bytes(4), np.uint8).astype(np.uint32)
+    word = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]  # 32 bits from each byte on
+    at_bit = 8 * (np.cumsum(size) - size)
+    got = np.empty((FRAME, len(jpegs)), np.int16)
+    for s in range(FRAME):
+        window = word[at_bit >> 3] << (at_bit & 7).astype(np.uint32)
+        cat = TABLE[window >> np.uint32(32 - TOP)]
+        n = LEN[cat]
+        wide = cat.astype(np.uint32)
+        extra = ((window << n.astype(np.uint32)).astype(np.uint64) >> (32 - wide).astype(np.uint64)).astype(np.int32)
+        half = np.left_shift(1, wide.astype(np.int32)) >> 1
+        got[s] = np.where(extra < half, extra - 2 * half + 1, extra)
+        at_bit += n + cat
+    diff = np.ascontiguousarray(got.T).reshape(-1, SIDE, SIDE)
     diff[:, :, 0] = np.cumsum(diff[:, :, 0], axis=1, dtype=np.int16) + 128
     return np.cumsum(diff, axis=2, dtype=np.int16).astype(np.uint8)
 
@@ -231,10 +235,12 @@ def parse_avi(data: bytes) -> tuple[int, list[bytes]]:
 
 def histograms(frames: np.ndarray) -> np.ndarray:
     """Share of the samples in each of BINS equal ranges, by frame."""
-    n = len(frames)
-    bins = frames.reshape(n, FRAME) >> (8 - BINS.bit_length() + 1)
-    where = bins.astype(np.int64) + BINS * np.arange(n)[:, None]
-    return np.bincount(where.ravel(), minlength=n * BINS).reshape(n, BINS) / FRAME
+    out = np.empty((len(frames), BINS))
+    for at in range(0, len(frames), CHUNK):
+        part = frames[at : at + CHUNK].reshape(-1, FRAME) >> (8 - BINS.bit_length() + 1)
+        where = part + (BINS * np.arange(len(part), dtype=np.int32))[:, None]
+        out[at : at + CHUNK] = np.bincount(where.ravel(), minlength=len(part) * BINS).reshape(-1, BINS) / FRAME
+    return out
 
 
 def shots(hist: np.ndarray) -> list[tuple[int, int]]:
