@@ -11,21 +11,20 @@ span the parts it has linked, fewer than it has fingerprints, and skips nodes th
 Null and empty texts, and texts without words, have fingerprint zero.  Repeated rows stay.
 
 cluster() links single fingerprints.  deduplicated() asks for texts whose sets of five-word shingles
-are alike to 0.8 or more; such texts differ in some ten of 64 bits, out of reach of a budget that a
-trie can carry.  So it takes VIEWS independent fingerprints of each text and pairs texts that come
-within the budget in any one of them: the closer the texts, the surer (see the README for shares).
+have a Jaccard similarity of 0.8 or more; such texts differ in some ten of 64 bits, out of reach of a
+budget that a trie can carry.  There the tries only propose pairs; a prefix join of the shingles
+proposes all others that can be as alike, and every link is confirmed by the exact similarity.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, partitions, stored
@@ -339,10 +338,10 @@ def cluster(df: DataFrame, width: int = 3, bits: int = 3, key: str = "doc_id", t
     return _with_hot(prints, known, "fp", prints).select(key, "fp", "component_id")
 
 
-# -- texts alike in any of several views ---------------------------------------------------------
+# -- signatures of several views ------------------------------------------------------------------
 
 VIEWS, VIEW_BITS, VIEW_WORDS = 24, 5, 5
-#: The least similarity, less the error of its estimate.
+#: Where the estimate of the similarity from all views is cut; signatures serve as an estimate in tests only.
 LEAST = 0.78
 _ODD = np.random.default_rng(64).integers(1 << 62, 1 << 63, VIEWS, dtype=np.uint64) * np.uint64(2) + _ONE
 #: Shingles that are summed at once.
@@ -385,59 +384,178 @@ def signature(text: str | None, width: int = VIEW_WORDS) -> tuple[np.ndarray, in
     return np.packbits(2 * counts > len(base), bitorder="little").view(np.uint64), len(base)
 
 
-def similarity(bits: Column, n: Column, m: Column) -> Column:
-    """Estimated Jaccard of two sets of n and m shingles whose views differ in so many bits."""
-    shared = F.cos(bits * (math.pi / (64 * VIEWS))) * F.sqrt(n * m)
-    return F.when((n > 0) & (m > 0), shared / (n + m - shared)).otherwise((n == m).cast("double"))
+# -- texts alike by their shingles ---------------------------------------------------------------
 
+#: Texts are alike if ALIKE[0] / ALIKE[1] of their shingles are shared.
+ALIKE = (4, 5)
+#: Documents whose shingles are counted to order them, and the count from which one is common; results do not depend on either.
+ORDER_DOCS, COMMON = 50_000, 8
 
-def signatures(df: DataFrame, width: int = VIEW_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, codes array of VIEWS longs, size long)."""
+
+def shingle_set(text: str | None, width: int = VIEW_WORDS) -> np.ndarray:
+    """The sorted hashes of the set of shingles."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    shingles = set(map(b" ".join, zip(*(words[i:] for i in range(width))))) or {b" ".join(words)}
+    return np.unique(np.fromiter(map(_hash, shingles), np.uint64, len(shingles)))
+
+
+def _set_id(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), seed=42)
+
+
+def _set_rows(df: DataFrame, width: int, text: str, pick) -> DataFrame:
+    """(sig long, size long, token long): a row for each hash that pick() gives of a text's set of shingles."""
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [signature(t, width) for t in batch.column(1).to_pylist()]
-            flat = np.concatenate([codes for codes, _ in got]).view(np.int64) if got else np.empty(0, np.int64)
-            ends = np.arange(0, len(flat) + 1, VIEWS, dtype=np.int32)
-            sizes = pa.array([n for _, n in got], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), sizes], [key, "codes", "size"])
+            sets = [shingle_set(t, width) for t in batch.column(0).to_pylist()]
+            if not sets:
+                continue
+            items = [pick(h) for h in sets]
+            n = [len(i) for i in items]
+            sig, size = np.array([_set_id(h) for h in sets], np.uint64).view(np.int64), np.array([len(h) for h in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sig, n)), pa.array(np.repeat(size, n)), pa.array(np.concatenate(items).view(np.int64))], ["sig", "size", "token"])
+
+    return df.select(F.col(text).cast("string")).mapInArrow(run, "sig long, size long, token long")
+
+
+def _whole_sets(df: DataFrame, width: int, text: str) -> DataFrame:
+    """(sig long, fp long, hashes array): the set of shingles of each text and the set's fingerprint."""
+    bounded_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, width) for t in batch.column(0).to_pylist()]
+            if not sets:
+                continue
+            sig = np.array([_set_id(h) for h in sets], np.uint64).view(np.int64)
+            bits = [2 * bit_counts(h[:, None]) > len(h) if len(h) else np.zeros(64, bool) for h in sets]
+            fp = np.packbits(np.array(bits), axis=1, bitorder="little").view(np.int64).ravel()
+            ends = np.concatenate(([0], np.cumsum([len(h) for h in sets]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(fp), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["sig", "fp", "hashes"])
+
+    return df.select(F.col(text).cast("string")).mapInArrow(run, "sig long, fp long, hashes array<long>")
+
+
+def with_set_id(df: DataFrame, width: int = VIEW_WORDS, text: str = "text", name: str = "sig") -> DataFrame:
+    """df and the number of its text's set of shingles."""
+    bounded_batches(df.sparkSession)
+    names, place = df.columns, df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = np.array([_set_id(shingle_set(t, width)) for t in batch.column(place).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got.view(np.int64))], [*names, name])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, f"{fields}, `{name}` long")
+
+
+def _common(df: DataFrame, width: int, text: str) -> np.ndarray:
+    """Hashes of shingles that many texts have: they go last in the order of the prefix join, so they seldom pair texts."""
+    total = df.count()
+    some = df if total <= ORDER_DOCS else df.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(ORDER_DOCS / total * (1 << 30)))
+    counts = _set_rows(some, width, text, lambda h: h).groupBy("token").agg(F.count("*").alias("n"))
+    got = counts.where(F.col("n") >= COMMON).select("token").toArrow().column(0).to_numpy()
+    return np.sort(got.view(np.uint64)) if len(got) else np.empty(0, np.uint64)
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """So many of the first hashes that two sets as alike as ALIKE have one of them in common."""
+    if not len(hashes):
+        return hashes
+    if len(common):
+        last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+        hashes = np.concatenate([hashes[~last], hashes[last]])
+    return hashes[: len(hashes) - -(-ALIKE[0] * len(hashes) // ALIKE[1]) + 1]
 
-    rows = df.select(key, F.col(text).cast("string"))
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, codes array<long>, size long")
 
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("label", F.col("sig"))
+    known = labels.select(F.col("fp").alias("sig"), "label")
+    return rows.join(known, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
 
-def near_groups(df: DataFrame, width: int = VIEW_WORDS, bits: int = VIEW_BITS, least: float = LEAST, key: str = "doc_id", text: str = "text", node_rows: int = NODE_ROWS) -> DataFrame:
-    """(key, component_id): the smallest key reachable over pairs of texts found in any view and alike by all.
 
-    A vertex is a distinct signature, so copies meet in an aggregate.  Within a view, vertices of one
-    code are paired with the smallest of them, and the tries pair the distinct codes.
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) whose sets have a Jaccard similarity of at least ALIKE."""
+    side = lambda n: sets.select(F.col("sig").alias(n), F.col("hashes").alias(f"h{n}"))
+    both = _with_hot(_with_hot(pairs, side("u"), "u", pairs), side("v"), "v", pairs)
+    both = both.select("u", "v", F.size(F.array_intersect("hu", "hv")).alias("shared"), (F.size("hu") + F.size("hv")).alias("sizes"))
+    return both.where(F.col("shared") * ALIKE[1] >= (F.col("sizes") - F.col("shared")) * ALIKE[0]).select("u", "v")
+
+
+def _trie_pairs(sets: DataFrame, bits: int, node_rows: int) -> DataFrame:
+    """(u, v) of sets whose fingerprints are linked; sets of one fingerprint meet the smallest of them."""
+    lowest = stored(sets.groupBy("fp").agg(F.min("sig").alias("v")), "codes")
+    same = sets.select("sig", "fp").join(lowest, "fp").select(F.col("sig").alias("u"), "v")
+    ends = links(lowest.select("fp"), bits, node_rows).join(lowest.withColumnRenamed("v", "u"), "fp").select("u", F.col("root").alias("fp")).join(lowest, "fp").select("u", "v")
+    return same.union(ends).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def set_labels(df: DataFrame, width: int = VIEW_WORDS, bits: int = VIEW_BITS, text: str = "text", node_rows: int = NODE_ROWS) -> DataFrame:
+    """(fp, label) as connected() gives them, for the graph of all sets of shingles that are alike; fp is the set's number.
+
+    Sets that share a hash of their prefixes may be alike, all others cannot be.  First the tries' pairs, and
+    the sets of a hash with one of them only, are confirmed; once more with another one.  Confirmed parts meet
+    no more, and the last round confirms all pairs of a hash that lie in different parts.
     """
-    prints = stored(signatures(df, width, key, text).withColumn("sig", F.xxhash64("codes", "size")), "signatures")
-    first = stored(prints.groupBy("sig").agg(F.min(key).alias("first"), F.any_value("codes").alias("codes"), F.any_value("size").alias("size")), "distinct")
-    each = first.select("sig", F.posexplode("codes").alias("view", "fp"))
-    lowest = stored(each.groupBy("view", "fp").agg(F.min("sig").alias("lowest")), "codes")
-    same = each.join(lowest, ["view", "fp"]).where("sig <> lowest").select(F.col("sig").alias("u"), F.col("lowest").alias("v"))
-    found = links(lowest.select("view", "fp"), bits, node_rows)
-    ends = found.join(lowest, ["view", "fp"]).select("view", F.col("lowest").alias("u"), F.col("root").alias("fp")).join(lowest, ["view", "fp"]).select("u", F.col("lowest").alias("v"))
-    pairs = stored(same.union(ends).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    side = lambda n: first.select(F.col("sig").alias(n), F.col("codes").alias(f"c{n}"), F.col("size").alias(f"n{n}"))
-    differing = F.aggregate(F.zip_with("cu", "cv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, b: a + b)
-    alike = pairs.join(side("u"), "u").join(side("v"), "v").where(similarity(differing, F.col("nu"), F.col("nv")) >= least)
-    labels = connected(alike.select(F.col("u").alias("fp"), F.col("v").alias("root")))
+    common = _common(df, width, text)
+    posted = stored(_set_rows(df, width, text, lambda h: prefix(h, common)), "prefixes")
+    shared = posted.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("token")
+    posted = stored(posted.join(shared, "token").distinct(), "shared")
+    sets = stored(_whole_sets(df, width, text).join(posted.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "sets")
+    alike_sizes = F.least("size", "hub_size") * ALIKE[1] >= F.greatest("size", "hub_size") * ALIKE[0]
+    apart = alike_sizes & (F.col("label") != F.col("hub_label"))
+    rows, labels = posted.withColumn("label", F.col("sig")), None
+    edges = None
+    for turn in range(3):
+        order = F.xxhash64("sig", "token") if turn else F.col("sig")
+        hub = F.min_by(F.struct("sig", "size", "label"), order)
+        hubs = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub.alias("hub")).where("lo <> hi")
+        hubs = hubs.select("token", F.col("hub.sig").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.label").alias("hub_label"))
+        if turn == 2:
+            rows = stored(rows.join(hubs.select("token"), "token"), "open")
+            hubs = rows.withColumnsRenamed({"sig": "hub", "size": "hub_size", "label": "hub_label"})
+        pairs = rows.join(hubs, "token").where(apart).select(F.least("sig", "hub").alias("u"), F.greatest("sig", "hub").alias("v"))
+        if turn == 0:
+            pairs = pairs.union(_trie_pairs(sets, bits, node_rows))
+        found = stored(_alike(stored(pairs.distinct(), "pairs"), sets), "alike")
+        edges = found if edges is None else edges.union(found)
+        labels = connected(edges.select(F.col("u").alias("fp"), F.col("v").alias("root")))
+        if turn < 2:
+            known = labels.select(F.col("fp").alias("sig"), F.col("label").alias("known"))
+            rows = stored(posted.join(known, "sig", "left").select(*posted.columns, F.coalesce("known", "sig").alias("label")), "parts")
+    return labels
+
+
+def _parts(rows: DataFrame, df: DataFrame, key: str, *how) -> DataFrame:
+    """(sig, first, label): of each set of shingles the smallest key and its part; rows are (key, sig)."""
+    first = stored(rows.groupBy("sig").agg(F.min(key).alias("first")), "distinct")
+    known = set_labels(df, *how).withColumnRenamed("fp", "sig")
     bounded_batches(df.sparkSession)
-    slim = first.select("sig", "first")
-    ids = labels.join(slim, labels["fp"] == slim["sig"]).groupBy("label").agg(F.min("first").alias("component_id"))
-    known = labels.join(ids, "label").select(F.col("fp").alias("sig"), "component_id")
-    known = slim.join(known, "sig", "left").select("sig", F.coalesce("component_id", "first").alias("component_id"))
-    return _with_hot(prints.select(key, "sig"), known, "sig", prints).select(key, "component_id")
+    return first.join(known, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+
+
+def near_groups(df: DataFrame, width: int = VIEW_WORDS, bits: int = VIEW_BITS, key: str = "doc_id", text: str = "text", node_rows: int = NODE_ROWS) -> DataFrame:
+    """(key, component_id): the smallest key reachable over pairs of texts that are alike; copies meet in an aggregate."""
+    rows = stored(with_set_id(df.select(key, F.col(text).cast("string").alias("text")), width).drop("text"), "set_ids")
+    parts = stored(_parts(rows, df, key, width, bits, text, node_rows), "parts")
+    ids = parts.groupBy("label").agg(F.min("first").alias("component_id"))
+    return _with_hot(rows, parts.join(ids, "label").select("sig", "component_id"), "sig", rows).select(key, "component_id")
 
 
 def deduplicated(df: DataFrame, width: int = VIEW_WORDS, bits: int = VIEW_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without the documents that near-repeat one with a smaller key; rows of one key (null is one) count as one document."""
-    groups = near_groups(df, width, bits, LEAST, key, text)
-    stay = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct()
+    """df without the documents that near-repeat one with a smaller key; of rows that share the key and the shingles one stays."""
+    rows = stored(with_set_id(df.select(key, F.col(text).cast("string").alias("text")), width).drop("text"), "set_ids")
+    parts = _parts(rows, df, key, width, bits, text)
+    least = F.min_by(F.struct("sig", "first"), F.struct(F.col("first").isNull(), "first", "sig"))
+    stay = parts.groupBy("label").agg(least.alias("one")).select(F.col("one.sig").alias("_sig"), F.col("one.first").alias(key))
     # A null key as two columns without nulls: the join and the aggregate then share one shuffle of the texts.
+    on = ["_sig", "_key", "_none"]
     named = [F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), F.col(key).isNull().alias("_none")]
-    one = df.select("*", *named).join(stay.select(*named), ["_key", "_none"], "left_semi").dropDuplicates(["_key", "_none"])
+    one = with_set_id(df, width, text, "_sig").select("*", *named).join(stay.select("_sig", *named), on, "left_semi").dropDuplicates(on)
     return one.select(*df.columns)

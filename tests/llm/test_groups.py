@@ -222,3 +222,77 @@ def test_op9_odd_rows(odd, empty):
     assert len(got) == odd.count() and {r["source"] for r in got} == {None, "s"} and all(r["copies"] >= 1 for r in got)
     assert mixing.mix(empty).count() == 0 and mixing.repeated(empty).count() == 0
     assert set(mixing.repeated(odd).columns) == set(odd.columns)
+
+
+def exact_groups(texts, width=5):
+    """Parts of the graph of all pairs whose sets of shingles are alike to 0.8, by comparing all pairs."""
+    keys = sorted(texts)
+    sets = []
+    for k in keys:
+        words = (texts[k] or "").lower().split()
+        sets.append(set(zip(*(words[i:] for i in range(width)))) or {tuple(words)})
+    label = list(range(len(keys)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(keys)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    return {k: keys[find(i)] for i, k in enumerate(keys)}
+
+
+def family(rng, members, changed, words=200):
+    """Texts that each change some of the same base's words."""
+    base = [f"w{x}" for x in rng.integers(0, 9999, words)]
+    out = []
+    for _ in range(members):
+        one = base[:]
+        for j in rng.choice(words, changed, replace=False):
+            one[j] = f"c{rng.integers(0, 1 << 40)}"
+        out.append(one)
+    return out
+
+
+def test_links_of_large_families_are_not_lost(spark):
+    """A family whose members are alike to about 0.7 only, but for pairs of members at about 0.85."""
+    rng = np.random.default_rng(3)
+    texts = family(rng, 60, 7)
+    for one in texts[:30]:
+        near = one[:]
+        for j in rng.choice(195, 3, replace=False):
+            near[j] = "n%d" % rng.integers(0, 1 << 40)
+        texts.append(near)
+    texts = {i: " ".join(t) for i, t in enumerate(texts)}
+    want = exact_groups(texts)
+    assert 25 < sum(want[60 + i] == i for i in range(30)) and len(set(want.values())) > 30
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_groups(df).collect()} == want
+
+
+def test_pairs_just_above_and_below_the_least_similarity(spark):
+    """Of 300 pairs at 0.74 to 0.86 exactly those at 0.8 or more are linked."""
+    rng = np.random.default_rng(4)
+    texts, above = {}, 0
+    for i in range(300):
+        base = family(rng, 1, 0, 300)[0]
+        near = base[:]
+        cut = int(rng.integers(23, 45))
+        near[100 : 100 + cut] = [f"n{x}" for x in rng.integers(0, 1 << 40, cut)]
+        texts |= {2 * i: " ".join(base), 2 * i + 1: " ".join(near)}
+        above += 0.8 <= jaccard(texts[2 * i], texts[2 * i + 1]) < 0.85
+    want = exact_groups(texts)
+    assert above > 50 and 50 < sum(want[2 * i + 1] == 2 * i for i in range(300)) < 250
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_groups(df).collect()} == want
+
+
+def test_different_texts_of_one_or_no_key_stay(spark):
+    rows = [(None, "one text without a key"), (None, "and yet another text"), (None, "one text without a key"), (7, "seven is here"), (7, "seven is not here"), (8, "seven is here")]
+    left = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in left) == Counter({rows[0], rows[1], rows[3], rows[4]})
