@@ -422,16 +422,31 @@ def _set_rows(df: DataFrame, width: int, text: str, pick) -> DataFrame:
     return df.select(F.col(text).cast("string")).mapInArrow(run, "sig long, size long, token long")
 
 
-def _whole_sets(df: DataFrame, width: int, text: str) -> DataFrame:
-    """(sig long, fp long, hashes array): the set of shingles of each text and the set's fingerprint."""
+#: Bits of the map that keeps most unpaired sets from the shuffle; sets that it lets through in error fall out in the join.
+MAP_BITS = 1 << 24
+
+
+def _bitmap(rows: DataFrame) -> np.ndarray:
+    """A bit for each set number of rows, by its lowest bits."""
+    bits = np.zeros(MAP_BITS // 8, np.uint8)
+    at = rows.select(F.col("sig").bitwiseAND(F.lit(MAP_BITS - 1)).cast("int").alias("at")).distinct().toArrow().column(0).to_numpy()
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return bits
+
+
+def _whole_sets(df: DataFrame, width: int, text: str, bitmap: np.ndarray) -> DataFrame:
+    """(sig long, fp long, hashes array): the set of shingles of each text in the bitmap and the set's fingerprint."""
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(0).to_pylist()]
+            ids = [_set_id(h) for h in sets]
+            held = [bitmap[(i & MAP_BITS - 1) >> 3] >> (i & 7) & 1 for i in ids]
+            sets = [h for h, k in zip(sets, held) if k]
             if not sets:
                 continue
-            sig = np.array([_set_id(h) for h in sets], np.uint64).view(np.int64)
+            sig = np.array([i for i, k in zip(ids, held) if k], np.uint64).view(np.int64)
             bits = [2 * bit_counts(h[:, None]) > len(h) if len(h) else np.zeros(64, bool) for h in sets]
             fp = np.packbits(np.array(bits), axis=1, bitorder="little").view(np.int64).ravel()
             ends = np.concatenate(([0], np.cumsum([len(h) for h in sets]))).astype(np.int32)
@@ -504,10 +519,11 @@ def set_labels(df: DataFrame, width: int = VIEW_WORDS, bits: int = VIEW_BITS, te
     no more, and the last round confirms all pairs of a hash that lie in different parts.
     """
     common = _common(df, width, text)
-    posted = stored(_set_rows(df, width, text, lambda h: prefix(h, common)), "prefixes")
+    # One shuffle by token serves the aggregate and the join.
+    posted = _set_rows(df, width, text, lambda h: prefix(h, common)).repartition(partitions(df.sparkSession), "token")
     shared = posted.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("token")
     posted = stored(posted.join(shared, "token").distinct(), "shared")
-    sets = stored(_whole_sets(df, width, text).join(posted.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "sets")
+    sets = stored(_whole_sets(df, width, text, _bitmap(posted)).join(posted.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "sets")
     alike_sizes = F.least("size", "hub_size") * ALIKE[1] >= F.greatest("size", "hub_size") * ALIKE[0]
     apart = alike_sizes & (F.col("label") != F.col("hub_label"))
     rows, labels = posted.withColumn("label", F.col("sig")), None
