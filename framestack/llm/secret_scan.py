@@ -1,7 +1,8 @@
 """Secret scans: candidates by patterns, false positives removed by a random forest.
 
 A candidate is a token of at least MIN_LENGTH characters that mixes character kinds or stands behind
-a name such as `token =`.  The forest looks at its length, how its characters follow each other, how
+a name such as `token =`; behind the name of a credential it is the whole value, to the closing quote
+or the next blank, of any SHORT characters or more.  The forest looks at its length, how its characters follow each other, how
 much of it dictionary words cover, whether it stands in a path, and the words beside it.  It is
 trained in numpy on labelled findings: a table (text, start, end, label) of any origin, or, where none
 is at hand, labelled_findings(), a repeatable set of made-up secrets and look-alikes of public kinds.
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 MIN_LENGTH = 12
+#: Characters of a value behind the name of a credential, at least and at most.
+SHORT, LONG = 8, 4096
 TREES, DEPTH, LEAF = 40, 8, 3
 #: Findings that training takes at most.
 MOST_FINDINGS = 20_000
@@ -39,6 +42,7 @@ _TOKEN = re.compile(r"[A-Za-z0-9+/_.\-=]{%d,}" % MIN_LENGTH)
 _PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----.*?-----END (?:[A-Z]+ )?PRIVATE KEY-----", re.S)
 _NAME = re.compile(r"([A-Za-z][A-Za-z0-9_.-]*)[\"']?\s{0,2}(?:[:=]|=>|:=)\s{0,2}[\"']?$")
 _BEARER = re.compile(r"\b(bearer|basic)\s$", re.I)
+_ASSIGNED = re.compile(r"([A-Za-z][A-Za-z0-9_.-]*)[\"']?\s{0,2}(?:=>|:=|[:=])\s{0,2}(?:\"([^\"\n]{%d,%d})\"|'([^'\n]{%d,%d})'|([^\s\"'](?:\S{%d,})))" % (SHORT, LONG, SHORT, LONG, SHORT - 1))
 _WORD = re.compile(r"[A-Za-z]{2,}")
 _PARTS = re.compile(r"[A-Za-z]{3,}")
 _VOWELS = frozenset("aeiouAEIOU")
@@ -49,17 +53,38 @@ NAMES = (
 )
 
 
-def candidates(text: str | None) -> Iterator[tuple[int, int, str]]:
-    """(start, end, name it is assigned to) of what may be a secret."""
+def _values(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, name) of whole values behind names of credentials."""
+    at = 0
+    while m := _ASSIGNED.search(text, at):
+        kind = next(i for i in (2, 3, 4) if m.group(i) is not None)
+        start, value = m.start(kind), m.group(kind)
+        if not any(w in m.group(1).lower() for w in SECRET_WORDS):
+            at = start
+            continue
+        if kind == 4:
+            value = value.rstrip(".,;\"'")
+        kinds = _kinds(value)
+        if len(value) >= SHORT and (kinds[0] or kinds[1] or kinds[3]):
+            yield start, start + len(value), m.group(1)
+        at = m.end(kind)
+
+
+def candidates(text: str | None) -> list[tuple[int, int, str]]:
+    """(start, end, name it is assigned to) of what may be a secret, in text order; a value may hold further candidates."""
     if not text:
-        return
+        return []
+    pems = [(*m.span(), "private key") for m in _PEM.finditer(text)] if "PRIVATE KEY" in text else []
+    inside = lambda c: any(a < c[1] and c[0] < b for a, b, _ in pems)
+    values = [c for c in _values(text) if not inside(c)]
+    starts = {c[0] for c in values}
+    return sorted([*pems, *values, *(c for c in _tokens(text) if c[0] not in starts and not inside(c))])
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int, str]]:
     after = 0
-    pems = [m.span() for m in _PEM.finditer(text)] if "PRIVATE KEY" in text else []
-    yield from ((a, b, "private key") for a, b in pems)
     for m in _TOKEN.finditer(text):
         start, end = m.span()
-        if any(a < end and start < b for a, b in pems):
-            continue
         name = ""
         body = m.group()
         head, mark, tail = body.partition("=")
@@ -210,18 +235,23 @@ def labelled_findings(n: int = 4000, seed: int = 3) -> list[tuple[str, int, int,
         return one((base, base.upper(), f"{word()}_{base}", f"api_{base}", base.title(), f"{base}_{one(('id', 'value', 'new'))}"))
 
     def secret() -> tuple[str, str]:
-        kind = int(rng.integers(8))
+        kind = int(rng.integers(10))
         value = (
             pick(hexes, one((18, 20, 24, 32, 40, 48, 64))), pick(alnum, int(rng.integers(16, 48))), pick(alnum + "+/", int(rng.integers(20, 60))), pick(lower + digits, int(rng.integers(14, 40))),
             one(("AKIA", "ASIA")) + pick(upper + digits, 16), one(("ghp_", "gho_", "glpat-", "npm_", "hf_", "sk_live_", "sk-", "AIza")) + pick(alnum, int(rng.integers(20, 40))),
             "eyJ" + pick(alnum, 20) + "." + pick(alnum + "_-", 30) + "." + pick(alnum + "_-", 30), pick(alnum + "!_-", int(rng.integers(12, 24))),
+            pick(alnum + "!@#$%^&*?+", int(rng.integers(8, 24))), "".join(word()[:6] for _ in range(int(rng.integers(1, 3)))) + pick(digits + "!@#$&*", 2) + pick(alnum, int(rng.integers(2, 6))) + pick(digits, 1),
         )[kind]
         bare = kind in (4, 5, 6) and rng.random() < 0.6
         lead = "" if bare else name(SECRET_WORDS) + one(("=", " = ", ": ", '="', ' = "', '": "'))
         return lead, value + ('"' if lead.endswith('"') else "")
 
     def harmless() -> tuple[str, str]:
-        kind = int(rng.integers(11))
+        kind = int(rng.integers(13))
+        if kind == 11:
+            return name(SECRET_WORDS) + one((": ", " = ", "=")), one((word().title() + word() + word() + "nd", word() + "ing-" + word() + word() + "ed", word() + "tion/" + word() + "ing", "(" + word() + word() + "ment)"))
+        if kind == 12:
+            return name(SECRET_WORDS) + one((" = ", "=", ": ")), one((f"os.environ['{word().upper()}']", "getpass.getpass()", f"config.{word()}_{word()}", f"${{{word().upper()}_{word().upper()}}}", f"self.{word()}.{word()}()", f"<{word()}-{word()}>", "Optional[str]", f"{{{{{word()}_{word()}}}}}"))
         if kind == 0:
             return one(("commit ", "sha: ", "md5 ", "checksum: ", "etag = ", "digest=", "")), pick(hexes, one((32, 40, 64)))
         if kind == 1:
@@ -261,12 +291,20 @@ _FINDING = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("sco
 
 
 def scan_text(texts: list[str | None], forest: Forest, threshold: float) -> list[list[dict]]:
-    found = [list(candidates(t)) for t in texts]
+    found = [candidates(t) for t in texts]
     x = [describe(t, *c) for t, cs in zip(texts, found, strict=True) for c in cs]
     score = forest.predict(np.array(x)).tolist() if x else []
     out, at = [], 0
     for cs in found:
-        out.append([{"start": a, "end": b, "score": p} for (a, b, name), p in zip(cs, score[at : at + len(cs)], strict=True) if p >= threshold or name == "private key"])
+        spans: list[dict] = []
+        for (a, b, name), p in zip(cs, score[at : at + len(cs)], strict=True):
+            if p < threshold and name != "private key":
+                continue
+            if spans and a < spans[-1]["end"]:  # inside the last one, or across its end
+                spans[-1] = {"start": spans[-1]["start"], "end": max(b, spans[-1]["end"]), "score": max(p, spans[-1]["score"])}
+            else:
+                spans.append({"start": a, "end": b, "score": p})
+        out.append(spans)
         at += len(cs)
     return out
 

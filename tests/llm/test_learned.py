@@ -152,3 +152,14 @@ def test_op4_lossless_codec_and_shots():
     assert mjpeg.parse_avi(cut)[1] == parts
     with pytest.raises(ValueError):
         mjpeg.parse_avi(b"RIFF")
+
+
+def test_op2_whole_values_behind_credential_names(spark):
+    forest = secret_scan.train(secret_scan.labelled_findings())
+    cases = [("password = ", "hunter2X9", ""), ('pwd = "', "p@ssW0rd!9xQ", '"'), ('secret = "', "kJ8$mN2!pQ5rT7vW9", '"'), ('db_password: "', "aB3$dE6&gH9*jK", '"'), ("password=", "Tr0ub4dor!x9#kk", "")]
+    pem = "-----BEGIN PRIVATE KEY-----\nMIIabc\n-----END PRIVATE KEY-----"
+    rows = [(i, f"see {a}{value}{b} there") for i, (a, value, b) in enumerate(cases)] + [(9, f"password=Tr0ub4dor!x9#kk then {pem} end")]
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redact(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), forest)).collect()}
+    assert got == {i: f"see {a}<secret>{b} there" for i, (a, _, b) in enumerate(cases)} | {9: "password=<secret> then <secret> end"}
+    harmless = ["The key: Remembering everything", "password = os.environ['PASS']", "token: Optional[str]", "the secret: whatever-happened", "password = getpass.getpass()"]
+    assert secret_scan.scan_text(harmless, forest, 0.5) == [[]] * len(harmless)
