@@ -3,7 +3,7 @@
 A candidate is a token of at least MIN_LENGTH characters that mixes character kinds or stands behind
 a name such as `token =`; behind the name of a credential it is the whole value, to the closing quote
 or the next blank, of any SHORT characters or more.  The forest looks at its length, how its characters follow each other, how
-much of it dictionary words cover, whether it stands in a path, and the words beside it.  It is
+much of it runs of letters that look like words cover, whether it stands in a path, and the words beside it.  It is
 trained in numpy on labelled findings: a table (text, start, end, label) of any origin, or, where none
 is at hand, labelled_findings(), a repeatable set of made-up secrets and look-alikes of public kinds.
 Scanning is one narrow pass over whole texts.  Null and empty texts have no findings; findings do not
