@@ -45,6 +45,14 @@ def key_crc(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary"))
 
 
+def free_name(names: list[str], base: str) -> str:
+    """base, with as many underscores behind it as make it none of the names (case aside)."""
+    taken = {n.lower() for n in names}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,10 +10,11 @@ span the parts it has linked, fewer than it has fingerprints, and skips nodes th
 
 Null and empty texts, and texts without words, have fingerprint zero.  Repeated rows stay.
 
-cluster() links single fingerprints.  deduplicated() asks for texts whose sets of five-word shingles
-have a Jaccard similarity of 0.8 or more; such texts differ in some ten of 64 bits, out of reach of a
-budget that a trie can carry.  There the tries only propose pairs; a prefix join of the shingles
-proposes all others that can be as alike, and every link is confirmed by the exact similarity.
+cluster() links single fingerprints.  near_groups() and deduplicated() ask for texts whose sets of
+five-word shingles have a Jaccard similarity of 0.8 or more; such texts differ in some ten of 64 bits,
+out of reach of a budget that a trie can carry at scale.  There the tries link what differs in few bits,
+a join on shared rare shingles adds the pairs that tries cannot reach, fingerprints of 128 bits drop those
+that cannot be alike, and every link is confirmed by the exact similarity.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions, stored
+from .common import bounded_batches, free_name, partitions, stored
 
 #: Fingerprints of a node pair that one task may hold; larger node pairs are split by CUT_BITS more.
 NODE_ROWS = 1 << 19
@@ -318,11 +319,11 @@ def connected(edges: DataFrame) -> DataFrame:
 HOT_SHARE = 1000
 
 
-def _with_hot(rows: DataFrame, known: DataFrame, on: str, counted: DataFrame) -> DataFrame:
-    """rows joined with known, which has one row for each value of `on`; hot values go by a broadcast of fewer than HOT_SHARE rows."""
+def _with_hot(rows: DataFrame, known: DataFrame, on: str, counted: DataFrame, share: int = HOT_SHARE) -> DataFrame:
+    """rows joined with known, which has one row for each value of `on`; hot values go by a broadcast of fewer than `share` rows."""
     counts = counted.groupBy(on).agg(F.count("*").alias("_n"))
     total = counted.count()
-    hot = F.broadcast(stored(known.join(counts.where(F.col("_n") * HOT_SHARE > total).select(on), on, "left_semi"), "hot"))
+    hot = F.broadcast(stored(known.join(counts.where(F.col("_n") * share > total).select(on), on, "left_semi"), "hot"))
     return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(known, on))
 
 
@@ -338,61 +339,24 @@ def cluster(df: DataFrame, width: int = 3, bits: int = 3, key: str = "doc_id", t
     return _with_hot(prints, known, "fp", prints).select(key, "fp", "component_id")
 
 
-# -- signatures of several views ------------------------------------------------------------------
-
-VIEWS, VIEW_BITS, VIEW_WORDS = 24, 5, 5
-#: Where the estimate of the similarity from all views is cut; signatures serve as an estimate in tests only.
-LEAST = 0.78
-_ODD = np.random.default_rng(64).integers(1 << 62, 1 << 63, VIEWS, dtype=np.uint64) * np.uint64(2) + _ONE
-#: Shingles that are summed at once.
-SUM_ROWS = 1 << 13
-
-
-def bit_counts(hashes: np.ndarray) -> np.ndarray:
-    """How many rows have each bit set, by column of (n, views) hashes: adders over whole words, halving the rows."""
-    planes = [hashes]
-    while len(planes[0]) > 1:
-        if len(planes[0]) & 1:
-            planes = [np.concatenate([p, np.zeros_like(p[:1])]) for p in planes]
-        carry, out = None, []
-        for p in planes:
-            x, y = p[0::2], p[1::2]
-            both = x ^ y
-            out.append(both if carry is None else both ^ carry)
-            carry = x & y if carry is None else (x & y) | (carry & both)
-        planes = [*out, carry]
-    counts = np.zeros(hashes.shape[1] * 64, np.int64)
-    for i, p in enumerate(planes):
-        counts += np.unpackbits(p[0].view(np.uint8), bitorder="little").astype(np.int64) << i
-    return counts
-
-
-def signature(text: str | None, width: int = VIEW_WORDS) -> tuple[np.ndarray, int]:
-    """VIEWS fingerprints of the set of shingles and its size; all zero without words."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(VIEWS, np.uint64), 0
-    shingles = set(map(b" ".join, zip(*(words[i:] for i in range(width))))) or {b" ".join(words)}
-    base = np.fromiter(map(_hash, shingles), np.uint64, len(shingles))
-    counts = np.zeros(VIEWS * 64, np.int64)
-    for at in range(0, len(base), SUM_ROWS):
-        h = base[at : at + SUM_ROWS, None] * _ODD
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        counts += bit_counts(h)
-    return np.packbits(2 * counts > len(base), bitorder="little").view(np.uint64), len(base)
-
-
 # -- texts alike by their shingles ---------------------------------------------------------------
 
-#: Texts are alike if ALIKE[0] / ALIKE[1] of their shingles are shared.
-ALIKE = (4, 5)
+#: Words of a shingle; texts are alike if ALIKE[0] / ALIKE[1] of their shingles are shared.
+WORDS, ALIKE = 5, (4, 5)
+#: Bits within which the tries link the fingerprints of whole sets.
+SET_BITS = 3
 #: Documents whose shingles are counted to order them, and the count from which one is common; results do not depend on either.
 ORDER_DOCS, COMMON = 50_000, 8
+#: Sets of FILTER_FROM shingles or more are not compared if they differ in over FAR of 128 bits.  At a similarity of
+#: 0.8 a bit differs with probability 0.152, so that fewer than one such pair in a million is lost.
+FAR, FILTER_FROM = 44, 32
+#: Shingles whose bits are summed at once.
+SUM_ROWS = 1 << 13
+#: Hubs of pairs whose sets are broadcast: those in over 1 / HUBS of the pairs and of at most HUB_SIZE shingles, so below 32 MB together.
+HUBS, HUB_SIZE = 64, 1 << 16
 
 
-def shingle_set(text: str | None, width: int = VIEW_WORDS) -> np.ndarray:
+def shingle_set(text: str | None, width: int = WORDS) -> np.ndarray:
     """The sorted hashes of the set of shingles."""
     words = (text or "").encode().lower().split()
     if not words:
@@ -405,173 +369,185 @@ def _set_id(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), seed=42)
 
 
-def _set_rows(df: DataFrame, width: int, text: str, pick) -> DataFrame:
-    """(sig long, size long, token long): a row for each hash that pick() gives of a text's set of shingles."""
-    bounded_batches(df.sparkSession)
+def set_prints(hashes: np.ndarray) -> np.ndarray:
+    """Two fingerprints of a set, by its hashes and by those mixed once more; zero for the empty set."""
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(hashes), SUM_ROWS):
+        h = hashes[at : at + SUM_ROWS]
+        mixed = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+        both = np.stack([h, mixed ^ mixed >> np.uint64(29)], 1)
+        ones += np.unpackbits(both.view(np.uint8).reshape(len(h), 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column(0).to_pylist()]
-            if not sets:
-                continue
-            items = [pick(h) for h in sets]
-            n = [len(i) for i in items]
-            sig, size = np.array([_set_id(h) for h in sets], np.uint64).view(np.int64), np.array([len(h) for h in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sig, n)), pa.array(np.repeat(size, n)), pa.array(np.concatenate(items).view(np.int64))], ["sig", "size", "token"])
 
-    return df.select(F.col(text).cast("string")).mapInArrow(run, "sig long, size long, token long")
+def _lists(items: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(i) for i in items]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*items, np.empty(0, np.uint64)]).view(np.int64)))
 
 
-#: Bits of the map that keeps most unpaired sets from the shuffle; sets that it lets through in error fall out in the join.
-MAP_BITS = 1 << 24
+def _ids(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.array([_set_id(h) for h in sets], np.uint64).view(np.int64))
 
 
-def _bitmap(rows: DataFrame) -> np.ndarray:
-    """A bit for each set number of rows, by its lowest bits."""
-    bits = np.zeros(MAP_BITS // 8, np.uint8)
-    at = rows.select(F.col("sig").bitwiseAND(F.lit(MAP_BITS - 1)).cast("int").alias("at")).distinct().toArrow().column(0).to_numpy()
-    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    return bits
+def _described(df: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, sig, size, fp, fp2, prefix) of rows (key, text): number, size, fingerprints and first shingles of each set."""
+    bounded_batches(df.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            prints = np.array([set_prints(h) for h in sets], np.int64).reshape(-1, 2)
+            columns = [batch.column(0), _ids(sets), pa.array([len(h) for h in sets], pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), _lists([prefix(h, *common) for h in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "sig", "size", "fp", "fp2", "prefix"])
 
-def _whole_sets(df: DataFrame, width: int, text: str, bitmap: np.ndarray) -> DataFrame:
-    """(sig long, fp long, hashes array): the set of shingles of each text in the bitmap and the set's fingerprint."""
+    return df.mapInArrow(run, f"key {df.schema['key'].dataType.simpleString()}, sig long, size int, fp long, fp2 long, prefix array<long>")
+
+
+def _whole_sets(df: DataFrame, width: int) -> DataFrame:
+    """(sig, hashes) of rows (key, text)."""
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(0).to_pylist()]
-            ids = [_set_id(h) for h in sets]
-            held = [bitmap[(i & MAP_BITS - 1) >> 3] >> (i & 7) & 1 for i in ids]
-            sets = [h for h, k in zip(sets, held) if k]
-            if not sets:
-                continue
-            sig = np.array([i for i, k in zip(ids, held) if k], np.uint64).view(np.int64)
-            bits = [2 * bit_counts(h[:, None]) > len(h) if len(h) else np.zeros(64, bool) for h in sets]
-            fp = np.packbits(np.array(bits), axis=1, bitorder="little").view(np.int64).ravel()
-            ends = np.concatenate(([0], np.cumsum([len(h) for h in sets]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(fp), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["sig", "fp", "hashes"])
+            yield pa.RecordBatch.from_arrays([_ids(sets), _lists(sets)], ["sig", "hashes"])
 
-    return df.select(F.col(text).cast("string")).mapInArrow(run, "sig long, fp long, hashes array<long>")
+    return df.select("text").mapInArrow(run, "sig long, hashes array<long>")
 
 
-def with_set_id(df: DataFrame, width: int = VIEW_WORDS, text: str = "text", name: str = "sig") -> DataFrame:
+def with_set_id(df: DataFrame, width: int = WORDS, text: str = "text", name: str = "sig") -> DataFrame:
     """df and the number of its text's set of shingles."""
     bounded_batches(df.sparkSession)
     names, place = df.columns, df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([_set_id(shingle_set(t, width)) for t in batch.column(place).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got.view(np.int64))], [*names, name])
+            sets = [shingle_set(t, width) for t in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, _ids(sets)], [*names, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, f"{fields}, `{name}` long")
 
 
-def _common(df: DataFrame, width: int, text: str) -> np.ndarray:
-    """Hashes of shingles that many texts have: they go last in the order of the prefix join, so they seldom pair texts."""
+def _common(df: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that many texts have, ascending, and their counts in a sample of ORDER_DOCS of rows (key, text)."""
     total = df.count()
-    some = df if total <= ORDER_DOCS else df.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(ORDER_DOCS / total * (1 << 30)))
-    counts = _set_rows(some, width, text, lambda h: h).groupBy("token").agg(F.count("*").alias("n"))
-    got = counts.where(F.col("n") >= COMMON).select("token").toArrow().column(0).to_numpy()
-    return np.sort(got.view(np.uint64)) if len(got) else np.empty(0, np.uint64)
+    some = df if total <= ORDER_DOCS else df.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(ORDER_DOCS / total * (1 << 30)))
+    counts = _whole_sets(some, width).select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    got = counts.toArrow()
+    token, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """So many of the first hashes that two sets as alike as ALIKE have one of them in common."""
-    if not len(hashes):
-        return hashes
-    if len(common):
-        last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
-        hashes = np.concatenate([hashes[~last], hashes[last]])
-    return hashes[: len(hashes) - -(-ALIKE[0] * len(hashes) // ALIKE[1]) + 1]
+def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """So many of a set's hashes, rare ones first, that two sets as alike as ALIKE have one of them in common."""
+    n = len(hashes) - -(-ALIKE[0] * len(hashes) // ALIKE[1]) + 1
+    if not len(hashes) or not len(common):
+        return hashes[:n] if len(hashes) else hashes
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    return hashes[np.lexsort((hashes, np.where(common[at] == hashes, counts[at], 0)))][:n]
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return rows.withColumn("label", F.col("sig"))
-    known = labels.select(F.col("fp").alias("sig"), "label")
-    return rows.join(known, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+def _may_be_alike(a: str, b: str) -> Column:
+    """Whether the sizes and the fingerprints of two sets (structs with size, fp, fp2) allow ALIKE."""
+    size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
+    bits = F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) + F.bit_count(F.col(f"{a}.fp2").bitwiseXOR(F.col(f"{b}.fp2")))
+    least, most = F.least(size_a, size_b), F.greatest(size_a, size_b)
+    return (least * ALIKE[1] >= most * ALIKE[0]) & ((least < FILTER_FROM) | (bits <= FAR))
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose sets have a Jaccard similarity of at least ALIKE."""
-    side = lambda n: sets.select(F.col("sig").alias(n), F.col("hashes").alias(f"h{n}"))
-    both = _with_hot(_with_hot(pairs, side("u"), "u", pairs), side("v"), "v", pairs)
-    both = both.select("u", "v", F.size(F.array_intersect("hu", "hv")).alias("shared"), (F.size("hu") + F.size("hv")).alias("sizes"))
-    return both.where(F.col("shared") * ALIKE[1] >= (F.col("sizes") - F.col("shared")) * ALIKE[0]).select("u", "v")
+def _alike(pairs: DataFrame, one: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Pairs (u, v) whose sets have a Jaccard similarity of at least ALIKE; texts are read again for the sets in pairs only."""
+    met = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
+    wanted = stored(one.join(met, "sig", "left_semi").select("sig", "first"), "wanted")
+    picked = docs.join(wanted, docs["key"].eqNullSafe(wanted["first"]), "left_semi")
+    sets = stored(_whole_sets(picked, width).join(wanted, "sig", "left_semi").dropDuplicates(["sig"]), "whole_sets")
+    small = sets.where(F.size("hashes") <= HUB_SIZE)
+    large = sets.where(F.size("hashes") > HUB_SIZE)
 
+    def side(rows: DataFrame, n: str) -> DataFrame:
+        named = lambda s: s.select(F.col("sig").alias(n), F.col("hashes").alias(f"h{n}"))
+        return _with_hot(rows, named(small), n, pairs, HUBS).unionByName(rows.join(named(large), n))
 
-def _trie_pairs(sets: DataFrame, bits: int, node_rows: int) -> DataFrame:
+    both = side(side(pairs, "u"), "v").select("u", "v", F.size(F.array_intersect("hu", "hv")).alias("shared"), (F.size("hu") + F.size("hv")).alias("sizes"))
+    return stored(both.where(F.col("shared") * ALIKE[1] >= (F.col("sizes") - F.col("shared")) * ALIKE[0]).select("u", "v"), "alike")
+
+
+def _trie_pairs(one: DataFrame, bits: int, node_rows: int) -> DataFrame:
     """(u, v) of sets whose fingerprints are linked; sets of one fingerprint meet the smallest of them."""
-    lowest = stored(sets.groupBy("fp").agg(F.min("sig").alias("v")), "codes")
-    same = sets.select("sig", "fp").join(lowest, "fp").select(F.col("sig").alias("u"), "v")
+    lowest = stored(one.groupBy("fp").agg(F.min("sig").alias("v")), "codes")
+    same = one.select("sig", "fp").join(lowest, "fp").select(F.col("sig").alias("u"), "v")
     ends = links(lowest.select("fp"), bits, node_rows).join(lowest.withColumnRenamed("v", "u"), "fp").select("u", F.col("root").alias("fp")).join(lowest, "fp").select("u", "v")
     return same.union(ends).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
-def set_labels(df: DataFrame, width: int = VIEW_WORDS, bits: int = VIEW_BITS, text: str = "text", node_rows: int = NODE_ROWS) -> DataFrame:
+def set_labels(rows: DataFrame, one: DataFrame, docs: DataFrame, width: int, bits: int, node_rows: int) -> DataFrame:
     """(fp, label) as connected() gives them, for the graph of all sets of shingles that are alike; fp is the set's number.
 
-    Sets that share a hash of their prefixes may be alike, all others cannot be.  First the tries' pairs, and
-    the sets of a hash with one of them only, are confirmed; once more with another one.  Confirmed parts meet
-    no more, and the last round confirms all pairs of a hash that lie in different parts.
+    Sets that share a shingle of their prefixes may be alike, all others cannot be.  First the tries' pairs, and
+    those of all sets of a shingle with two of them, are confirmed.  Confirmed parts meet no more: the second
+    round confirms all pairs of a shingle that lie in different parts.
     """
-    common = _common(df, width, text)
-    # One shuffle by token serves the aggregate and the join.
-    posted = _set_rows(df, width, text, lambda h: prefix(h, common)).repartition(partitions(df.sparkSession), "token")
-    shared = posted.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("token")
-    posted = stored(posted.join(shared, "token").distinct(), "shared")
-    sets = stored(_whole_sets(df, width, text, _bitmap(posted)).join(posted.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "sets")
-    alike_sizes = F.least("size", "hub_size") * ALIKE[1] >= F.greatest("size", "hub_size") * ALIKE[0]
-    apart = alike_sizes & (F.col("label") != F.col("hub_label"))
-    rows, labels = posted.withColumn("label", F.col("sig")), None
-    edges = None
-    for turn in range(3):
-        order = F.xxhash64("sig", "token") if turn else F.col("sig")
-        hub = F.min_by(F.struct("sig", "size", "label"), order)
-        hubs = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), hub.alias("hub")).where("lo <> hi")
-        hubs = hubs.select("token", F.col("hub.sig").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.label").alias("hub_label"))
-        if turn == 2:
-            rows = stored(rows.join(hubs.select("token"), "token"), "open")
-            hubs = rows.withColumnsRenamed({"sig": "hub", "size": "hub_size", "label": "hub_label"})
-        pairs = rows.join(hubs, "token").where(apart).select(F.least("sig", "hub").alias("u"), F.greatest("sig", "hub").alias("v"))
-        if turn == 0:
-            pairs = pairs.union(_trie_pairs(sets, bits, node_rows))
-        found = stored(_alike(stored(pairs.distinct(), "pairs"), sets), "alike")
-        edges = found if edges is None else edges.union(found)
-        labels = connected(edges.select(F.col("u").alias("fp"), F.col("v").alias("root")))
-        if turn < 2:
-            known = labels.select(F.col("fp").alias("sig"), F.col("label").alias("known"))
-            rows = stored(posted.join(known, "sig", "left").select(*posted.columns, F.coalesce("known", "sig").alias("label")), "parts")
-    return labels
-
-
-def _parts(rows: DataFrame, df: DataFrame, key: str, *how) -> DataFrame:
-    """(sig, first, label): of each set of shingles the smallest key and its part; rows are (key, sig)."""
-    first = stored(rows.groupBy("sig").agg(F.min(key).alias("first")), "distinct")
-    known = set_labels(df, *how).withColumnRenamed("fp", "sig")
+    me = lambda: F.struct("sig", "size", "fp", "fp2")
+    by_token = Window.partitionBy("token")
+    kept = rows.select("sig", "size", "fp", "fp2", "prefix").dropDuplicates(["sig"])  # copies end in the map tasks
+    posted = kept.select("sig", "size", "fp", "fp2", F.explode("prefix").alias("token")).repartition("token").withColumn("me", me())
+    hubs = {"lo": F.min("sig").over(by_token), "hi": F.max("sig").over(by_token), "hub_a": F.min_by("me", "sig").over(by_token), "hub_b": F.min_by("me", F.xxhash64("sig", "token")).over(by_token)}
+    met = posted.withColumns(hubs).where("lo <> hi")
+    near = lambda hub: F.when((F.col(f"{hub}.sig") != F.col("sig")) & _may_be_alike("me", hub), F.col(f"{hub}.sig"))
+    shared = stored(met.select("token", "sig", "size", "fp", "fp2", near("hub_a").alias("hub_a"), near("hub_b").alias("hub_b")), "shared")
+    starred = shared.select("sig", F.explode(F.array_compact(F.array("hub_a", "hub_b"))).alias("hub")).select(F.least("sig", "hub").alias("u"), F.greatest("sig", "hub").alias("v"))
+    pairs = stored(starred.union(_trie_pairs(one, bits, node_rows)).distinct(), "pairs")
+    edges = _alike(pairs, one, docs, width)
+    labels = connected(edges.select(F.col("u").alias("fp"), F.col("v").alias("root")))
+    named = shared.drop("hub_a", "hub_b").join(labels.withColumnRenamed("fp", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    apart = named.withColumns({"lo": F.min("label").over(by_token), "hi": F.max("label").over(by_token)}).where("lo <> hi").drop("lo", "hi")
+    a = stored(apart.select("token", me().alias("a"), F.col("label").alias("la")), "apart")
+    b = a.withColumnsRenamed({"a": "b", "la": "lb"})
+    rest = a.join(b, "token").where((F.col("a.sig") < F.col("b.sig")) & (F.col("la") != F.col("lb")) & _may_be_alike("a", "b")).select(F.col("a.sig").alias("u"), F.col("b.sig").alias("v")).distinct()
+    rest = stored(rest.join(pairs, ["u", "v"], "left_anti"), "rest")
+    more = _alike(rest, one, docs, width)
+    if not more.head(1):
+        return labels
+    return connected(edges.union(more).select(F.col("u").alias("fp"), F.col("v").alias("root")))
+
+
+def _parts(df: DataFrame, key: str, text: str, width: int, bits: int, node_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(key, sig) of each row of df, and (sig, first, label): of each set of shingles the smallest key and its part."""
+    docs = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = stored(_described(docs, width, _common(docs, width)), "described")
+    one = stored(rows.groupBy("sig").agg(F.min("key").alias("first"), F.min("fp").alias("fp")), "distinct")
+    known = set_labels(rows, one, docs, width, bits, node_rows).withColumnRenamed("fp", "sig")
     bounded_batches(df.sparkSession)
-    return first.join(known, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    return rows.select("key", "sig"), one.select("sig", "first").join(known, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
 
 
-def near_groups(df: DataFrame, width: int = VIEW_WORDS, bits: int = VIEW_BITS, key: str = "doc_id", text: str = "text", node_rows: int = NODE_ROWS) -> DataFrame:
+def near_groups(df: DataFrame, width: int = WORDS, bits: int = SET_BITS, key: str = "doc_id", text: str = "text", node_rows: int = NODE_ROWS) -> DataFrame:
     """(key, component_id): the smallest key reachable over pairs of texts that are alike; copies meet in an aggregate."""
-    rows = stored(with_set_id(df.select(key, F.col(text).cast("string").alias("text")), width).drop("text"), "set_ids")
-    parts = stored(_parts(rows, df, key, width, bits, text, node_rows), "parts")
+    rows, parts = _parts(df, key, text, width, bits, node_rows)
+    parts = stored(parts, "parts")
     ids = parts.groupBy("label").agg(F.min("first").alias("component_id"))
-    return _with_hot(rows, parts.join(ids, "label").select("sig", "component_id"), "sig", rows).select(key, "component_id")
+    return _with_hot(rows, parts.join(ids, "label").select("sig", "component_id"), "sig", rows).select(F.col("key").alias(key), "component_id")
+
 
+def deduplicated(df: DataFrame, width: int = WORDS, bits: int = SET_BITS, key: str = "doc_id", text: str = "text", node_rows: int = NODE_ROWS) -> DataFrame:
+    """df without the documents that near-repeat one with a smaller key; of rows that share the key and the shingles one stays.
 
-def deduplicated(df: DataFrame, width: int = VIEW_WORDS, bits: int = VIEW_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without the documents that near-repeat one with a smaller key; of rows that share the key and the shingles one stays."""
-    rows = stored(with_set_id(df.select(key, F.col(text).cast("string").alias("text")), width).drop("text"), "set_ids")
-    parts = _parts(rows, df, key, width, bits, text)
+    Only the ids of rows that go, and of rows whose key and shingles repeat, meet the texts.
+    """
+    rows, parts = _parts(df, key, text, width, bits, node_rows)
+    parts = stored(parts, "parts")
     least = F.min_by(F.struct("sig", "first"), F.struct(F.col("first").isNull(), "first", "sig"))
-    stay = parts.groupBy("label").agg(least.alias("one")).select(F.col("one.sig").alias("_sig"), F.col("one.first").alias(key))
-    # A null key as two columns without nulls: the join and the aggregate then share one shuffle of the texts.
-    on = ["_sig", "_key", "_none"]
-    named = [F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), F.col(key).isNull().alias("_none")]
-    one = with_set_id(df, width, text, "_sig").select("*", *named).join(stay.select("_sig", *named), on, "left_semi").dropDuplicates(on)
-    return one.select(*df.columns)
+    stay = parts.groupBy("label").agg(least.alias("one")).select("one.sig", F.col("one.first").alias("key"))
+    counted = rows.groupBy("sig", "key").agg((F.count("*") > 1).alias("repeats"))
+    on = counted["sig"].eqNullSafe(stay["sig"]) & counted["key"].eqNullSafe(stay["key"])
+    goes = stored(counted.join(stay, on, "left_anti").select("sig", "key"), "goes")
+    again = stored(counted.where("repeats").select("sig", "key"), "again")
+    own, sig = df.columns, free_name(df.columns, "sig")
+    tagged = with_set_id(df.withColumn(text, F.col(text).cast("string")), width, text, sig)
+    this = lambda ids: (tagged[sig] == ids["sig"]) & tagged[key].eqNullSafe(ids["key"])
+    left = tagged.join(goes, this(goes), "left_anti")
+    once = left.join(again, (left[sig] == again["sig"]) & left[key].eqNullSafe(again["key"]), "left_anti")
+    many = left.join(again, (left[sig] == again["sig"]) & left[key].eqNullSafe(again["key"]), "left_semi")
+    return once.unionByName(many.dropDuplicates([sig, key])).select(*own)

@@ -37,29 +37,6 @@ def brute_components(prints, bits=3):
     return {k: keys[find(i)] for i, k in enumerate(keys)}
 
 
-def alike_groups(texts):
-    """The stage's rule over all pairs: within the budget in some view, and alike by all views together."""
-    keys = sorted(texts)
-    got = [simhash.signature(texts[k]) for k in keys]
-    codes, size = np.array([c for c, _ in got]), np.array([n for _, n in got], float)
-    label = list(range(len(keys)))
-
-    def find(i):
-        while label[i] != i:
-            i = label[i]
-        return i
-
-    for i in range(len(keys)):
-        bits = np.bitwise_count(codes ^ codes[i])
-        shared = np.cos(np.pi * bits.sum(1) / (64 * simhash.VIEWS)) * np.sqrt(size * size[i])
-        with np.errstate(all="ignore"):
-            like = np.where((size > 0) & (size[i] > 0), shared / (size + size[i] - shared), size == size[i])
-        for j in np.flatnonzero((bits.min(1) <= simhash.VIEW_BITS) & (like >= simhash.LEAST)):
-            a, b = find(i), find(int(j))
-            label[max(a, b)] = min(a, b)
-    return {k: keys[find(i)] for i, k in enumerate(keys)}
-
-
 def jaccard(a, b, width=5):
     one, two = (set(zip(*(t.lower().split()[i:] for i in range(width)))) for t in (a, b))
     return len(one & two) / max(1, len(one | two))
@@ -85,11 +62,6 @@ def test_near_copies_of_the_stage(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_groups(df).collect()} == want
 
 
-def test_bit_counts():
-    h = np.random.default_rng(1).integers(0, 1 << 63, (37, 3)).astype(np.uint64)
-    assert np.array_equal(simhash.bit_counts(h), np.unpackbits(h.view(np.uint8).reshape(37, -1), axis=1, bitorder="little").sum(0))
-
-
 def test_op8_equals_brute_force(spark, data, texts):
     prints = {i: brute_fingerprint(t, 3) for i, t in texts.items()}
     want = brute_components(prints)

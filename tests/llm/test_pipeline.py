@@ -2,7 +2,7 @@ from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers as P
-from test_groups import alike_groups
+from test_groups import exact_groups
 
 from framestack.llm import bpe, mixing, queries, secret_scan, toxicity
 
@@ -13,7 +13,7 @@ def test_run_equals_the_stages_done_by_hand(spark, data, docs, texts):
     model = toxicity.train(*toxicity.sample(docs, spark.read.parquet(f"{data}/labels.parquet")))
     score = model.scores([toxicity.word_hashes(t) for t in texts.values()])[0]
     clean = {i: t for (i, t), s in zip(texts.items(), score) if s < toxicity.CUT}
-    group = alike_groups(clean)
+    group = exact_groups(clean)
     kept = {i: t for i, t in clean.items() if group[i] == i}
     forest = secret_scan.train(secret_scan.labelled_findings())
     for i, t in kept.items():
