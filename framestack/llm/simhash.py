@@ -422,7 +422,7 @@ def with_set_id(df: DataFrame, width: int = WORDS, text: str = "text", name: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column(place).to_pylist()]
+            sets = [shingle_set(None if t is None else str(t), width) for t in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, _ids(sets)], [*names, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
@@ -534,20 +534,16 @@ def near_groups(df: DataFrame, width: int = WORDS, bits: int = SET_BITS, key: st
 def deduplicated(df: DataFrame, width: int = WORDS, bits: int = SET_BITS, key: str = "doc_id", text: str = "text", node_rows: int = NODE_ROWS) -> DataFrame:
     """df without the documents that near-repeat one with a smaller key; of rows that share the key and the shingles one stays.
 
-    Only the ids of rows that go, and of rows whose key and shingles repeat, meet the texts.
+    Rows without words are copies of each other.  Different texts under one key, or none, are different rows.
     """
     rows, parts = _parts(df, key, text, width, bits, node_rows)
     parts = stored(parts, "parts")
     least = F.min_by(F.struct("sig", "first"), F.struct(F.col("first").isNull(), "first", "sig"))
     stay = parts.groupBy("label").agg(least.alias("one")).select("one.sig", F.col("one.first").alias("key"))
-    counted = rows.groupBy("sig", "key").agg((F.count("*") > 1).alias("repeats"))
-    on = counted["sig"].eqNullSafe(stay["sig"]) & counted["key"].eqNullSafe(stay["key"])
-    goes = stored(counted.join(stay, on, "left_anti").select("sig", "key"), "goes")
-    again = stored(counted.where("repeats").select("sig", "key"), "again")
-    own, sig = df.columns, free_name(df.columns, "sig")
-    tagged = with_set_id(df.withColumn(text, F.col(text).cast("string")), width, text, sig)
-    this = lambda ids: (tagged[sig] == ids["sig"]) & tagged[key].eqNullSafe(ids["key"])
-    left = tagged.join(goes, this(goes), "left_anti")
-    once = left.join(again, (left[sig] == again["sig"]) & left[key].eqNullSafe(again["key"]), "left_anti")
-    many = left.join(again, (left[sig] == again["sig"]) & left[key].eqNullSafe(again["key"]), "left_semi")
-    return once.unionByName(many.dropDuplicates([sig, key])).select(*own)
+    sig, name, none = (free_name(df.columns, n) for n in ("sig", "name", "none"))
+    # A null key as two columns without nulls: the join and the aggregate then share one shuffle of the texts.
+    named = lambda c: [F.coalesce(c.cast("string"), F.lit("")).alias(name), c.isNull().alias(none)]
+    every = rows.select(F.col("sig").alias(sig), *named(F.col("key"))).distinct()
+    goes = stored(every.join(stay.select(F.col("sig").alias(sig), *named(F.col("key"))), [sig, name, none], "left_anti"), "goes")
+    tagged = with_set_id(df, width, text, sig).select("*", *named(F.col(key)))
+    return tagged.join(goes, [sig, name, none], "left_anti").dropDuplicates([sig, name, none]).select(*df.columns)
