@@ -1,11 +1,13 @@
 """Document fingerprints: a Merkle tree over clauses, paragraphs and sections, in DataFrame functions only.
 
-A blank line parts sections, a line end parts paragraphs.  A paragraph's digest is the SHA-256 of its
-text, a section's that of its paragraphs' digests, and the root that of the sections' digests, so
-equal roots mean equal texts and differing digests locate edits.  Below the paragraphs, clauses (cut
-after marks and after words that end in one of a few letters) have 64-bit digests; the likeness of two
-trees is the share of clauses they have in common (Jaccard).  Null texts count as empty; an empty
-text has one empty paragraph and no clauses.  Two texts without clauses are alike if their roots are.
+A blank line parts sections, a line end parts paragraphs, and a clause ends behind a mark, or a word that
+ends in one of a few letters, and its blanks.  Clauses are the tree's leaves, with their MD5; a paragraph's
+digest is the SHA-256 of its clauses' digests, a section's that of its paragraphs', and the root that of the
+sections'.  So equal roots mean equal texts, and differing digests locate edits.  The likeness of two trees is
+the share of leaves they have in common (Jaccard of the leaf digests that their roots are made of).
+
+Null texts count as empty; an empty text has one empty paragraph without clauses, and two texts without
+clauses are alike if their roots are.  Repeated rows stay; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,30 +19,37 @@ from pyspark.sql import functions as F
 from .common import partitions
 
 #: A clause ends at the blanks behind a character that is no letter or digit, or behind one of these letters.
-CLAUSE_END = r"([^\p{L}\p{N} \t\n\r\f]|[aeoynst])[ \t\n\r\f]+"
+CLAUSE_END = r"(([^\p{L}\p{N} \t\n\r\f]|[aeoynst])[ \t\n\r\f]+)"
 #: Key ranges for each shuffle partition in neighbours().
 RANGES = 4
 
 
-def sections(text: Column) -> Column:
+def tree(text: Column) -> Column:
+    """Sections, each an array of paragraphs, each an array of clause digests; every character is in one clause.
+
+    The unit separator ends a clause here, so one in the text is written otherwise first.
+    """
+    text = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\x1e"), F.lit("\x1e0")), F.lit("\x1f"), F.lit("\x1e1"))
+    leaves = lambda p: F.transform(F.filter(F.split(F.regexp_replace(p, CLAUSE_END, "$1\x1f"), "\x1f", -1), lambda c: c != ""), lambda c: F.md5(c))
+    return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), leaves))
+
+
+def paragraph_digests(tree: Column) -> Column:
     """Array of sections, each an array of paragraph digests (hex)."""
-    text = F.coalesce(text, F.lit(""))
-    return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), lambda p: F.sha2(p, 256)))
+    return F.transform(tree, lambda s: F.transform(s, lambda p: F.sha2(F.array_join(p, ""), 256)))
 
 
 def section_digests(tree: Column) -> Column:
-    return F.transform(tree, lambda s: F.sha2(F.concat(F.lit("section:"), F.array_join(s, "")), 256))
+    return F.transform(paragraph_digests(tree), lambda s: F.sha2(F.concat(F.lit("section:"), F.array_join(s, "")), 256))
 
 
-def root(text: Column) -> Column:
-    return F.sha2(F.concat(F.lit("root:"), F.array_join(section_digests(sections(text)), "")), 256)
+def root(tree: Column) -> Column:
+    return F.sha2(F.concat(F.lit("root:"), F.array_join(section_digests(tree), "")), 256)
 
 
-def clauses(text: Column) -> Column:
-    """Distinct 64-bit digests of the clauses."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), CLAUSE_END, "$1\x1f")
-    parts = F.filter(F.split(marked, "\x1f"), lambda c: c != "")
-    return F.array_distinct(F.transform(parts, lambda c: F.xxhash64(c)))
+def leaves(tree: Column) -> Column:
+    """Distinct clause digests."""
+    return F.array_distinct(F.flatten(F.flatten(tree)))
 
 
 def likeness(a: Column, b: Column, root_a: Column, root_b: Column) -> Column:
@@ -52,7 +61,7 @@ def likeness(a: Column, b: Column, root_a: Column, root_b: Column) -> Column:
 
 def edits(df: DataFrame, text: str, other: str) -> DataFrame:
     """df with `edits`: the (section, paragraph) places whose digests differ between the columns text and other."""
-    a, b = sections(F.col(text)), sections(F.col(other))
+    a, b = paragraph_digests(tree(F.col(text))), paragraph_digests(tree(F.col(other)))
     count = F.greatest(F.size(a), F.size(b))
     differing = F.flatten(
         F.transform(
@@ -120,16 +129,24 @@ def with_edited(pairs: DataFrame) -> DataFrame:
 
 def compare(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text and its edited form, and their likenesses; see the module's top for the cases."""
-    rows = with_edited(neighbours(df, key, text)).select(
+    trees = with_edited(neighbours(df, key, text)).select(
         key,
         "n_chars",
         F.sha2("edited_text", 256).alias("edited_sha256"),
-        root(F.col("text")).alias("fingerprint"),
-        root(F.col("edited_text")).alias("edited_fingerprint"),
-        root(F.col("next_text")).alias("next_fingerprint"),
-        clauses(F.col("text")).alias("c"),
-        clauses(F.col("edited_text")).alias("ce"),
-        clauses(F.col("next_text")).alias("cn"),
+        tree(F.col("text")).alias("t"),
+        tree(F.col("edited_text")).alias("te"),
+        tree(F.col("next_text")).alias("tn"),
+    )
+    rows = trees.select(
+        key,
+        "n_chars",
+        "edited_sha256",
+        root(F.col("t")).alias("fingerprint"),
+        root(F.col("te")).alias("edited_fingerprint"),
+        root(F.col("tn")).alias("next_fingerprint"),
+        leaves(F.col("t")).alias("c"),
+        leaves(F.col("te")).alias("ce"),
+        leaves(F.col("tn")).alias("cn"),
     )
     return rows.select(
         key,

@@ -69,19 +69,18 @@ def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare(table(spark, sf_dir, "documents"))
 
 
-OP7_SQL = """
+_LEAVES = r"list_transform(list_filter(string_split(regexp_replace(p, '(([^\p{{L}}\p{{N}} \t\n\r\f]|[aeoynst])[ \t\n\r\f]+)', '\1' || chr(31), 'g'), chr(31)), lambda c: c <> ''), lambda c: md5(c))"
+_TREE = "list_transform(string_split(replace(replace({}, chr(30), chr(30) || '0'), chr(31), chr(30) || '1'), E'\\n\\n'), lambda s: list_transform(string_split(s, E'\\n'), lambda p: " + _LEAVES + "))"
+_ROOT = "sha256('root:' || array_to_string(list_transform({}, lambda s: sha256('section:' || array_to_string(list_transform(s, lambda p: sha256(array_to_string(p, ''))), ''))), ''))"
+_SET = "list_distinct(flatten(flatten({})))"
+OP7_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next_text FROM d),
 e AS (SELECT *, length(text) AS n_chars, left(text, length(text) - length(text) // 3) || left(next_text, length(text) // 3) AS edited FROM n),
+t AS (SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_TREE.format("text")} AS t, {_TREE.format("edited")} AS te, {_TREE.format("next_text")} AS tn FROM e),
 r AS (
-  SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
-    sha256('root:' || array_to_string(list_transform(string_split(text, E'\\n\\n'), lambda s: sha256('section:' || array_to_string(list_transform(string_split(s, E'\\n'), lambda p: sha256(p)), ''))), '')) AS fingerprint,
-    sha256('root:' || array_to_string(list_transform(string_split(edited, E'\\n\\n'), lambda s: sha256('section:' || array_to_string(list_transform(string_split(s, E'\\n'), lambda p: sha256(p)), ''))), '')) AS edited_fingerprint,
-    sha256('root:' || array_to_string(list_transform(string_split(next_text, E'\\n\\n'), lambda s: sha256('section:' || array_to_string(list_transform(string_split(s, E'\\n'), lambda p: sha256(p)), ''))), '')) AS next_fingerprint,
-    list_distinct(list_filter(string_split(regexp_replace(text, '([^\\p{L}\\p{N} \\t\\n\\r\\f]|[aeoynst])[ \\t\\n\\r\\f]+', '\\1' || chr(31), 'g'), chr(31)), lambda c: c <> '')) AS c,
-    list_distinct(list_filter(string_split(regexp_replace(edited, '([^\\p{L}\\p{N} \\t\\n\\r\\f]|[aeoynst])[ \\t\\n\\r\\f]+', '\\1' || chr(31), 'g'), chr(31)), lambda c: c <> '')) AS ce,
-    list_distinct(list_filter(string_split(regexp_replace(next_text, '([^\\p{L}\\p{N} \\t\\n\\r\\f]|[aeoynst])[ \\t\\n\\r\\f]+', '\\1' || chr(31), 'g'), chr(31)), lambda c: c <> '')) AS cn
-  FROM e),
+  SELECT doc_id, n_chars, edited_sha256, {_ROOT.format("t")} AS fingerprint, {_ROOT.format("te")} AS edited_fingerprint, {_ROOT.format("tn")} AS next_fingerprint,
+    {_SET.format("t")} AS c, {_SET.format("te")} AS ce, {_SET.format("tn")} AS cn FROM t),
 s AS (SELECT *, len(list_intersect(c, ce)) AS be, len(list_intersect(c, cn)) AS bn FROM r)
 SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
   CASE WHEN len(c) + len(ce) > be THEN be::DOUBLE / (len(c) + len(ce) - be) ELSE (fingerprint = edited_fingerprint)::INT::DOUBLE END AS near_edited,
