@@ -4,8 +4,13 @@ pack() stores bytes as 24 x 24 grey 8-bit frames, each a lossless JPEG (SOF3, le
 RIFF/AVI file with an idx1 index.  unpack() parses the index and decodes the frames; shots() cuts
 where the histogram difference to the frame before exceeds an adaptive threshold, and clips()
 gives the timed clip rows.  Everything is one narrow pass; coding runs over all frames of a batch
-in step, in numpy.  Null texts count as empty (one frame of padding); equal inputs give equal files.
-A file is one BINARY value, so below 2 GB.
+in step, in numpy.  Frames are decoded by the Huffman table and predictor they carry; lossy frames, which
+cannot hold a payload, and other predictors are refused.  A file that is refused or broken gives a row with
+its `error`, no payload and no clips; null media gives such a row without an error.
+
+Null texts count as empty (one frame of padding); equal inputs give equal files; repeated rows stay.
+pack() reads key and text only; unpack() replaces columns with the names of its own.  A file is one BINARY
+value, so below 2 GB.
 """
 
 from __future__ import annotations
@@ -49,27 +54,32 @@ assert sum(2.0**-n for n in LENGTHS) < 1  # JPEG leaves the code of all ones unu
 LEN = np.array(LENGTHS, np.int64)
 
 
-def _decode_table() -> np.ndarray:
-    """Category by the next max(LENGTHS) bits."""
-    top = max(LENGTHS)
-    out = np.zeros(1 << top, np.uint8)
-    for c, n in enumerate(LENGTHS):
-        first = int(CODES[c]) << (top - n)
-        out[first : first + (1 << (top - n))] = c
-    return out
-
-
-TOP, TABLE = max(LENGTHS), _decode_table()
+def _decode_table(counts: bytes, symbols: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    """Longest code, and by as many next bits the symbol and its code's length (0: no code), of a DHT segment."""
+    if len(counts) != 16 or len(symbols) < sum(counts) or not sum(counts) or max(symbols[: sum(counts)]) > 8:
+        raise ValueError("unfit Huffman table")
+    top = max(n for n, c in enumerate(counts, 1) if c)
+    symbol, length = np.zeros(1 << top, np.uint8), np.zeros(1 << top, np.int64)
+    code = at = 0
+    for n, c in enumerate(counts[:top], 1):
+        for s in symbols[at : at + c]:
+            first = code << (top - n)
+            symbol[first : first + (1 << (top - n))], length[first : first + (1 << (top - n))] = s, n
+            code += 1
+        at += c
+        code <<= 1
+    return top, symbol, length
 
 
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
+DHT = bytes(LENGTHS.count(n) for n in range(1, 17)) + bytes(ORDER)
 HEAD = (
     b"\xff\xd8"
     + _segment(0xC3, struct.pack(">BHHBBBB", 8, SIDE, SIDE, 1, 1, 0x11, 0))
-    + _segment(0xC4, bytes([0]) + bytes(LENGTHS.count(n) for n in range(1, 17)) + bytes(ORDER))
+    + _segment(0xC4, bytes([0]) + DHT)
     + _segment(0xDA, bytes([1, 1, 0x00, 1, 0, 0]))
 )
 TAIL = b"\xff\xd9"
@@ -122,56 +132,75 @@ def _encode_chunk(frames: np.ndarray) -> list[bytes]:
     return [HEAD + raw[cut[i] : cut[i + 1]].replace(b"\xff", b"\xff\x00") + TAIL for i in range(len(frames))]
 
 
-def parse_jpeg(data: bytes) -> tuple[int, int, bytes]:
-    """Width, height and unstuffed entropy-coded bytes of a frame of this format."""
-    at = 2
-    width = height = 0
+def parse_jpeg(data: bytes) -> tuple[bytes, bytes]:
+    """The Huffman table (16 counts and symbols) and the unstuffed entropy-coded bytes of a lossless grey frame of SIDE x SIDE."""
+    if data.startswith(HEAD):
+        return DHT, data[len(HEAD) : -2].replace(b"\xff\x00", b"\xff")
     if data[:2] != b"\xff\xd8":
         raise ValueError("no JPEG")
-    while True:
+    at, table, shape = 2, {}, None
+    while at + 4 <= len(data) and data[at] == 0xFF:
         mark, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        body = data[at + 4 : at + 2 + size]
+        at += 2 + size
         if mark == 0xC3:
-            _, height, width = struct.unpack(">BHH", data[at + 4 : at + 9])
-        elif mark in (0xC0, 0xC1, 0xC2):
+            shape = struct.unpack(">BHHB", body[:6])
+        elif 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
             raise ValueError("only lossless frames (SOF3) are decoded")
-        at += 2 + size
-        if mark == 0xDA:
-            return width, height, data[at : data.rindex(b"\xff\xd9")].replace(b"\xff\x00", b"\xff")
-
-
-def _entropy_coded(jpeg: bytes) -> bytes:
-    if jpeg.startswith(HEAD):
-        return jpeg[len(HEAD) : -2].replace(b"\xff\x00", b"\xff")
-    width, height, body = parse_jpeg(jpeg)
-    if (width, height) != (SIDE, SIDE):
-        raise ValueError("frames of another size")
-    return body
+        elif mark == 0xC4:
+            while len(body) > 17:
+                n = 17 + sum(body[1:17])
+                table[body[0]] = body[1:n]
+                body = body[n:]
+        elif mark == 0xDD and body != b"\0\0":
+            raise ValueError("restart intervals are not decoded")
+        elif mark == 0xDA:
+            if shape != (8, SIDE, SIDE, 1):
+                raise ValueError(f"frames of another shape: {shape}")
+            if len(body) < 6 or body[0] != 1 or body[3] != 1 or body[5] & 15 or body[2] >> 4 not in table:
+                raise ValueError("a predictor other than the left one, or no table")
+            end = data.rfind(b"\xff\xd9")
+            return table[body[2] >> 4], data[at : end if end >= at else len(data)].replace(b"\xff\x00", b"\xff")
+    raise ValueError("a frame without a scan")
 
 
 def decode_frames(jpegs: list[bytes]) -> np.ndarray:
-    """(n, SIDE, SIDE) samples; CHUNK frames at a time advance together, one sample a step."""
+    """(n, SIDE, SIDE) samples; CHUNK frames of one Huffman table at a time advance together, one sample a step."""
     out = np.empty((len(jpegs), SIDE, SIDE), np.uint8)
-    for at in range(0, len(jpegs), CHUNK):
-        out[at : at + CHUNK] = _decode_chunk(jpegs[at : at + CHUNK])
+    coded: dict[bytes, list[tuple[int, bytes]]] = {}
+    for i, j in enumerate(jpegs):
+        table, body = parse_jpeg(j)
+        coded.setdefault(table, []).append((i, body))
+    for table, frames in coded.items():
+        read = _decode_table(table[:16], table[16:])
+        for at in range(0, len(frames), CHUNK):
+            places, bodies = zip(*frames[at : at + CHUNK], strict=True)
+            out[list(places)] = _decode_chunk(bodies, *read)
     return out
 
 
-def _decode_chunk(jpegs: list[bytes]) -> np.ndarray:
-    coded = [_entropy_coded(j) for j in jpegs]
+def _decode_chunk(coded: tuple[bytes, ...], top: int, symbol: np.ndarray, length: np.ndarray) -> np.ndarray:
     size = np.array([len(c) for c in coded], np.int64)
     data = np.frombuffer(b"".join(coded) + bytes(4), np.uint8).astype(np.uint32)
     word = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]  # 32 bits from each byte on
     at_bit = 8 * (np.cumsum(size) - size)
-    got = np.empty((FRAME, len(jpegs)), np.int16)
+    end_bit = 8 * np.cumsum(size)
+    got = np.empty((FRAME, len(coded)), np.int16)
     for s in range(FRAME):
+        if (at_bit >= end_bit).any():
+            raise ValueError("a frame ends too early")
         window = word[at_bit >> 3] << (at_bit & 7).astype(np.uint32)
-        cat = TABLE[window >> np.uint32(32 - TOP)]
-        n = LEN[cat]
+        next_bits = window >> np.uint32(32 - top)
+        cat, n = symbol[next_bits], length[next_bits]
+        if not n.all():
+            raise ValueError("a code that the table lacks")
         wide = cat.astype(np.uint32)
         extra = ((window << n.astype(np.uint32)).astype(np.uint64) >> (32 - wide).astype(np.uint64)).astype(np.int32)
         half = np.left_shift(1, wide.astype(np.int32)) >> 1
         got[s] = np.where(extra < half, extra - 2 * half + 1, extra)
         at_bit += n + cat
+    if (at_bit > end_bit).any():
+        raise ValueError("a frame ends too early")
     diff = np.ascontiguousarray(got.T).reshape(-1, SIDE, SIDE)
     diff[:, :, 0] = np.cumsum(diff[:, :, 0], axis=1, dtype=np.int16) + 128
     return np.cumsum(diff, axis=2, dtype=np.int16).astype(np.uint8)
@@ -203,7 +232,7 @@ def parse_avi(data: bytes) -> tuple[int, list[bytes]]:
     """Microseconds a frame and the coded video frames, found through idx1 (through movi where there is none)."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no AVI file")
-    at, movie, index, micros = 12, 0, None, 0
+    at, movie, until, index, micros = 12, 0, 0, None, 0
     while at + 8 <= len(data):
         name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
         if name == b"LIST" and data[at + 8 : at + 12] == b"hdrl":
@@ -211,7 +240,7 @@ def parse_avi(data: bytes) -> tuple[int, list[bytes]]:
         elif name == b"LIST" and data[at + 8 : at + 12] == b"movi":
             movie, until = at + 8, at + 8 + size
         elif name == b"idx1":
-            index = np.frombuffer(data, "<u4", size // 4, at + 8).reshape(-1, 4)
+            index = np.frombuffer(data[at + 8 : at + 8 + size // 16 * 16], "<u4").reshape(-1, 4)
         at += 8 + size + (size & 1)
     frames = []
     if index is not None:
@@ -289,27 +318,50 @@ CLIP = "array<struct<first:int,after:int,start_ms:double,end_ms:double>>"
 _CLIP = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32()), ("start_ms", pa.float64()), ("end_ms", pa.float64())]))
 
 
+def read_files(media: list[bytes | None]) -> list[tuple[int, np.ndarray | None, str | None]]:
+    """(microseconds a frame, samples or None, error or None) of each file; the frames of all sound files are decoded together."""
+    out: list = []
+    for m in media:
+        try:
+            out.append((*parse_avi(m), None) if m is not None else (0, None, None))
+        except (ValueError, struct.error) as error:
+            out.append((0, None, str(error) or "broken file"))
+    try:
+        frames = decode_frames([f for _, fs, _ in out if fs for f in fs])
+    except (ValueError, IndexError, struct.error):
+        for i, (micros, fs, error) in enumerate(out):  # file by file, to tell the broken ones
+            try:
+                out[i] = (micros, None if fs is None else decode_frames(fs), error)
+            except (ValueError, IndexError, struct.error) as found:
+                out[i] = (0, None, str(found) or "broken frame")
+        return out
+    at = 0
+    for i, (micros, fs, error) in enumerate(out):
+        if fs is not None:
+            out[i] = (micros, frames[at : at + len(fs)], error)
+            at += len(fs)
+    return out
+
+
 def unpack(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with payload binary (the samples read back), frames int and clips array for each media file."""
+    """df with payload binary (the samples read back), frames int, clips array and error string for each media file."""
     bounded_batches(df.sparkSession)
-    rows = df.drop("payload", "frames", "clips")
+    rows = df.drop("payload", "frames", "clips", "error")
     names, place = rows.columns, rows.columns.index(media)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [parse_avi(m) for m in batch.column(place).to_pylist()]
-            frames = decode_frames([f for _, fs in parsed for f in fs])
-            hist = histograms(frames)
-            at, body, clips = 0, [], []
-            for micros, fs in parsed:
-                part = slice(at, at + len(fs))
-                at += len(fs)
-                body.append(frames[part].tobytes())
-                clips.append([{"first": a, "after": b, "start_ms": a * micros / 1000, "end_ms": b * micros / 1000} for a, b in shots(hist[part])])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(body, pa.binary()), pa.array([len(fs) for _, fs in parsed], pa.int32()), pa.array(clips, _CLIP)], [*names, "payload", "frames", "clips"])
+            body, count, clips, errors = [], [], [], []
+            for micros, frames, error in read_files(batch.column(place).to_pylist()):
+                body.append(None if frames is None else frames.tobytes())
+                count.append(0 if frames is None else len(frames))
+                cuts = [] if frames is None else shots(histograms(frames))
+                clips.append([{"first": a, "after": b, "start_ms": a * micros / 1000, "end_ms": b * micros / 1000} for a, b in cuts])
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(body, pa.binary()), pa.array(count, pa.int32()), pa.array(clips, _CLIP), pa.array(errors, pa.string())], [*names, "payload", "frames", "clips", "error"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{fields}, payload binary, frames int, clips {CLIP}")
+    return rows.mapInArrow(run, f"{fields}, payload binary, frames int, clips {CLIP}, error string")
 
 
 def clips(df: DataFrame, key: str = "doc_id") -> DataFrame:
