@@ -22,8 +22,8 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secret_scan.train(secret_scan.labelled_findings())
-    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), forest)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.trained(docs))
     spans = F.array_join(F.transform("findings", lambda f: F.concat_ws("-", f["start"], f["end"])), ",")
     counted = found.withColumns({"n_findings": F.size("findings"), "spans": spans})
     return secret_scan.redact(counted).select("doc_id", "n_findings", "spans", F.sha2("text", 256).alias("redacted_sha256"))
@@ -36,7 +36,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = mjpeg.unpack(mjpeg.pack(table(spark, sf_dir, "documents")))
-    clip = lambda c: F.concat_ws("-", c["first"], c["after"])
+    clip = lambda c: F.concat(F.concat_ws("-", c["first"], c["after"]), F.lit("@"), F.concat_ws("-", c["start_ms"].cast("long"), c["end_ms"].cast("long")))
     return media.select(
         "doc_id",
         "n_bytes",

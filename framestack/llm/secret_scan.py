@@ -2,17 +2,21 @@
 
 A candidate is a token of at least MIN_LENGTH characters that mixes character kinds or stands behind
 a name such as `token =`; behind the name of a credential it is the whole value, to the closing quote
-or the next blank, of any SHORT characters or more.  The forest looks at its length, how its characters follow each other, how
-much of it runs of letters that look like words cover, whether it stands in a path, and the words beside it.  It is
-trained in numpy on labelled findings: a table (text, start, end, label) of any origin, or, where none
-is at hand, labelled_findings(), a repeatable set of made-up secrets and look-alikes of public kinds.
+or the next blank, of any SHORT characters or more.  The forest looks at its length, at its character
+transitions (how often kinds change, and how likely its letters follow each other in words), how much of it
+words of a dictionary cover, whether it stands in a path, and the words beside it.  Dictionary and letter
+transitions are a Lexicon: the WORDS words that most documents have, counted over all of them.
+
+The forest is trained in numpy on labelled findings: a table (text, start, end, label) of any origin, or, where
+none is at hand, labelled_findings(), a repeatable set of made-up secrets and look-alikes of public kinds.
 Scanning is one narrow pass over whole texts.  Null and empty texts have no findings; findings do not
-overlap and are in text order.
+overlap and are in text order.  Repeated rows stay; a column named findings is replaced, others are kept.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +31,10 @@ MIN_LENGTH = 12
 #: Characters of a value behind the name of a credential, at least and at most.
 SHORT, LONG = 8, 4096
 TREES, DEPTH, LEAF = 40, 8, 3
-#: Findings that training takes at most.
+#: Findings that training takes at most (a sample of more).
 MOST_FINDINGS = 20_000
+#: Words of a lexicon at most, documents that must have a word, and its letters.
+WORDS, LEAST_DOCS, WORD_LETTERS = 50_000, 3, (3, 20)
 THRESHOLD = 0.5
 MASK = "<secret>"
 
@@ -39,20 +45,76 @@ PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "dummy", "
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk-", "rk_live_", "AIza", "eyJ", "SG.", "npm_", "hf_")
 
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.\-=]{%d,}" % MIN_LENGTH)
-_PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----.*?-----END (?:[A-Z]+ )?PRIVATE KEY-----", re.S)
+_BEGIN = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")
+_END = re.compile(r"-----END (?:[A-Z]+ )?PRIVATE KEY-----")
 _NAME = re.compile(r"([A-Za-z][A-Za-z0-9_.-]*)[\"']?\s{0,2}(?:[:=]|=>|:=)\s{0,2}[\"']?$")
 _BEARER = re.compile(r"\b(bearer|basic)\s$", re.I)
 _ASSIGNED = re.compile(r"([A-Za-z][A-Za-z0-9_.-]*)[\"']?\s{0,2}(?:=>|:=|[:=])\s{0,2}(?:\"([^\"\n]{%d,%d})\"|'([^'\n]{%d,%d})'|([^\s\"'](?:\S{%d,})))" % (SHORT, LONG, SHORT, LONG, SHORT - 1))
 _WORD = re.compile(r"[A-Za-z]{2,}")
 _PARTS = re.compile(r"[A-Za-z]{3,}")
+_LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _VOWELS = frozenset("aeiouAEIOU")
 
 NAMES = (
-    "length", "digit", "upper", "lower", "symbol", "classes", "changes", "entropy", "hex", "vowel", "repeat", "cover", "placeholder", "prefix", "assigned",
+    "length", "digit", "upper", "lower", "symbol", "classes", "changes", "entropy", "hex", "vowel", "repeat", "cover", "transition", "placeholder", "prefix", "assigned",
     "secret_name", "harmless_name", "secret_near", "harmless_near", "path", "quoted", "digits_only", "words", "dashes", "run",
 )
 
 
+# -- lexicon -----------------------------------------------------------------------------------
+
+
+@dataclass
+class Lexicon:
+    """Words, and log probabilities of a letter behind a letter in them (0 to 25; 26 is the word's edge)."""
+
+    words: frozenset[str]
+    follow: np.ndarray
+
+    def cover(self, s: str) -> float:
+        """The largest share of s that disjoint words cover."""
+        best = 0
+        for m in _PARTS.finditer(s):
+            best += self._covered(m.group().lower())
+        return best / len(s)
+
+    def _covered(self, run: str) -> int:
+        if run in self.words:
+            return len(run)
+        upto = [0] * (len(run) + 1)
+        for end in range(1, len(run) + 1):
+            upto[end] = upto[end - 1]
+            for n in range(WORD_LETTERS[0], min(end, WORD_LETTERS[1]) + 1):
+                if upto[end - n] + n > upto[end] and run[end - n : end] in self.words:
+                    upto[end] = upto[end - n] + n
+        return upto[-1]
+
+    def transition(self, s: str) -> float:
+        """Mean log probability of the letters that follow letters in s; that of a chance sequence without any."""
+        pairs = [(ord(a) - 97, ord(b) - 97) for m in _LETTERS.finditer(s) for a, b in zip(m.group().lower(), m.group().lower()[1:])]
+        return float(np.mean([self.follow[p] for p in pairs])) if pairs else -float(np.log(26))
+
+
+def make_lexicon(words: list[str]) -> Lexicon:
+    """A lexicon of the words of ASCII letters; others count as they are, without their transitions."""
+    count = np.ones((27, 27))
+    for w in words:
+        codes = [26, *(ord(c) - 97 for c in w), 26] if w.isascii() else []
+        for a, b in zip(codes, codes[1:]):
+            count[a, b] += 1
+    return Lexicon(frozenset(words), np.log(count / count.sum(1, keepdims=True)))
+
+
+def lexicon(df: DataFrame, text: str = "text", words: int = WORDS) -> Lexicon:
+    """The `words` commonest words of df by the documents that have them; all documents are counted, and ties go by the word."""
+    each = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit(r"(?<![\p{L}\p{N}_])\p{L}{%d,%d}(?![\p{L}\p{N}_])" % WORD_LETTERS), 0))
+    counts = df.select(F.explode(each).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    return make_lexicon([r["word"] for r in counts.orderBy(F.col("n").desc(), "word").limit(words).collect()])
+
+
+# -- candidates --------------------------------------------------------------------------------
+
+
 def _values(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, name) of whole values behind names of credentials."""
     at = 0
@@ -74,11 +136,24 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, name it is assigned to) of what may be a secret, in text order; a value may hold further candidates."""
     if not text:
         return []
-    pems = [(*m.span(), "private key") for m in _PEM.finditer(text)] if "PRIVATE KEY" in text else []
-    inside = lambda c: any(a < c[1] and c[0] < b for a, b, _ in pems)
+    pems = list(_pems(text)) if "PRIVATE KEY" in text else []
+    starts = [a for a, _, _ in pems]
+
+    def inside(c: tuple[int, int, str]) -> bool:
+        at = bisect_left(starts, c[1]) - 1
+        return at >= 0 and c[0] < pems[at][1]
+
     values = [c for c in _values(text) if not inside(c)]
-    starts = {c[0] for c in values}
-    return sorted([*pems, *values, *(c for c in _tokens(text) if c[0] not in starts and not inside(c))])
+    taken = {c[0] for c in values}
+    return sorted([*pems, *values, *(c for c in _tokens(text) if c[0] not in taken and not inside(c))])
+
+
+def _pems(text: str) -> Iterator[tuple[int, int, str]]:
+    """Private keys from a BEGIN line to the next END line; the search ends with the last END line."""
+    at = 0
+    while (first := _BEGIN.search(text, at)) and (last := _END.search(text, first.end())):
+        yield first.start(), last.end(), "private key"
+        at = last.end()
 
 
 def _tokens(text: str) -> Iterator[tuple[int, int, str]]:
@@ -109,7 +184,7 @@ def _kinds(s: str) -> tuple[bool, bool, bool, bool]:
     return any(map(str.isdigit, s)), any(map(str.isupper, s)), any(map(str.islower, s)), not s.isalnum()
 
 
-def describe(text: str, start: int, end: int, name: str) -> list[float]:
+def describe(text: str, start: int, end: int, name: str, known: Lexicon) -> list[float]:
     """The forest's view of a candidate."""
     s = text[start:end]
     n = len(s)
@@ -118,7 +193,6 @@ def describe(text: str, start: int, end: int, name: str) -> list[float]:
     changes = sum(a != b for a, b in zip(kind, kind[1:])) / max(1, n - 1)
     share = np.unique(list(s), return_counts=True)[1] / n
     low = s.lower()
-    covered = sum(len(w) for w in _PARTS.findall(s) if _pronounceable(w)) / n
     names = set(re.findall(r"[a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
     before = [w.lower() for w in _WORD.findall(text[max(0, start - 60) : start])][-4:]
     near = set(before + [w.lower() for w in _WORD.findall(text[end : end + 40])][:3])
@@ -128,21 +202,13 @@ def describe(text: str, start: int, end: int, name: str) -> list[float]:
         longest = max(longest, runs)
     return [
         np.log(n), *count, float((count > 0).sum()), changes, float(-(share * np.log2(share)).sum()), float(all(c in "0123456789abcdefABCDEF" for c in s)),
-        sum(c in _VOWELS for c in s) / n, longest / n, covered, float(any(p in low for p in PLACEHOLDERS)), float(s.startswith(PREFIXES)), float(bool(name)),
+        sum(c in _VOWELS for c in s) / n, longest / n, known.cover(s), known.transition(s), float(any(p in low for p in PLACEHOLDERS)), float(s.startswith(PREFIXES)), float(bool(name)),
         float(any(w in x for x in names for w in SECRET_WORDS)), float(bool(names.intersection(HARMLESS_WORDS))), float(bool(near.intersection(SECRET_WORDS))), float(bool(near.intersection(HARMLESS_WORDS))),
         float(s.count("/") > 1 or text[max(0, start - 1) : start] == "/" or bool(re.search(r"\.[a-z]{2,4}$", s))), float(text[start - 1 : start] in ("'", '"') and start > 0),
         float(s.isdigit()), float(len(_PARTS.findall(s))), float(s.count("-")), float(longest),
     ]
 
 
-def _pronounceable(word: str) -> bool:
-    """Whether letters alternate as they do in words: no case change inside, vowels neither rare nor most."""
-    if not (word.islower() or word.isupper() or word.istitle()):
-        return False
-    share = sum(c in _VOWELS for c in word) / len(word)
-    return 0.2 <= share <= 0.7 and len(word) >= 4
-
-
 # -- forest ------------------------------------------------------------------------------------
 
 
@@ -209,25 +275,44 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 5) -> Fore
     return Forest(pad(0, -1, np.int64), pad(1, 0.0, float), pad(2, 0, np.int64), pad(3, 0.5, float))
 
 
-def train(findings: list[tuple[str, int, int, int]], trees: int = TREES, seed: int = 5) -> Forest:
+@dataclass
+class Scanner:
+    """A trained forest and the lexicon that its descriptions use."""
+
+    forest: Forest
+    known: Lexicon
+
+
+def train(findings: list[tuple[str, int, int, int]], known: Lexicon, trees: int = TREES, seed: int = 5) -> Scanner:
     """From labelled findings (text, start, end, label); with one label only, that label is predicted everywhere."""
+    if len(findings) > MOST_FINDINGS:
+        findings = [findings[i] for i in np.sort(np.random.default_rng(seed).choice(len(findings), MOST_FINDINGS, replace=False))]
     x, y = [], []
-    for text, start, end, label in findings[:MOST_FINDINGS]:
+    for text, start, end, label in findings:
         found = _NAME.search(text[max(0, start - 48) : start]) or _BEARER.search(text[max(0, start - 48) : start])
-        x.append(describe(text, start, end, found.group(1) if found else ""))
+        x.append(describe(text, start, end, found.group(1) if found else "", known))
         y.append(label)
-    return fit(np.array(x, float).reshape(-1, len(NAMES)), np.array(y, float), trees, seed)
+    return Scanner(fit(np.array(x, float).reshape(-1, len(NAMES)), np.array(y, float), trees, seed), known)
+
+
+def trained(df: DataFrame, text: str = "text") -> Scanner:
+    """A scanner for df: its lexicon, and a forest trained on made-up findings among its words."""
+    known = lexicon(df, text)
+    return train(labelled_findings(known), known)
 
 
-def labelled_findings(n: int = 4000, seed: int = 3) -> list[tuple[str, int, int, int]]:
-    """Made-up secrets and look-alikes, half and half, among made-up words."""
+def labelled_findings(known: Lexicon, n: int = 4000, seed: int = 3) -> list[tuple[str, int, int, int]]:
+    """Made-up secrets and look-alikes, half and half, among words of the lexicon and some made-up ones."""
     rng = np.random.default_rng(seed)
     pick = lambda chars, k: "".join(rng.choice(list(chars), k))
     one = lambda items: items[int(rng.integers(len(items)))]
     hexes, digits, upper, lower = "0123456789abcdef", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     alnum = digits + upper + lower
+    words = sorted(w for w in known.words if w.isascii() and len(w) <= 9)
 
     def word() -> str:
+        if words and rng.random() < 0.8:
+            return one(words)
         return "".join(one(("th", "er", "on", "an", "re", "in", "st", "en", "de", "la", "qu", "ment", "ung", "ció", "ado", "ou", "al", "ti")) for _ in range(int(rng.integers(1, 5))))
 
     def name(words: tuple[str, ...]) -> str:
@@ -290,10 +375,10 @@ FINDING = "array<struct<start:int,end:int,score:double>>"
 _FINDING = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
-def scan_text(texts: list[str | None], forest: Forest, threshold: float) -> list[list[dict]]:
+def scan_text(texts: list[str | None], scanner: Scanner, threshold: float = THRESHOLD) -> list[list[dict]]:
     found = [candidates(t) for t in texts]
-    x = [describe(t, *c) for t, cs in zip(texts, found, strict=True) for c in cs]
-    score = forest.predict(np.array(x)).tolist() if x else []
+    x = [describe(t, *c, scanner.known) for t, cs in zip(texts, found, strict=True) for c in cs]
+    score = scanner.forest.predict(np.array(x)).tolist() if x else []
     out, at = [], 0
     for cs in found:
         spans: list[dict] = []
@@ -309,15 +394,16 @@ def scan_text(texts: list[str | None], forest: Forest, threshold: float) -> list
     return out
 
 
-def scan(df: DataFrame, forest: Forest, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scan(df: DataFrame, scanner: Scanner, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df with `findings`: spans in characters (end exclusive) and the forest's share of votes; replaces a column of that name."""
     bounded_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(scanner)  # at most WORDS words and TREES trees
     rows = df.drop("findings")
     names, place = rows.columns, rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = scan_text(batch.column(place).to_pylist(), forest, threshold)
+            got = scan_text(batch.column(place).to_pylist(), shared.value, threshold)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, _FINDING)], [*names, "findings"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
