@@ -24,17 +24,25 @@ def keywords_compatible(left: Column, right: Column) -> Column:
     return F.forall(F.map_keys(left), lambda k: same_or_unknown(F.element_at(left, k), F.element_at(right, k)))
 
 
+#: Groups that best_match() broadcasts at most.
+MOST_GROUPS = 100_000
+
+
 def best_match(targets: DataFrame, key: str, groups: DataFrame, on: list[str], compatible: Column, rank: list[Column], tie: list[Column]) -> DataFrame:
     """Each target with its best compatible group and the number of `candidates`; targets without one keep nulls.
 
-    Groups are a dimension of bounded size (one row a calibration group); they meet targets through
-    the equality columns `on`, then the best is an aggregate, so no target's matches are gathered.
+    Groups meet targets through the equality columns `on`; without such columns there may be at most
+    MOST_GROUPS of them, which are counted and broadcast.  The best is an aggregate, so no target's matches are
+    gathered; repeated targets stay apart.
     """
-    met = targets.join(groups, on, "left") if on else targets.join(F.broadcast(groups), compatible, "left")
+    if not on and groups.limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups need equality columns")
+    numbered = targets.withColumn("_row", F.monotonically_increasing_id())
+    met = numbered.join(groups, on, "left") if on else numbered.join(F.broadcast(groups), compatible, "left")
     ok = F.coalesce(compatible, F.lit(False))
     order = F.struct(*rank, *tie)
     own, brought = targets.columns, [c for c in groups.columns if c not in on]
-    best = met.groupBy(*own).agg(F.count_if(ok).alias("candidates"), F.min_by(F.when(ok, F.struct(*brought)), F.when(ok, order)).alias("best"))
+    best = met.groupBy("_row", *own).agg(F.count_if(ok).alias("candidates"), F.min_by(F.when(ok, F.struct(*brought)), F.when(ok, order)).alias("best"))
     return best.select(*own, "candidates", "best.*")
 
 
@@ -73,6 +81,8 @@ def mutual_nearest(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def shared_path(spark) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("framestack.scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -1,4 +1,4 @@
-"""Evidence and decisions: rules as expressions, worst evidence by family, admission."""
+"""Flags, scores and decisions: rules as expressions, blocks, admission."""
 
 from __future__ import annotations
 
@@ -7,71 +7,6 @@ from pyspark.sql import functions as F
 
 from .stats import MADN, best_high, best_low, clean, over
 
-SEVERITY = ("INFO", "WARNING", "REVIEW", "ERROR", "HARD_FAIL")
-
-
-def severity_rank(c: Column) -> Column:
-    return F.array_position(F.array(*map(F.lit, SEVERITY)), c)
-
-
-def evidence(code: str, family: str, severity: str, when: Column, value: Column | None = None) -> Column:
-    """A struct of evidence where the condition holds, else null (also where it is unknown)."""
-    return F.when(when, F.struct(F.lit(code).alias("code"), F.lit(family).alias("family"), F.lit(severity).alias("severity"), (value if value is not None else F.lit(None)).cast("double").alias("value")))
-
-
-def collected(*items: Column) -> Column:
-    return F.array_compact(F.array(*items))
-
-
-def worst_by_family(evidences: Column) -> Column:
-    """Of each family in an array of evidence the item of highest severity, then of the last code, as (rank, code, family).
-
-    All of a row's evidence is in the row, so nothing is exploded or shuffled.
-    """
-    ranked = F.transform(evidences, lambda e: F.struct(severity_rank(e["severity"]).alias("rank"), e["code"].alias("code"), e["family"].alias("family")))
-    families = F.array_distinct(F.transform(evidences, lambda e: e["family"]))
-    return F.transform(families, lambda f: F.array_max(F.filter(ranked, lambda e: e["family"] == f)))
-
-
-def disposition(df: DataFrame, evidences: str = "evidence") -> DataFrame:
-    """df with codes (one a family, sorted) and disposition: HARD_FAIL, REVIEW or PASS."""
-    worst = worst_by_family(F.col(evidences))
-    top = F.coalesce(F.array_max(F.transform(worst, lambda e: e["rank"])), F.lit(0))
-    state = F.when(top >= 5, "HARD_FAIL").when(top >= 3, "REVIEW").otherwise("PASS")
-    return df.withColumns({"codes": F.array_sort(F.transform(worst, lambda e: e["code"])), "disposition": state})
-
-
-def frame_gates() -> Column:
-    """Evidence of the measured columns of one frame; thresholds are fixed values of the rule set."""
-    excess, dimming, background = F.col("excess"), F.col("dimming"), F.col("background_z")
-    agree = F.coalesce(dimming >= 0.18, F.lit(False)) | F.coalesce(background >= 3.5, F.lit(False))
-    registered = F.col("registered") & (F.col("matches") >= 30) & (F.col("match_fraction") >= 0.25) & (F.col("rms") <= 1.5)
-    return collected(
-        evidence("FINITE_FRACTION_MISSING", "pixels", "REVIEW", F.col("finite_fraction").isNull()),
-        evidence("FINITE_FRACTION_HARD", "pixels", "HARD_FAIL", F.col("finite_fraction") < 0.50, F.col("finite_fraction")),
-        evidence("FINITE_FRACTION_REVIEW", "pixels", "REVIEW", (F.col("finite_fraction") >= 0.50) & (F.col("finite_fraction") < 0.98), F.col("finite_fraction")),
-        evidence("REGISTRATION_REVIEW", "registration", "REVIEW", ~F.coalesce(registered, F.lit(False))),
-        evidence("TEMPORAL_EXTINCTION_STRONG", "transparency", "ERROR", (excess >= 1.5) | ((excess >= 0.45) & agree & F.coalesce(F.col("airmass_corrected"), F.lit(False))), excess),
-        evidence("TEMPORAL_EXTINCTION_REVIEW", "transparency", "REVIEW", (excess >= 0.35) & (excess < 1.5) & agree, excess),
-        evidence("TEMPORAL_EXTINCTION_INFO", "transparency", "INFO", (excess >= 0.35) & (excess < 1.5) & ~agree, excess),
-        evidence("SPATIAL_DIMMING_STRONG", "consensus", "ERROR", dimming >= 0.35, dimming),
-        evidence("SPATIAL_DIMMING_REVIEW", "consensus", "REVIEW", (dimming >= 0.18) & (dimming < 0.35), dimming),
-        evidence("SOURCE_RETENTION_STRONG", "sources", "ERROR", F.col("retention") < 0.45, F.col("retention")),
-        evidence("SOURCE_RETENTION_REVIEW", "sources", "REVIEW", (F.col("retention") >= 0.45) & (F.col("retention") < 0.70), F.col("retention")),
-        evidence("BACKGROUND_STRONG", "background", "ERROR", background >= 6.0, background),
-        evidence("BACKGROUND_REVIEW", "background", "REVIEW", (background >= 3.5) & (background < 6.0), background),
-        evidence("FOCUS_SEEING_REVIEW", "focus", "REVIEW", (F.col("fwhm_ratio") >= 1.30) | ((F.col("fwhm_ratio") >= 1.12) & (F.col("fwhm_delta") >= 0.25) & (F.col("fwhm_z") >= 3.5)), F.col("fwhm_ratio")),
-    )
-
-
-def hard_cloud(df: DataFrame, cohort_size: int, evidences: str = "evidence") -> DataFrame:
-    """df whose evidence gains MULTI_FAMILY_CLOUD_HARD: two of three families at REVIEW or worse and one at ERROR."""
-    sky = F.filter(worst_by_family(F.col(evidences)), lambda e: e["family"].isin("consensus", "transparency", "background"))
-    two = F.size(F.filter(sky, lambda e: e["rank"] >= 3)) >= 2
-    hit = two & F.exists(sky, lambda e: e["rank"] >= 4) & F.coalesce(F.col("registered"), F.lit(False)) & F.lit(cohort_size >= 8)
-    return df.withColumn(evidences, F.concat(F.col(evidences), collected(evidence("MULTI_FAMILY_CLOUD_HARD", "cloud", "HARD_FAIL", hit))))
-
-
 def channel_statistics(df: DataFrame, keys: list[str], clean_when: Column, sources: str, fwhm: str, sky: str) -> DataFrame:
     """(keys, frames, clean_frames, sources_best, fwhm_best, sky_clean) of a channel."""
     s, f, b = clean(sources), clean(fwhm), clean(sky)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import MADN, clean, over, with_median_mad
+from .joins import cut
+from .stats import MADN, clean, exact_quantile, over, with_median_mad
 
 CLIP = 4.0
 MIN_SAMPLES = 3
@@ -92,16 +93,17 @@ def pooled_scale(df: DataFrame, row: str, column: str, frame: str, value: str, h
     each = cells.groupBy(row, column).agg(F.max("n").alias("n"), F.max("mad").alias("mad"))
     near = Window.partitionBy(row).orderBy(column).rowsBetween(-half, half)
     pool = each.withColumn("pool", MADN * F.percentile(F.when(F.col("n") >= MIN_SAMPLES, F.col("mad")), F.lit(0.5)).over(near)).select(row, column, "pool")
-    cells = cells.join(pool, [row, column])
+    cells = cut(cells.join(pool, [row, column]))
     residual = F.abs(clean(value) - F.col("med"))
     usable = F.when(F.col("n") >= MIN_SAMPLES, residual)
-    frames = cells.groupBy(frame).agg(F.percentile(usable, F.lit(0.5)).alias("frame_mad"))
-    mixture = cells.agg(F.percentile(usable, F.lit(0.5)).alias("mixture_mad"))
+    known = cells.select(frame, F.lit(0).alias("_all"), usable.alias("u"))
+    frames = cells.select(frame).distinct().join(exact_quantile(known, [frame], "u").withColumnRenamed("quantile", "frame_mad"), frame, "left")
+    mixture = exact_quantile(known, ["_all"], "u").agg(F.max("quantile").alias("mixture_mad"))  # one row
     factor = F.greatest(F.lit(1.0), F.col("frame_mad") / F.nullif(F.col("mixture_mad"), F.lit(0.0)))
     factors = frames.crossJoin(F.broadcast(mixture)).select(frame, F.coalesce(F.round(factor, 5), F.lit(1.0)).alias("factor"))
     pixel = MADN * F.col("mad")
     spread = F.sqrt(F.pow(F.col("factor") * F.col("pool"), 2) + F.greatest(pixel * pixel - F.col("pool") * F.col("pool"), F.lit(0.0)))
-    return cells.join(F.broadcast(factors), frame).withColumn("sigma", F.greatest(spread, numeric_floor(F.col("med"))))
+    return cells.join(factors, frame).withColumn("sigma", F.greatest(spread, numeric_floor(F.col("med"))))
 
 
 def huber_mean(df: DataFrame, keys: list[str], value: str, weight: str | None = None, passes: int = 4) -> DataFrame:

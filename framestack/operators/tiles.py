@@ -68,7 +68,7 @@ def calibrate(light: np.ndarray, bias: np.ndarray | None, dark: np.ndarray | Non
 
 
 def debayer(raw: np.ndarray, pattern: str = "RGGB") -> np.ndarray:
-    """Bilinear (3, h, w) colours of a 2 x 2 mosaic: each missing sample is the mean of its known neighbours."""
+    """Bilinear (3, h, w) colours of a 2 x 2 mosaic: each missing sample is the mean of its known, finite neighbours."""
     h, w = raw.shape
     out = np.empty((3, h, w), np.float32)
     y, x = np.mgrid[:h, :w]
@@ -77,6 +77,7 @@ def debayer(raw: np.ndarray, pattern: str = "RGGB") -> np.ndarray:
         for i, p in enumerate(pattern):
             if p == name:
                 known |= (y % 2 == i // 2) & (x % 2 == i % 2)
+        known &= np.isfinite(raw)
         value = np.pad(np.where(known, raw, 0).astype(np.float64), 1)
         count = np.pad(known.astype(np.float64), 1)
         kernel = ((1, 2, 1), (2, 4, 2), (1, 2, 1))
@@ -85,7 +86,7 @@ def debayer(raw: np.ndarray, pattern: str = "RGGB") -> np.ndarray:
             for i in range(3):
                 total += kernel[j][i] * value[j : j + h, i : i + w]
                 weight += kernel[j][i] * count[j : j + h, i : i + w]
-        out[c] = np.where(known, raw, total / np.maximum(weight, 1e-12))
+        out[c] = np.where(known, raw, np.where(weight > 0, total / np.maximum(weight, 1e-12), np.nan))
     return out
 
 

@@ -98,7 +98,7 @@ def low_envelope(spark, sf_dir):
     return out.withColumn("envelope", r("envelope"))
 
 
-EXTINCTION = f"""WITH e AS (SELECT event_id, user_id, {NIGHT} AS night, 1 + (event_id % 11) / 5.0 AS x, value / 100 AS y FROM events WHERE event_type = 'click'),
+EXTINCTION = f"""WITH e AS (SELECT event_id, user_id, {NIGHT} AS night, 1 + (event_id % 11) / 5.0 AS x, value / 100 AS y FROM events),
     p AS (SELECT (b.y - a.y) / (b.x - a.x) AS s FROM e a JOIN e b ON a.night = b.night AND a.event_id < b.event_id WHERE abs(b.x - a.x) >= 0.05),
     f AS (SELECT count(*) AS pairs, median(s) AS raw FROM p WHERE abs(s) <= 2.0),
     v AS (SELECT sum(c) AS valid, max(span) AS span FROM (SELECT count(*) AS c, max(x) - min(x) AS span FROM e GROUP BY night)),
@@ -111,7 +111,7 @@ EXTINCTION = f"""WITH e AS (SELECT event_id, user_id, {NIGHT} AS night, 1 + (eve
 
 @query("extinction_envelope", EXTINCTION)
 def extinction_envelope(spark, sf_dir):
-    rows = events(spark, sf_dir).where("event_type = 'click'").withColumns({"x": 1 + (F.col("event_id") % 11) / 5.0, "y": F.col("value") / 100})
+    rows = events(spark, sf_dir).withColumns({"x": 1 + (F.col("event_id") % 11) / 5.0, "y": F.col("value") / 100})
     out = windows.night_extinction(rows, "night", "x", "y", "event_id")
     return out.select("event_id", r("slope").alias("slope"), "reliable", *[r(c).alias(c) for c in ("corrected", "night_offset", "residual")])
 

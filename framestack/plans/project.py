@@ -30,12 +30,11 @@ def assets(spark: SparkSession, path: str) -> DataFrame:
     heads = fits.headers(spark, path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{fit,fits,fts,FIT,FITS,FTS}").load(path)
     twins = joins.staged_duplicates(files.select("path", "content"), "path", "content").where("path <> first").select("path")
-    parts = F.reverse(F.split("path", "/"))
-    by_name = F.coalesce(*[text.frame_role(F.regexp_replace(F.regexp_extract(F.get(parts, F.lit(i)), r"^([A-Za-z]+)", 1), r"(?i)s$", "")) for i in (0, 1, 2)])
     when = F.to_timestamp(F.regexp_replace(_card("DATE-OBS"), "Z$", ""))
     return heads.join(twins, "path", "left_anti").select(
         "path",
-        F.coalesce(text.frame_role(_card("IMAGETYP")), by_name).alias("role"),
+        # A type that the header states but nobody knows is never overruled by the path; a frame that names none is a light.
+        F.when(text.cleaned(_card("IMAGETYP")).isNotNull(), text.frame_role(_card("IMAGETYP"))).otherwise(F.coalesce(text.role_in_path(F.col("path")), F.when(F.col("error").isNull(), "LIGHT"))).alias("role"),
         text.filter_name(_card("FILTER")).alias("filter"),
         F.coalesce(_card("EXPTIME"), _card("EXPOSURE")).try_cast("double").alias("exposure"),
         _card("INSTRUME").alias("camera"),

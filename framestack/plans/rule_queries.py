@@ -62,65 +62,6 @@ def frame_scores(spark, sf_dir):
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("channel").orderBy(F.col("score").desc(), "frame")))
 
 
-def measured(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[F.max(c).alias(c) for c in ("l_extendedprice", "l_discount", "l_tax", "l_quantity")])
-    k = F.col("l_orderkey")
-    return line.select(
-        k.alias("frame"),
-        F.when(k % 17 != 0, 1 - (k % 101) / 150.0).alias("finite_fraction"),
-        (k % 13 != 0).alias("registered"),
-        (k % 90).alias("matches"),
-        F.lit(0.5).alias("match_fraction"),
-        F.lit(1.0).alias("rms"),
-        (F.col("l_extendedprice") / 50000).alias("excess"),
-        (F.col("l_discount") * 4).alias("dimming"),
-        (F.col("l_tax") * 80).alias("background_z"),
-        (k % 2 == 0).alias("airmass_corrected"),
-        (F.col("l_quantity") / 50).alias("retention"),
-        (1 + F.col("l_discount") * 4).alias("fwhm_ratio"),
-        F.lit(0.3).alias("fwhm_delta"),
-        (F.col("l_tax") * 60).alias("fwhm_z"),
-    )
-
-
-GATES = """WITH m AS (SELECT l_orderkey AS frame, CASE WHEN l_orderkey % 17 <> 0 THEN 1 - (l_orderkey % 101) / 150.0 END AS ff, l_orderkey % 13 <> 0 AS reg, l_orderkey % 90 AS matches, l_extendedprice / 50000 AS excess,
- l_discount * 4 AS dim, l_tax * 80 AS bg, l_orderkey % 2 = 0 AS corr, l_quantity / 50 AS ret, 1 + l_discount * 4 AS fr, l_tax * 60 AS fz FROM (SELECT l_orderkey, max(l_extendedprice) AS l_extendedprice, max(l_discount) AS l_discount, max(l_tax) AS l_tax, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1)),
-a AS (SELECT *, (dim >= 0.18 OR bg >= 3.5) AS agree, (reg AND matches >= 30) AS ok FROM m),
-e AS (SELECT frame, 'pixels' AS fam, 3 AS sev, 'FINITE_FRACTION_MISSING' AS code FROM a WHERE ff IS NULL
- UNION ALL SELECT frame, 'pixels', 5, 'FINITE_FRACTION_HARD' FROM a WHERE ff < 0.5 UNION ALL SELECT frame, 'pixels', 3, 'FINITE_FRACTION_REVIEW' FROM a WHERE ff >= 0.5 AND ff < 0.98
- UNION ALL SELECT frame, 'registration', 3, 'REGISTRATION_REVIEW' FROM a WHERE NOT ok
- UNION ALL SELECT frame, 'transparency', 4, 'TEMPORAL_EXTINCTION_STRONG' FROM a WHERE excess >= 1.5 OR (excess >= 0.45 AND agree AND corr)
- UNION ALL SELECT frame, 'transparency', 3, 'TEMPORAL_EXTINCTION_REVIEW' FROM a WHERE excess >= 0.35 AND excess < 1.5 AND agree
- UNION ALL SELECT frame, 'transparency', 1, 'TEMPORAL_EXTINCTION_INFO' FROM a WHERE excess >= 0.35 AND excess < 1.5 AND NOT agree
- UNION ALL SELECT frame, 'consensus', 4, 'SPATIAL_DIMMING_STRONG' FROM a WHERE dim >= 0.35 UNION ALL SELECT frame, 'consensus', 3, 'SPATIAL_DIMMING_REVIEW' FROM a WHERE dim >= 0.18 AND dim < 0.35
- UNION ALL SELECT frame, 'sources', 4, 'SOURCE_RETENTION_STRONG' FROM a WHERE ret < 0.45 UNION ALL SELECT frame, 'sources', 3, 'SOURCE_RETENTION_REVIEW' FROM a WHERE ret >= 0.45 AND ret < 0.7
- UNION ALL SELECT frame, 'background', 4, 'BACKGROUND_STRONG' FROM a WHERE bg >= 6 UNION ALL SELECT frame, 'background', 3, 'BACKGROUND_REVIEW' FROM a WHERE bg >= 3.5 AND bg < 6
- UNION ALL SELECT frame, 'focus', 3, 'FOCUS_SEEING_REVIEW' FROM a WHERE fr >= 1.3 OR (fr >= 1.12 AND fz >= 3.5)),
-w AS (SELECT frame, fam, max(sev) AS sev, arg_max(code, sev * 1000 + ascii(code)) AS code FROM e GROUP BY 1, 2),
-h AS (SELECT frame, 5 AS sev, 'MULTI_FAMILY_CLOUD_HARD' AS code FROM w JOIN a USING (frame) WHERE fam IN ('consensus', 'transparency', 'background') GROUP BY frame HAVING count(*) FILTER (WHERE sev >= 3) >= 2 AND max(sev) >= 4 AND bool_and(reg)),
-x AS (SELECT frame, sev, code FROM w UNION ALL SELECT frame, sev, code FROM h)
-"""
-
-
-@query(
-    "gate_family_max",
-    GATES + "SELECT m.frame, coalesce(string_agg(code, ',' ORDER BY code), '') AS codes, CASE WHEN max(sev) >= 5 THEN 'HARD_FAIL' WHEN max(sev) >= 3 THEN 'REVIEW' ELSE 'PASS' END AS disposition FROM m LEFT JOIN x USING (frame) GROUP BY 1",
-)
-def gate_family_max(spark, sf_dir):
-    rows = measured(spark, sf_dir).withColumn("evidence", rules.frame_gates())
-    out = rules.disposition(rules.hard_cloud(rows, 100))
-    return out.select("frame", F.array_join("codes", ",").alias("codes"), "disposition")
-
-
-@query(
-    "gate_summary",
-    GATES + "SELECT disposition, count(*) AS n FROM (SELECT m.frame, CASE WHEN max(sev) >= 5 THEN 'HARD_FAIL' WHEN max(sev) >= 3 THEN 'REVIEW' ELSE 'PASS' END AS disposition FROM m LEFT JOIN x USING (frame) GROUP BY 1) GROUP BY 1",
-)
-def gate_summary(spark, sf_dir):
-    rows = measured(spark, sf_dir).withColumn("evidence", rules.frame_gates())
-    return rules.disposition(rules.hard_cloud(rows, 100)).groupBy("disposition").agg(F.count("*").alias("n"))
-
-
 @query(
     "suspect_blocks",
     """WITH b AS (SELECT l_returnflag, l_suppkey, count(*) AS frames, median(l_discount * 10) AS mv, count(*) FILTER (WHERE l_tax >= 0.06) / count(*)::DOUBLE AS ms FROM lineitem GROUP BY 1, 2),

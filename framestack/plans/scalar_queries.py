@@ -10,8 +10,8 @@ from .registry import query, r, table
 
 @query(
     "filter_alias",
-    """SELECT p_partkey, CASE folded WHEN 'LUM' THEN 'L' WHEN 'RED' THEN 'R' WHEN 'GREEN' THEN 'G' WHEN 'BLUE' THEN 'B' WHEN 'HALPHA' THEN 'H' WHEN 'OIII' THEN 'O' ELSE folded END AS filter_name
-    FROM (SELECT p_partkey, regexp_replace(upper(CASE p_partkey % 7 WHEN 0 THEN 'lum' WHEN 1 THEN 'Red ' WHEN 2 THEN 'gre-en' WHEN 3 THEN 'B_lue' WHEN 4 THEN 'H-alpha' WHEN 5 THEN 'O III' ELSE p_brand END), '[^A-Z0-9]+', '', 'g') AS folded FROM part)""",
+    """SELECT p_partkey, CASE folded WHEN 'LUM' THEN 'L' WHEN 'RED' THEN 'R' WHEN 'GREEN' THEN 'G' WHEN 'BLUE' THEN 'B' WHEN 'HALPHA' THEN 'HA' WHEN 'OIII' THEN 'OIII' ELSE upper(p_brand) END AS filter_name
+    FROM (SELECT p_partkey, p_brand, regexp_replace(upper(CASE p_partkey % 7 WHEN 0 THEN 'lum' WHEN 1 THEN 'Red ' WHEN 2 THEN 'gre-en' WHEN 3 THEN 'B_lue' WHEN 4 THEN 'H-alpha' WHEN 5 THEN 'O III' ELSE p_brand END), '[^A-Z0-9]+', '', 'g') AS folded FROM part)""",
 )
 def filter_alias(spark, sf_dir):
     k = F.col("p_partkey") % 7
@@ -21,7 +21,7 @@ def filter_alias(spark, sf_dir):
 
 @query(
     "role_parse",
-    "SELECT doc_id, CASE regexp_replace(upper(CASE doc_id % 4 WHEN 0 THEN 'Light Frame' WHEN 1 THEN 'master-dark' WHEN 2 THEN 'flat_field' ELSE lang END), '[^A-Z0-9]+', '', 'g') WHEN 'LIGHTFRAME' THEN 'LIGHT' WHEN 'MASTERDARK' THEN 'DARK' WHEN 'FLATFIELD' THEN 'FLAT' END AS role FROM documents",
+    "SELECT doc_id, CASE regexp_replace(upper(CASE doc_id % 4 WHEN 0 THEN 'Light Frame' WHEN 1 THEN 'master-dark' WHEN 2 THEN 'flat_field' ELSE lang END), '[^A-Z0-9]+', '', 'g') WHEN 'LIGHTFRAME' THEN 'LIGHT' WHEN 'MASTERDARK' THEN 'MASTER_DARK' WHEN 'FLATFIELD' THEN 'FLAT' END AS role FROM documents",
 )
 def role_parse(spark, sf_dir):
     k = F.col("doc_id") % 4

@@ -17,9 +17,11 @@ def decisions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decided(assets: DataFrame, chosen: DataFrame, digest: str = "sha256", undecided: str = "ERROR") -> DataFrame:
-    """Assets with their decision; those without one get `undecided`."""
-    one = chosen.where("error is null").groupBy(F.col("sourceSha256").alias(digest)).agg(F.max("decision").alias("decision"))
-    return assets.join(one, digest, "left").withColumn("decision", F.coalesce("decision", F.lit(undecided)))
+    """Assets with their decision; those without one get the files' own `undecided`, else the argument; conflicting ones are CONFLICT."""
+    said = chosen.where("error is null").groupBy(F.col("sourceSha256").alias(digest))
+    one = said.agg(F.when(F.count_distinct("decision") > 1, "CONFLICT").otherwise(F.max("decision")).alias("decision"))
+    rest = chosen.agg(F.max("undecided").alias("_rest")) if "undecided" in chosen.columns else chosen.agg(F.lit(None).cast("string").alias("_rest"))  # one row
+    return assets.join(one, digest, "left").crossJoin(F.broadcast(rest)).withColumn("decision", F.coalesce("decision", "_rest", F.lit(undecided))).drop("_rest")
 
 
 def measurement_table(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:

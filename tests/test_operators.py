@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from framestack.functions import sky, text
-from framestack.operators import grids, grouping, joins, network, photometry, rules, stack, stats, windows
+from framestack.operators import gate, grids, grouping, joins, network, photometry, stack, stats, tiles, windows
 
 NAN = float("nan")
 
@@ -106,12 +106,53 @@ def test_network_recovers_offsets(spark):
     assert network.bic(100, 10.0, 2) < network.bic(100, 20.0, 2)
 
 
-def test_rules_keep_the_worst_of_a_family(spark):
-    e = rules.collected(rules.evidence("B", "f", "REVIEW", F.lit(True)), rules.evidence("A", "f", "ERROR", F.lit(True)), rules.evidence("C", "g", "INFO", F.lit(True)), rules.evidence("D", "h", "HARD_FAIL", F.lit(None).cast("boolean")))
-    row = rules.disposition(spark.range(1).withColumn("evidence", e)).first()
-    assert row["codes"] == ["A", "C"] and row["disposition"] == "REVIEW"
-    none = rules.disposition(spark.range(1).withColumn("evidence", rules.collected(rules.evidence("D", "h", "HARD_FAIL", F.lit(False))))).first()
-    assert none["codes"] == [] and none["disposition"] == "PASS"
+def test_the_gate_keeps_the_worst_of_a_family(spark):
+    t, n = F.lit(True), F.lit(None).cast("boolean")
+    row = spark.range(1).select(gate.worst(gate.finding("B", 2, t), gate.finding("A", 3, t), gate.finding("D", 4, n)).alias("x"), gate.worst(gate.finding("A", 2, t), gate.finding("B", 2, t)).alias("y"), gate.worst(gate.finding("D", 4, F.lit(False))).alias("z")).first()
+    assert row["x"]["code"] == "GATE_A" and row["y"]["code"] == "GATE_B" and row["z"] is None
+
+
+def good_frames(n=8):
+    """A cohort of one clear night: all pass."""
+    one = dict(cohort="c", night="2026-01-01", reference="f0", role="LIGHT", status="MEASURED", identity="i", result_identity="i", finite_fraction=1.0, dynamic_range=500.0, image_mad=20.0, texture=20.0, registration_ok=True, matched_stars=40, match_fraction=0.8, rms=0.3, overlap=1.0, dimming=0.02, completeness=0.98, source_ratio=1.0, shape_stars=40, hfr=2.0, fwhm=3.0, ellipticity=0.1, ellipticity_p90=0.2, elongated=0.0, coherence=0.1, fragmented=False)
+    return [one | dict(path=f"f{i}", airmass=1 + 0.06 * i, transparency=10 ** (-0.4 * 0.55 * 0.06 * i), image_median=1000.0 + i, source_count=400.0) for i in range(n)]
+
+
+@pytest.mark.parametrize(
+    ("change", "code", "disposition"),
+    [
+        ({}, None, "PASS"),
+        ({"status": None}, "GATE_MEASUREMENT_MISSING", "HARD_FAIL"),
+        ({"result_identity": "j"}, "GATE_IDENTITY_MISMATCH", "HARD_FAIL"),
+        ({"finite_fraction": 0.94}, "GATE_FINITE_FRACTION_HARD", "HARD_FAIL"),
+        ({"finite_fraction": 0.99}, "GATE_FINITE_FRACTION_REVIEW", "REVIEW"),
+        ({"dynamic_range": 0.0}, "GATE_NEAR_CONSTANT_IMAGE", "HARD_FAIL"),
+        ({"matched_stars": 10}, "GATE_REGISTRATION_REVIEW", "REVIEW"),
+        ({"field_coverage": 0.5}, "GATE_FIELD_OFFSET_HARD", "HARD_FAIL"),
+        ({"overlap": 0.3}, "GATE_COMMON_FOOTPRINT_REVIEW", "REVIEW"),
+        ({"dimming": 0.3}, "GATE_SPATIAL_DIMMING_REVIEW", "REVIEW"),
+        ({"image_median": 2000.0}, "GATE_BACKGROUND_STRONG", "REVIEW"),
+        ({"fwhm": 4.2}, "GATE_FOCUS_SEEING_REVIEW", "REVIEW"),
+        ({"fragmented": True}, "GATE_FRAGMENTED_TRAILING_HARD", "HARD_FAIL"),
+        ({"ellipticity": 0.5, "elongated": 0.7, "coherence": 0.9}, "GATE_COHERENT_TRAILING_HARD", "HARD_FAIL"),
+        ({"missing_area": 0.35, "missing_density": 0.2, "background_support": 0.6}, "GATE_OCCLUSION_HARD", "HARD_FAIL"),
+        ({"night": None}, "GATE_NIGHT_UNRESOLVED", "REVIEW"),
+        ({"dimming": 0.5, "image_median": 2000.0}, "GATE_MULTI_FAMILY_CLOUD_HARD", "HARD_FAIL"),
+    ],
+)
+def test_gate_of_one_changed_frame(gated, change, code, disposition):
+    got = gated[repr(change)]
+    assert got["disposition"] == disposition and (code is None and not got["gate_codes"] or code in got["gate_codes"]), got["gate_codes"]
+
+
+@pytest.fixture(scope="module")
+def gated(spark):
+    """The changed frame of each case, judged in one run: a case is a cohort of its own."""
+    cases = [m for mark in test_gate_of_one_changed_frame.pytestmark for m in mark.args[1]]
+    rows = [dict(f, cohort=repr(change), path=f"{n}-{f['path']}", reference=f"{n}-f0", **{k: v for k, v in change.items() if i == 5}) if i != 5 else f | {"cohort": repr(change), "path": f"{n}-f5", "reference": f"{n}-f0"} | change for n, (change, _, _) in enumerate(cases) for i, f in enumerate(good_frames())]
+    kinds = {"cohort": "string", "night": "string", "path": "string"} | gate.FRAME
+    df = spark.createDataFrame([[r.get(k) for k in kinds] for r in rows], ", ".join(f"{k} {t}" for k, t in kinds.items()))
+    return {r["cohort"]: r for r in gate.evaluate(df).collect() if r["path"].endswith("-f5")}
 
 
 def test_grid_helpers(spark):
@@ -145,6 +186,26 @@ def test_scalar_functions(spark):
     x, y = sky.gnomonic(F.lit(10.5), F.lit(20.0), 10.0, 20.0)
     assert val(x) == pytest.approx(0.5 * math.cos(math.radians(20)), abs=1e-4) and abs(val(y)) < 1e-2
     assert val(sky.separation(F.lit(0.0), F.lit(0.0), F.lit(90.0), F.lit(0.0))) == pytest.approx(90)
-    assert val(text.filter_name(F.lit(" h-Alpha "))) == "H" and val(text.filter_name(F.lit("--"))) is None and val(text.frame_role(F.lit("Dark Frame"))) == "DARK"
+    assert val(text.filter_name(F.lit(" h-Alpha "))) == "HA" and val(text.filter_name(F.lit("'Astrodon 5nm'"))) == "ASTRODON 5NM" and val(text.filter_name(F.lit("Sulphur II"))) == "SII" and val(text.filter_name(F.lit(" "))) is None and val(text.frame_role(F.lit("Dark Frame"))) == "DARK"
     assert val(text.path_keywords(F.lit("a/NIGHT_1/night-2/x_PANEL 3.fits"), ["NIGHT", "PANEL"])) == {"NIGHT": "2", "PANEL": "3.fits"}
     assert val(text.seconds_in_name(F.lit("light_1.5sec_3.fits"))) == 1.5 and val(text.csv_safe(F.lit("=1"))) == "'=1"
+
+
+def test_roles_in_paths(spark):
+    want = {"/a/light-frame-qc/x/DARK/0001.fits": "DARK", "/a/b/masterFlatDark_60s.xisf": "MASTER_DARK", "/n1/Flat_R_001.fits": "FLAT", "/n1/M31_300s.fits": None, "/s/Zero/1.fits": "BIAS"}
+    got = spark.createDataFrame([(p,) for p in want], "p string").select("p", text.role_in_path(F.col("p")).alias("r")).collect()
+    assert {r["p"]: r["r"] for r in got} == want
+
+
+def test_debayer_leaves_missing_samples_out():
+    raw = np.arange(36, dtype=np.float32).reshape(6, 6)
+    raw[2, 2] = np.nan
+    out = tiles.debayer(raw)
+    assert np.argwhere(~np.isfinite(out)).tolist() == [[0, 2, 2]] and out[0, 2, 3] == raw[2, 4]
+
+
+def test_repeated_targets_stay_apart(spark):
+    t = spark.createDataFrame([(1, 5), (1, 5), (2, 9)], "id int, v int")
+    g = spark.createDataFrame([(4, "a"), (8, "b")], "w int, grp string")
+    got = joins.best_match(t, "id", g, [], F.col("w") <= F.col("v"), [F.abs(F.col("v") - F.col("w"))], [F.col("grp")]).collect()
+    assert sorted((r["id"], r["candidates"], r["grp"]) for r in got) == [(1, 1, "a"), (1, 1, "a"), (2, 2, "b")]

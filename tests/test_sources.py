@@ -100,7 +100,9 @@ def test_decisions_and_measurements(spark, tmp_path):
     d = records.decisions(spark, str(tmp_path / "d.json"))
     assert {r["sourceSha256"]: r["error"] for r in d.collect()} == {"a": None, "b": "unknown decision", None: "no digest"}
     assets = spark.createDataFrame([("a",), ("b",), ("c",)], "sha256 string")
-    assert {r[0]: r[1] for r in records.decided(assets, d).collect()} == {"a": "KEEP", "b": "ERROR", "c": "ERROR"}
+    assert {r[0]: r[1] for r in records.decided(assets, d).collect()} == {"a": "KEEP", "b": "DROP", "c": "DROP"}
+    both = spark.createDataFrame([("a", "KEEP", None), ("a", "DROP", None), ("b", "KEEP", None)], "sourceSha256 string, decision string, error string")
+    assert {r[0]: r[1] for r in records.decided(assets, both).collect()} == {"a": "CONFLICT", "b": "KEEP", "c": "ERROR"}
     (tmp_path / "m.json").write_text(json.dumps({"columns": ["path", "fwhm"], "rows": [["x", "2.5"], ["y", "wide"], ["z", None]]}))
     rows = {r["path"]: r for r in records.measurement_table(spark, str(tmp_path / "m.json"), {"path": "string", "fwhm": "double"}).collect()}
     assert rows["x"]["fwhm"] == 2.5 and rows["y"]["bad"] == 1 and rows["z"]["bad"] == 0
