@@ -49,7 +49,9 @@ _BEGIN = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")
 _END = re.compile(r"-----END (?:[A-Z]+ )?PRIVATE KEY-----")
 _NAME = re.compile(r"([A-Za-z][A-Za-z0-9_.-]*)[\"']?\s{0,2}(?:[:=]|=>|:=)\s{0,2}[\"']?$")
 _BEARER = re.compile(r"\b(bearer|basic)\s$", re.I)
-_ASSIGNED = re.compile(r"([A-Za-z][A-Za-z0-9_.-]*)[\"']?\s{0,2}(?:=>|:=|[:=])\s{0,2}(?:\"([^\"\n]{%d,%d})\"|'([^'\n]{%d,%d})'|([^\s\"'](?:\S{%d,})))" % (SHORT, LONG, SHORT, LONG, SHORT - 1))
+_MARK = re.compile(r"=>|:=|[:=]")
+_BEFORE = re.compile(r"([A-Za-z][A-Za-z0-9_.-]*)[\"']?\s{0,2}$")
+_AFTER = re.compile(r"\s{0,2}(?:\"([^\"\n]{%d,%d})\"|'([^'\n]{%d,%d})'|([^\s\"']\S{%d,}))" % (SHORT, LONG, SHORT, LONG, SHORT - 1))
 _WORD = re.compile(r"[A-Za-z]{2,}")
 _PARTS = re.compile(r"[A-Za-z]{3,}")
 _LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -107,7 +109,9 @@ def make_lexicon(words: list[str]) -> Lexicon:
 
 def lexicon(df: DataFrame, text: str = "text", words: int = WORDS) -> Lexicon:
     """The `words` commonest words of df by the documents that have them; all documents are counted, and ties go by the word."""
-    each = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit(r"(?<![\p{L}\p{N}_])\p{L}{%d,%d}(?![\p{L}\p{N}_])" % WORD_LETTERS), 0))
+    least, most = WORD_LETTERS
+    runs = F.array_distinct(F.split(F.lower(F.col(text).cast("string")), r"[^\p{L}]+"))
+    each = F.filter(runs, lambda w: F.length(w).between(least, most))
     counts = df.select(F.explode(each).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
     return make_lexicon([r["word"] for r in counts.orderBy(F.col("n").desc(), "word").limit(words).collect()])
 
@@ -118,17 +122,18 @@ def lexicon(df: DataFrame, text: str = "text", words: int = WORDS) -> Lexicon:
 def _values(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, name) of whole values behind names of credentials."""
     at = 0
-    while m := _ASSIGNED.search(text, at):
-        kind = next(i for i in (2, 3, 4) if m.group(i) is not None)
-        start, value = m.start(kind), m.group(kind)
-        if not any(w in m.group(1).lower() for w in SECRET_WORDS):
-            at = start
+    for mark in _MARK.finditer(text):
+        if mark.start() < at or not (name := _BEFORE.search(text[max(at, mark.start() - 80) : mark.start()])):
             continue
-        if kind == 4:
+        if not any(w in name.group(1).lower() for w in SECRET_WORDS) or not (m := _AFTER.match(text, mark.end())):
+            continue
+        kind = next(i for i in (1, 2, 3) if m.group(i) is not None)
+        start, value = m.start(kind), m.group(kind)
+        if kind == 3:
             value = value.rstrip(".,;\"'")
         kinds = _kinds(value)
         if len(value) >= SHORT and (kinds[0] or kinds[1] or kinds[3]):
-            yield start, start + len(value), m.group(1)
+            yield start, start + len(value), name.group(1)
         at = m.end(kind)
 
 
