@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not conf:
         conf = spark.conf.get("framestack.scratch", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("framestack.scratch", conf)
     return conf
