@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import photometry
+from ..operators import photometry, registration
 from .registry import query, r, table
 
 
@@ -120,3 +120,21 @@ def histogram_lines(spark, sf_dir):
 def uniform_thinning(spark, sf_dir):
     rows = table(spark, sf_dir, "part").withColumns({"x": F.col("p_size") / 10.0, "y": F.col("p_partkey") / 100.0})
     return photometry.thinned(rows, ["p_brand"], "x", "y", 1.0, "p_retailprice", "p_partkey", 5).select("p_brand", "p_partkey")
+
+
+@query(
+    "register_similarity",
+    """WITH s AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings), m AS (SELECT label, 0.9 + 0.02 * (label % 10) AS scale, 0.3 * label AS angle FROM (SELECT DISTINCT label FROM embeddings))
+    SELECT label, count(*) AS source_count, count(*) FILTER (WHERE vec_id % 7 <> 0) AS reference_count, round(scale * cos(angle) + 1e-9, 5) AS a, round(scale * sin(angle) + 1e-9, 5) AS b, round(10.0 * label + 3.25 + 1e-9, 3) AS tx, round(40 - 7.5 * label + 1e-9, 3) AS ty,
+    count(*) FILTER (WHERE vec_id % 7 <> 0) AS inliers, count(*) FILTER (WHERE vec_id % 7 <> 0) >= 12 AS accepted FROM s JOIN m USING (label) GROUP BY label, scale, angle""",
+)
+def register_similarity(spark, sf_dir):
+    """Each label's points against those of them that a known similarity has moved; the SQL states that similarity, not a search."""
+    s = table(spark, sf_dir, "embeddings").select("vec_id", "label", (_e(0) * 20000).alias("x"), (_e(1) * 20000).alias("y"), _e(2).alias("z"))
+    scale, angle = 0.9 + 0.02 * (F.col("label") % 10), 0.3 * F.col("label")
+    a, b = scale * F.cos(angle), scale * F.sin(angle)
+    x = a * F.col("x") - b * F.col("y") + 10.0 * F.col("label") + 3.25
+    y = b * F.col("x") + a * F.col("y") + 40 - 7.5 * F.col("label")
+    t = s.where("vec_id % 7 <> 0").select("vec_id", "label", x.alias("x"), y.alias("y"), "z")
+    out = registration.register(s, t, ["label"], "vec_id", "x", "y", "z")
+    return out.select("label", "source_count", "reference_count", r("a", 5).alias("a"), r("b", 5).alias("b"), r("tx", 3).alias("tx"), r("ty", 3).alias("ty"), "inliers", "accepted")
