@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import grouping, joins, tiles, windows
+from ..operators import grouping, joins, measure, registration, tiles, windows
 from ..sources import fits
+from ..sources import frames as formats
 
 
 def _card(name: str) -> Column:
@@ -27,8 +28,8 @@ def assets(spark: SparkSession, path: str) -> DataFrame:
     The role comes from the header, else from the folder's or file's name.  Of byte-identical files
     the smallest path stays.
     """
-    heads = fits.headers(spark, path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{fit,fits,fts,FIT,FITS,FTS}").load(path)
+    heads = formats.headers(spark, path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", formats.GLOB).load(path)
     twins = joins.staged_duplicates(files.select("path", "content"), "path", "content").where("path <> first").select("path")
     when = F.to_timestamp(F.regexp_replace(_card("DATE-OBS"), "Z$", ""))
     return heads.join(twins, "path", "left_anti").select(
@@ -141,7 +142,7 @@ def stacks(spark: SparkSession, path: str, rows: int = 64) -> DataFrame:
     usable = frames.join(issues(frames).select("path").distinct(), "path", "left_anti")
     groups = joins.cut(calibration_groups(usable))
     matched = joins.cut(matches(usable, groups))
-    every = fits.tiles(spark, path, rows)
+    every = formats.tiles(spark, path, rows)
     member = every.join(groups.select("path", "group", "role"), "path")
     plain = joins.cut(tiles.stack_tiles(member.where("role in ('BIAS', 'DARK')"), ["group"], "path").select("group", "y0", "data"))
     none = F.lit(None).cast("binary")
@@ -159,3 +160,26 @@ def stacks(spark: SparkSession, path: str, rows: int = 64) -> DataFrame:
 def masters(spark: SparkSession, path: str, rows: int = 64) -> DataFrame:
     """(target, filter, content, sha256): one FITS file a stack."""
     return fits.files(stacks(spark, path, rows), ["target", "filter"])
+
+
+def measures(spark: SparkSession, path: str, most: int = 1600) -> DataFrame:
+    """operators.measure.measured() of every frame below a path, keyed by `path`, with its preview's `block`; written once, as stars and frames both come of it."""
+    seen = formats.previews(spark, path, most)
+    done = measure.measured(seen.select("path", "height", "width", "data"), "path")
+    return joins.cut(done)
+
+
+def registrations(stars: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path, reference, similarity to it, counts, rms, accepted, reasons): every member against its group's frame of most stars, ties to the smaller path.
+
+    `stars` is measure.star_rows() by path, `members` holds (keys, path).  The reference registers with itself;
+    a member without stars keeps its row.
+    """
+    count = members.join(stars.groupBy("path").agg(F.count("*").alias("_n")), "path", "left")
+    best = count.groupBy(*keys).agg(F.min_by("path", F.struct((-F.coalesce("_n", F.lit(0))).alias("n"), "path")).alias("reference"))
+    pairs = joins.cut(members.select(*keys, "path").distinct().join(best, keys))
+    own = ["path", "reference"]
+    s = stars.select("path", "star", "x", "y", "flux")
+    source = pairs.select(*own).distinct().join(s, "path", "left")
+    reference = pairs.select(*own).distinct().join(s.withColumnRenamed("path", "reference"), "reference")
+    return pairs.join(registration.register(source, reference, own, "star", "x", "y", "flux"), own)

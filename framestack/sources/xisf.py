@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .fits import _HEADERS, _TILE, BATCH_BYTES, TILE
+from . import fits
 
 MAGIC = b"XISF0100"
 MOST_HEADER = 1 << 24
@@ -56,7 +58,10 @@ def expand(raw: bytes, compression: str | None) -> bytes:
     codec, size, *item = compression.split(":")
     base, _, shuffled = codec.partition("+")
     if base == "zlib":
-        out = zlib.decompress(raw)
+        try:
+            out = zlib.decompress(raw)
+        except zlib.error as e:
+            raise ValueError(str(e)) from e
     elif base in ("lz4", "lz4hc", "zstd"):
         out = pa.Codec("zstd" if base == "zstd" else "lz4_raw").decompress(raw, int(size)).to_pybytes()
     else:
@@ -66,23 +71,76 @@ def expand(raw: bytes, compression: str | None) -> bytes:
     return unshuffle(out, int(item[0])) if shuffled and item else out
 
 
-def image(data: bytes) -> tuple[dict[str, str], np.ndarray]:
-    """Keywords and samples (channels, height, width) of the first image."""
-    node = next((n for n in parse(data).iter() if _local(n.tag) == "Image"), None)
-    if node is None:
-        raise ValueError("no image")
-    width, height, channels = (int(x) for x in (node.get("geometry") + ":1").split(":")[:3])
-    kind, start, size = node.get("location", "").split(":")
-    if kind != "attachment":
-        raise ValueError("only attached blocks")
-    raw = expand(data[int(start) : int(start) + int(size)], node.get("compression"))
+def described(node: ElementTree.Element) -> tuple[dict[str, str], int, int, int]:
+    """Keywords, width, height and channels that an image element states; its samples aren't read."""
+    sizes = [int(x) for x in ((node.get("geometry") or "") + ":1").split(":")[:3]]
     fmt = node.get("sampleFormat")
     if fmt not in SAMPLES:
         raise ValueError(f"samples {fmt}")
-    values = np.frombuffer(raw, SAMPLES[fmt], width * height * channels).reshape(channels, height, width)
     words = {n.get("name"): (n.get("value") or "").strip("'").strip() for n in node.iter() if _local(n.tag) == "FITSKeyword"}
     bounds = node.get("bounds")
-    return words | {"sampleFormat": fmt} | ({"bounds": bounds} if bounds else {}), values
+    return words | {"sampleFormat": fmt} | ({"bounds": bounds} if bounds else {}), *sizes
+
+
+def first_node(root: ElementTree.Element) -> ElementTree.Element:
+    """The first image; thumbnails are elements of another name."""
+    node = next((n for n in root.iter() if _local(n.tag) == "Image"), None)
+    if node is None:
+        raise ValueError("no image")
+    return node
+
+
+def open_node(f: BinaryIO) -> ElementTree.Element:
+    """The first image's element, of the header alone."""
+    head = f.read(16)
+    size = int.from_bytes(head[8:12], "little")
+    if head[:8] != MAGIC or size > MOST_HEADER:
+        raise ValueError("no XISF file")
+    return first_node(parse(head + f.read(size)))
+
+
+def samples(f: BinaryIO, node: ElementTree.Element) -> np.ndarray:
+    """Samples (channels, height, width) of an image: its attached block alone is read."""
+    _, width, height, channels = described(node)
+    kind, _, place = (node.get("location") or "").partition(":")
+    if kind != "attachment":
+        raise ValueError("only attached blocks")
+    start, size = (int(x) for x in place.split(":"))
+    f.seek(start)
+    raw = expand(f.read(size), node.get("compression"))
+    return np.frombuffer(raw, SAMPLES[node.get("sampleFormat")], width * height * channels).reshape(channels, height, width)
+
+
+def rows_of(f: BinaryIO, node: ElementTree.Element) -> Callable[[int, int], np.ndarray]:
+    """A reader of rows y0 to y1, as float64 means over the channels: of a plain block those rows alone are read."""
+    _, width, height, channels = described(node)
+    kind, _, place = (node.get("location") or "").partition(":")
+    if node.get("compression") or kind != "attachment":
+        whole = samples(f, node)
+        return lambda y0, y1: _channel_mean(whole[:, y0:y1].astype(np.float64))
+    start, form = int(place.split(":")[0]), np.dtype(SAMPLES[node.get("sampleFormat")])
+
+    def read(y0: int, y1: int) -> np.ndarray:
+        out = []
+        for c in range(channels):
+            f.seek(start + (c * height + y0) * width * form.itemsize)
+            out.append(np.frombuffer(f.read((y1 - y0) * width * form.itemsize), form, (y1 - y0) * width).reshape(-1, width))
+        return _channel_mean(np.array(out, np.float64))
+
+    return read
+
+
+def _channel_mean(values: np.ndarray) -> np.ndarray:
+    known = np.isfinite(values)
+    n = known.sum(0)
+    return np.where(n > 0, np.where(known, values, 0).sum(0) / np.maximum(n, 1), np.nan)
+
+
+def image(data: bytes) -> tuple[dict[str, str], np.ndarray]:
+    """Keywords and samples (channels, height, width) of the first image of a file's bytes."""
+    f = io.BytesIO(data)
+    node = open_node(f)
+    return described(node)[0], samples(f, node)
 
 
 def build(values: np.ndarray, keywords: dict[str, str] | None = None, compression: str | None = None) -> bytes:
@@ -106,40 +164,38 @@ def build(values: np.ndarray, keywords: dict[str, str] | None = None, compressio
     return head + bytes(start - len(head)) + packed
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{xisf,XISF}").load(path).select("path", "content")
+GLOB = "*.[xX][iI][sS][fF]"
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, width, height, bitpix, header map, error) as for FITS; the bits are those of the sample format, negative for floats."""
+    """(path, width, height, bitpix, header map, error) as for FITS, of the header alone; the bits are those of the sample format, negative for floats."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    words, v = image(data)
-                    out.append({"path": name, "width": v.shape[2], "height": v.shape[1], "bitpix": v.dtype.itemsize * 8 * (-1 if v.dtype.kind == "f" else 1), "header": list(words.items()), "error": None})
-                except (ValueError, KeyError, AttributeError, zlib.error) as e:
-                    out.append({"path": name, "width": None, "height": None, "bitpix": None, "header": None, "error": str(e)})
-            yield pa.RecordBatch.from_pylist(out, _HEADERS)
+    def work(name: str, f: BinaryIO) -> Iterator[dict]:
+        words, width, height, _ = described(open_node(f))
+        form = np.dtype(SAMPLES[words["sampleFormat"]])
+        yield {"path": name, "width": width, "height": height, "bitpix": form.itemsize * 8 * (-1 if form.kind == "f" else 1), "header": list(words.items()), "error": None}
 
-    return _files(spark, path).mapInArrow(run, "path string, width int, height int, bitpix int, header map<string,string>, error string")
+    return fits.scan(spark, path, GLOB, work, fits._HEADERS, fits.HEADER, fits.no_header)
 
 
 def tiles(spark: SparkSession, path: str, rows: int = 64) -> DataFrame:
     """Row bands of the first channel, as for FITS."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    _, v = image(data)
-                except (ValueError, KeyError, AttributeError, zlib.error):
-                    continue
-                for y in range(0, v.shape[1], rows):
-                    band = v[0, y : y + rows].astype("<f4")
-                    yield pa.RecordBatch.from_pylist([{"path": name, "y0": y, "rows": len(band), "width": v.shape[2], "data": band.tobytes()}], _TILE)
-
-    return _files(spark, path).mapInArrow(run, TILE)
+    def work(name: str, f: BinaryIO) -> Iterator[dict]:
+        v = samples(f, open_node(f))
+        for y in range(0, v.shape[1], rows):
+            yield fits.tile(name, y, v[0, y : y + rows])
+
+    return fits.scan(spark, path, GLOB, work, fits._TILE, fits.TILE)
+
+
+def previews(spark: SparkSession, path: str, most: int = 1600) -> DataFrame:
+    """Block means of the channels' mean, as for FITS; of plain blocks only bands are held."""
+
+    def work(name: str, f: BinaryIO) -> Iterator[dict]:
+        node = open_node(f)
+        words, width, height, _ = described(node)
+        block = fits.preview_block(width, height, most, words)
+        yield fits.preview(name, fits.block_means(rows_of(f, node), height, width, block), block)
+
+    return fits.scan(spark, path, GLOB, work, fits._PREVIEW, fits.PREVIEW, fits.no_preview)

@@ -1,5 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
+from framestack.operators import measure
 from framestack.plans import project
 from framestack.sources import fits
 
@@ -57,3 +60,27 @@ def test_masters_recover_the_sky(spark, folder):
     got = fits.decode_rows(rows[0]["content"])
     scale = np.median(got / sky)
     assert np.abs(got / scale - sky).max() < 4
+
+
+def test_measured_frames_register(spark, tmp_path):
+    """Frames of one sky, shifted by known amounts, from files to similarities."""
+    rng = np.random.default_rng(21)
+    gx, gy = np.meshgrid(np.arange(24, 280, 32), np.arange(24, 220, 32))
+    sx, sy = gx.ravel() + rng.uniform(-7, 7, gx.size), gy.ravel() + rng.uniform(-7, 7, gx.size)
+    peak = rng.uniform(200, 2000, gx.size)
+    y, x = np.mgrid[:240, :300]
+    shifts = {"a.fits": (0.0, 0.0), "b.fits": (6.5, -3.25), "c.fits": (-9.0, 4.5)}
+    for name, (dx, dy) in shifts.items():
+        sky = sum(p * np.exp(-((x - a - dx) ** 2 + (y - b - dy) ** 2) / 5) for a, b, p in zip(sx, sy, peak))
+        (tmp_path / name).write_bytes(fits.encode(100 + sky + rng.normal(0, 2, sky.shape), {"IMAGETYP": "Light"}))
+    (tmp_path / "d.fits").write_bytes(fits.encode(100 + rng.normal(0, 2, (240, 300))))
+    done = project.measures(spark, str(tmp_path))
+    stars = measure.star_rows(done, "path")
+    members = done.select(F.lit("g").alias("g"), "path")
+    got = {r["path"].rsplit("/")[-1]: r for r in project.registrations(stars, members, ["g"]).collect()}
+    first = next(iter({r["reference"] for r in got.values()})).rsplit("/")[-1]
+    assert len(got) == 4 and not got["d.fits"]["accepted"] and got["d.fits"]["reasons"] == ["INSUFFICIENT_STARS_FOR_ESTIMATE"]
+    for name, (dx, dy) in shifts.items():
+        r = got[name]
+        assert r["accepted"] and abs(r["a"] - 1) < 1e-3 and abs(r["b"]) < 1e-3
+        assert abs(r["tx"] - (shifts[first][0] - dx)) < 0.3 and abs(r["ty"] - (shifts[first][1] - dy)) < 0.3

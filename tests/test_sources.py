@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from framestack.operators import stack, tiles
-from framestack.sources import fits, records, xisf
+from framestack.sources import fits, frames, records, xisf
 
 
 @pytest.fixture
@@ -115,3 +115,34 @@ def test_cone_reads_only_its_zones(spark, tmp_path):
     read = spark.read.parquet(str(tmp_path / "stars"))
     got = records.cone(read, 100.0, 20.0, 15.0, "flux", 5).collect()
     assert len(got) == 5 and all(r["separation"] <= 15 for r in got) and got[0]["flux"] == max(r["flux"] for r in got)
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_headers_rows_and_previews_of_a_mixed_folder(spark, tmp_path, image, whole, monkeypatch):
+    """By seeking, and by whole files as where Arrow can't seek; endings in any case, blanks in names."""
+    if whole:
+        monkeypatch.setattr(fits, "seekable", lambda path: False)
+    data = fits.encode(image, {"FILTER": "L"})
+    (tmp_path / "a b.FiTs").write_bytes(data)
+    (tmp_path / "head.fit").write_bytes(data[:2880])
+    (tmp_path / "cfa.fits").write_bytes(fits.encode(image, {"BAYERPAT": "RGGB"}))
+    (tmp_path / "bad.fits").write_bytes(b"nothing")
+    v = np.random.default_rng(4).integers(0, 60000, (2, 70, 30)).astype(np.uint16)
+    (tmp_path / "c.XISF").write_bytes(xisf.build(v, {"FILTER": "R"}, None))
+    (tmp_path / "d.xisf").write_bytes(xisf.build(v, {"FILTER": "R"}, "zlib+sh"))
+    (tmp_path / "e.xisf").write_bytes(b"XISF0100")
+    name = lambda r: r["path"].rsplit("/")[-1]
+    heads = {name(r): r for r in frames.headers(spark, str(tmp_path)).collect()}
+    assert {k for k, r in heads.items() if r["error"]} == {"bad.fits", "e.xisf"} and len(heads) == 7
+    assert heads["head.fit"]["height"] == 100 and heads["a b.FiTs"]["header"]["FILTER"] == "L" and heads["c.XISF"]["header"]["FILTER"] == "R"
+    rows = {(name(r), r["y0"]): np.frombuffer(r["data"], "<f4") for r in fits.row_gather(spark, str(tmp_path), [3, 99, 3, 100, -1]).collect()}
+    assert set(rows) == {(n, y) for n in ("a b.FiTs", "cfa.fits") for y in (3, 99)} and np.array_equal(rows["a b.FiTs", 3], image[3], equal_nan=True)
+    seen = {name(r): r for r in frames.previews(spark, str(tmp_path), 34).collect()}
+    assert {k for k, r in seen.items() if r["error"]} == {"bad.fits", "e.xisf", "head.fit"}
+    assert seen["a b.FiTs"]["block"] == 3 and seen["cfa.fits"]["block"] == 4
+    pixels = lambda r: np.frombuffer(r["data"], "<f4").reshape(r["height"], r["width"])
+    for n, source, block in (("a b.FiTs", image, 3), ("cfa.fits", image, 4), ("c.XISF", v.mean(0), 3), ("d.xisf", v.mean(0), 3)):
+        h, w = source.shape
+        wanted = [[np.nanmean(source[y : y + block, x : x + block].astype(float)) for x in range(0, w, block)] for y in range(0, h, block)]
+        assert np.allclose(pixels(seen[n]), wanted, rtol=1e-6)
+    assert frames.tiles(spark, str(tmp_path)).count() == 8
