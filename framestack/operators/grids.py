@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,3 +155,86 @@ def inside_corridor(pixels: DataFrame, trails: DataFrame, keys: list[str], x: st
     met = pixels.join(trails, keys)
     across, along = nx * F.col(x) + ny * F.col(y) - F.col("distance"), ny * F.col(x) * -1 + nx * F.col(y)
     return met.where((F.abs(across) <= F.col("half_width")) & (along >= F.col("start")) & (along <= F.col("stop"))).select(*pixels.columns).distinct()
+
+
+def splat_soft(points: DataFrame, keys: list[str], x: str, y: str, value: str, weight: str, drop: float = 1.0, kernel: str = "gaussian") -> DataFrame:
+    """splat() with other drops: `point` falls whole into its cell, `gaussian` (its FWHM the drop's width) shares the drop's area over cells within three sigmas."""
+    px, py = clean(x), clean(y)
+    rows = points.where(px.isNotNull() & py.isNotNull() & clean(value).isNotNull() & (F.col(weight) > 0)).withColumns({"_x": px, "_y": py, "_v": clean(value)})
+    if kernel == "point":
+        rows = rows.withColumns({"ox": F.floor(F.col("_x") + 0.5).cast("int"), "oy": F.floor(F.col("_y") + 0.5).cast("int"), "_a": F.lit(1.0)})
+    elif kernel == "gaussian":
+        sigma = drop / 2.3548200450309493
+        reach = 3 * sigma
+        cells = lambda c: F.sequence(F.ceil(F.col(c) - reach).cast("int"), F.greatest(F.ceil(F.col(c) - reach), F.floor(F.col(c) + reach)).cast("int"))
+        bell = lambda c, o: F.exp(-F.pow(F.col(o) - F.col(c), 2) / (2 * sigma**2))
+        # The shares of a point's cells are the products of the shares along each axis.
+        total = lambda c: F.aggregate(cells(c), F.lit(0.0), lambda s, o: s + F.exp(-F.pow(o - F.col(c), 2) / (2 * sigma**2)))
+        rows = rows.withColumns({"_tx": total("_x"), "_ty": total("_y")}).withColumn("ox", F.explode(cells("_x"))).withColumn("oy", F.explode(cells("_y")))
+        rows = rows.withColumn("_a", drop * drop * bell("_x", "ox") * bell("_y", "oy") / (F.col("_tx") * F.col("_ty")))
+    else:
+        raise ValueError(f"kernel {kernel}")
+    rows = rows.withColumn("_w", F.col("_a") * F.col(weight))
+    return rows.groupBy(*keys, "oy", "ox").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("value"), F.sum("_w").alias("weight"), F.sum("_a").alias("coverage"))
+
+
+def lattice_index(k: Column, length: Column, count: Column) -> Column:
+    """The k-th of `count` indices spread evenly from 0 to length - 1, halves to the even index, in whole numbers only."""
+    k, length, d = k.cast("long"), length.cast("long"), F.greatest(count.cast("long") - 1, F.lit(1))
+    n = k * (length - 1)
+    q, rest = F.floor(F.try_divide(n - n % d, d)).cast("long"), n % d
+    up = (2 * rest > d) | ((2 * rest == d) & (q % 2 == 1))
+    return F.when(count <= 1, F.lit(0)).otherwise(q + up.cast("long"))
+
+
+def sample_lattice(images: DataFrame, keys: list[str], height: str, width: str, most: int) -> DataFrame:
+    """(keys, y, x): at most about `most` evenly spread pixels of each image; it depends on the image's size alone."""
+    h, w = F.col(height).cast("long"), F.col(width).cast("long")
+    rows = F.least(h, F.greatest(F.lit(1), F.floor(F.sqrt(F.floor(most * h / F.greatest(F.lit(1), w))))))
+    out = images.where((h > 0) & (w > 0)).select(*keys, h.alias("_h"), w.alias("_w"), rows.alias("_r")).withColumn("_c", F.least("_w", F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("_r")))))
+    out = out.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_r") - 1))).withColumn("y", lattice_index(F.col("_k"), F.col("_h"), F.col("_r")))
+    out = out.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))).withColumn("x", lattice_index(F.col("_k"), F.col("_w"), F.col("_c")))
+    return out.select(*keys, "y", "x").distinct()
+
+
+def largest_rectangle(cells: DataFrame, keys: list[str], x: str, y: str, valid: Column) -> DataFrame:
+    """(keys, area, y0, x0, y1, x1): the largest rectangle of valid cells (ends exclusive); of equal ones the greatest (y0, x0, y1, x1).
+
+    Heights of valid runs come from a window down each column; each cell's height then spans the columns
+    on both sides up to the next lower one.  Work per row of cells, so a row's width bounds a task.
+    """
+    rows = cells.where(F.coalesce(valid, F.lit(False))).select(*keys, F.col(x).cast("int").alias("x"), F.col(y).cast("int").alias("y")).distinct()
+    down = Window.partitionBy(*keys, "x").orderBy("y")
+    rows = rows.withColumn("_run", F.col("y") - F.row_number().over(down))
+    rows = rows.withColumn("h", F.row_number().over(Window.partitionBy(*keys, "x", "_run").orderBy("y")).cast("int"))
+    lines = rows.groupBy(*keys, "y").agg(F.array_sort(F.collect_list(F.struct("x", "h"))).alias("line"))
+
+    def spans(line: list[dict]) -> tuple[int, int, int, int]:
+        """(area, height, left, right) of the best rectangle that ends in this row."""
+        best, open_ = (0, 0, 0, 0), []
+        places = [(c["x"], c["h"]) for c in line]
+        closed = [p for i, p in enumerate(places) for p in ([(places[i - 1][0] + 1, 0), p] if i and places[i - 1][0] + 1 < p[0] else [p])]
+        for at, height in [*closed, (places[-1][0] + 1, 0)]:
+            left = at
+            while open_ and open_[-1][1] >= height:
+                left, tall = open_.pop()
+                best = max(best, (tall * (at - left), -tall, left, at))
+            open_.append((left, height))
+        return best
+
+    def run(batches):
+        for batch in batches:
+            found = [spans(line) for line in batch["line"].to_pylist()]
+            own = [batch[k] for k in (*keys, "y")]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array([f[i] for f in found], pa.int32()) for i in range(4)]], [*keys, "y", "area", "h", "x0", "x1"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
+    out = lines.mapInArrow(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in (*keys, "y")], "area int, h int, x0 int, x1 int"]))
+    box = F.struct("area", (F.col("y") + F.col("h") + 1).alias("y0"), "x0", (F.col("y") + 1).alias("y1"), "x1")
+    return out.groupBy(*keys).agg(F.max(box).alias("b")).select(*keys, "b.area", "b.y0", "b.x0", "b.y1", "b.x1")
+
+
+def channel_medians(pixels: DataFrame, keys: list[str], x: str, y: str, value: str) -> DataFrame:
+    """(keys, place, n, median) of the four places of a 2 x 2 colour mosaic, row by row."""
+    v = clean(value)
+    return pixels.groupBy(*keys, (F.pmod(F.col(y), F.lit(2)) * 2 + F.pmod(F.col(x), F.lit(2))).cast("int").alias("place")).agg(F.count(v).alias("n"), F.percentile(v, F.lit(0.5)).alias("median"))
