@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cohort, grids
+from ..operators import cohort, grids, scores
 from .registry import query, r, table
 
 
@@ -142,3 +142,37 @@ def largest_rectangle(spark, sf_dir):
 @query("mosaic_channel_medians", "SELECT l_returnflag, (l_suppkey % 2 * 2 + l_partkey % 2)::INT AS place, count(l_extendedprice) AS n, round(median(l_extendedprice) + 1e-9, 4) AS median FROM lineitem GROUP BY 1, 2")
 def mosaic_channel_medians(spark, sf_dir):
     return grids.channel_medians(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_partkey", "l_suppkey", "l_extendedprice").withColumn("median", r("median", 4))
+
+
+_K = "CASE WHEN p_partkey % {m} <> 0 THEN {v} END AS {n}"
+_FEATURES = {  # no value lies on a threshold
+    "dimming": "p_partkey % 13 / 21.7e0", "completeness": "0.33e0 + p_partkey % 8 / 10.3e0", "source_ratio": "0.31e0 + p_partkey % 9 / 9.1e0", "extinction": "p_partkey % 23 / 30.7e0", "background": "p_retailprice", "area": "p_partkey % 29 / 71.3e0",
+    "density": "p_partkey % 7 / 9.1e0", "boundary": "p_partkey % 4 / 3.7e0", "support": "p_partkey % 3 / 2.7e0", "hfr": "2.017e0 + p_size / 91.3e0", "fwhm": "3.013e0 + p_size % 17 / 30.7e0", "ellipticity": "0.2013e0 + p_size % 11 / 41.7e0", "ellipticity_p90": "0.4011e0 + p_size % 13 / 31.3e0",
+}
+_CONFIDENCE = "CASE WHEN p_partkey % 19 = 0 THEN 'LOW' WHEN p_partkey % 3 = 0 THEN 'MEDIUM' ELSE 'HIGH' END"
+
+
+def _features(cast: str) -> str:
+    return ", ".join(_K.format(m=m, v=f"cast({v} AS {cast})", n=n) for m, (n, v) in zip((17, 19, 31, 5, 37, 41, 43, 11, 13, 47, 53, 59, 61), _FEATURES.items()))
+
+
+@query(
+    "scored_decisions",
+    f"""WITH f AS (SELECT p_partkey, p_brand, {_features("DOUBLE")}, {_CONFIDENCE} AS confidence FROM part),
+    m AS (SELECT p_brand, median(background) AS mb, median(hfr) AS mh, median(fwhm) AS mf, median(ellipticity) AS me, median(ellipticity_p90) AS mp FROM f GROUP BY 1),
+    s AS (SELECT p_brand, 1.4826 * median(abs(background - mb)) AS sb, 1.4826 * median(abs(hfr - mh)) AS sh, 1.4826 * median(abs(fwhm - mf)) AS sf, 1.4826 * median(abs(ellipticity - me)) AS se, 1.4826 * median(abs(ellipticity_p90 - mp)) AS sp FROM f JOIN m USING (p_brand) GROUP BY 1),
+    t AS (SELECT f.*, CASE WHEN dimming >= 0.45 THEN 2 WHEN dimming >= 0.18 THEN 1 ELSE 0 END AS d, CASE WHEN completeness <= 0.45 THEN 2 WHEN completeness <= 0.7 THEN 1 ELSE 0 END AS c, CASE WHEN source_ratio <= 0.45 THEN 2 WHEN source_ratio <= 0.7 THEN 1 ELSE 0 END AS n,
+      CASE WHEN extinction >= 0.45 THEN 2 WHEN extinction >= 0.35 THEN 1 ELSE 0 END AS e, CASE WHEN abs(background - mb) / greatest(sb, 1e-8) >= 3 THEN 1 ELSE 0 END AS b, coalesce(area, 0) AS ar, coalesce(boundary, 0) AS bo, coalesce(support, 0) >= 0.5 AS su, coalesce(density <= 0.35, false) AS d1, coalesce(density <= 0.15, false) AS d2,
+      coalesce(hfr >= 1.15 * mh OR (sh > 1e-9 AND hfr >= 1.08 * mh AND hfr - mh >= 4 * sh), false) AS oh, coalesce(fwhm >= 1.18 * mf OR (sf > 1e-9 AND fwhm >= 1.08 * mf AND fwhm - mf >= 4 * sf), false) AS of,
+      coalesce(ellipticity >= 0.35 AND (ellipticity >= 1.5 * me OR (se > 1e-9 AND ellipticity >= 1.2 * me AND ellipticity - me >= 4 * se)), false) OR coalesce(ellipticity_p90 >= 0.65 AND (ellipticity_p90 >= 1.4 * mp OR (sp > 1e-9 AND ellipticity_p90 >= 1.15 * mp AND ellipticity_p90 - mp >= 4 * sp)), false) AS tr FROM f JOIN m USING (p_brand) JOIN s USING (p_brand)),
+    u AS (SELECT *, CASE WHEN extinction IS NULL OR extinction >= 0.35 THEN n ELSE 0 END AS np, CASE WHEN extinction >= 0.35 THEN n ELSE 0 END AS nf, ar >= 0.15 AND d2 AND su AND bo >= 0.65 AS hard, ar >= 0.3 AND d1 AND su AS vast FROM t),
+    v AS (SELECT *, d + c + np + e + b AS cloud_score, (d > 0)::INT + (c > 0)::INT + (nf > 0)::INT + (e > 0)::INT + b AS fam, d = 2 OR c = 2 OR nf = 2 OR e = 2 AS strong, CASE WHEN ar >= 0.05 THEN 1 + d1::INT + (bo >= 0.5)::INT + su::INT ELSE 0 END AS oc, CASE WHEN tr OR oh THEN 2 WHEN of THEN 1 ELSE 0 END AS shape_score FROM u),
+    x AS (SELECT *, CASE WHEN hard OR vast THEN greatest(oc, 5) ELSE oc END AS occlusion_score FROM v)
+    SELECT p_partkey, cloud_score, occlusion_score, shape_score, CASE WHEN (hard OR vast) AND confidence = 'HIGH' THEN 'REJECT_OCCLUSION' WHEN confidence = 'HIGH' AND cloud_score >= 4 AND fam >= 2 AND strong THEN 'REJECT_CLOUD' WHEN cloud_score >= 2 OR occlusion_score >= 2 OR shape_score >= 2 THEN 'REVIEW' WHEN confidence IN ('MEDIUM', 'HIGH') THEN 'KEEP' ELSE 'UNASSESSABLE' END AS decision,
+    (d > 0)::INT + (c > 0)::INT + (np > 0)::INT + (e > 0)::INT + b + CASE WHEN ar >= 0.05 THEN oc ELSE 0 END + (hard OR vast)::INT + (oh OR of)::INT + tr::INT AS reasons FROM x""",
+)
+def scored_decisions(spark, sf_dir):
+    """The rule set over made-up features of parts, with unknown ones among them."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_brand", *_features("double").split(", CASE")[:1], *["CASE" + c for c in _features("double").split(", CASE")[1:]], f"{_CONFIDENCE} AS confidence")
+    out = scores.scored_decisions(rows, ["p_brand"], "confidence")
+    return out.select("p_partkey", "cloud_score", "occlusion_score", "shape_score", "decision", F.size("reasons").alias("reasons"))

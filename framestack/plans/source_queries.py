@@ -22,12 +22,15 @@ def stack_tile_udf(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.avg("l_extendedprice").alias("v"))
     rows = rows.select(F.col("l_suppkey").alias("frame"), F.floor(F.col("l_partkey") / 64).cast("int").alias("y0"), (F.col("l_partkey") % 64).cast("int").alias("x"), F.col("v").cast("float").alias("v"))
 
-    def band(part: pa.Table) -> pa.Table:
-        data = np.full(64, np.nan, "<f4")
-        data[part["x"].to_numpy()] = part["v"].to_numpy()
-        return pa.table({"frame": part["frame"][:1], "y0": part["y0"][:1], "rows": pa.array([1], pa.int32()), "width": pa.array([64], pa.int32()), "data": pa.array([data.tobytes()], pa.binary())})
+    def bands_of(part: pa.Table) -> pa.Table:
+        """All frames of one band; frames x 64 samples bound the group."""
+        frames, at = np.unique(part["frame"].to_numpy(), return_inverse=True)
+        data = np.full((len(frames), 64), np.nan, "<f4")
+        data[at, part["x"].to_numpy()] = part["v"].to_numpy()
+        n = len(frames)
+        return pa.table({"frame": frames, "y0": pa.repeat(part["y0"][0], n), "rows": pa.array([1] * n, pa.int32()), "width": pa.array([64] * n, pa.int32()), "data": pa.array([d.tobytes() for d in data], pa.binary())})
 
-    bands = rows.groupBy("frame", "y0").applyInArrow(band, "frame long, y0 int, rows int, width int, data binary")
+    bands = rows.groupBy("y0").applyInArrow(bands_of, "frame long, y0 int, rows int, width int, data binary")
     out = tiles.stack_tiles(bands.withColumn("g", F.lit(0)), ["g"], "frame")
 
     def spread(batches):
