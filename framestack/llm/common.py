@@ -65,3 +65,22 @@ def sampled_ids(ids: DataFrame, key: str, total: int, wanted: int) -> DataFrame:
         return ids
     cut = int(wanted / total * (1 << 30))
     return ids.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) < cut)
+
+
+def with_totals(df: DataFrame, keys: list[str], deal: Column, totals: dict[str, str], how=F.try_sum, salts: int = 64) -> DataFrame:
+    """df with totals over all rows of equal keys (nulls are equal), as new columns {name: column}; `how` must add up from parts.
+
+    Rows are dealt by key and a salt from `deal`, so the rows of a hot key spread over `salts` groups: sums are made by
+    (key, salt), then by key, and go back by (key, salt).  Both sides of the join grow with the groups that exist, and
+    no group is larger than a salt's share of a key.
+    """
+    salt = free_name(df.columns, "salt")
+    rows = df.withColumn(salt, F.pmod(deal, F.lit(salts)).cast("int"))
+    parts = rows.groupBy(*keys, salt).agg(*[how(c).alias(n) for n, c in totals.items()])
+    whole = parts.groupBy(*keys).agg(*[how(n).alias(n) for n in totals], F.collect_set(salt).alias(salt))
+    back = whole.select(*keys, *totals, F.explode(salt).alias(salt))
+    left, right = rows.alias("l"), back.alias("r")
+    same = F.lit(True)
+    for k in [*keys, salt]:
+        same = same & F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`"))
+    return left.join(right, same).select("l.*", *[F.col(f"r.`{n}`") for n in totals]).drop(salt)

@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dac, langid, merkle, mixing, mjpeg, quality, secret_scan, simhash, toxicity
+from . import bpe, conversations, dac, langid, merkle, mixing, mjpeg, pieces, quality, secret_scan, simhash, toxicity, vectors
 from .common import key_crc, stored, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 WORDS = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 END_ID = 2
 
 
@@ -108,6 +109,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.trie(conversations.rebuilt(table(spark, sf_dir, "conversations"))).drop("node", "parent")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.kept(table(spark, sf_dir, "embeddings"))
+    codebooks = vectors.train(rows)
+    coded = vectors.encode(rows, codebooks).withColumn("codebooks_sha256", F.lit(codebooks.sha256()))
+    return vectors.with_label_error(coded).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(PIECES)
+    decoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("spans", 256).alias("spans_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -115,7 +133,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_bpe_round_trip, op2_secret_scan, op3_token_files, op4_media_clips, op5_language, op6_toxicity, op7_merkle, op8_simhash, op9_temperature_mix, op10_quality, pipeline)
+    own = (op1_bpe_round_trip, op2_secret_scan, op3_token_files, op4_media_clips, op5_language, op6_toxicity, op7_merkle, op8_simhash, op9_temperature_mix, op10_quality, op11_prefix_trie, op12_vector_codes, op13_piece_round_trip, pipeline)
     return {f.__name__: f for f in own}
 
 
