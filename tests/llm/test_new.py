@@ -73,7 +73,7 @@ def test_op11_odd_conversations(spark, monkeypatch, held):
     rows += [(None, 1, "user", "lost"), *[(c, t, "user", "same") for c in range(2000, 2300, 3) for t in range(4)], *[(c, 0, "user", "only") for c in (201, 202, 203, 204)]]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, family string, node int")
     assert found(conversations.trie(conversations.rebuilt(df))) == trie_by_hand(rows)
-    assert {conversations.heads(c) for c in (201, 202, 203, 204)} > {0}  # some of these are left without turns
+    assert any(conversations.heads(c) for c in (201, 202, 203, 204))  # some of these are left without turns
 
 
 def test_op11_empty_table(spark):
