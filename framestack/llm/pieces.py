@@ -11,8 +11,8 @@ met before come from a memo; any other vocabulary is encoded whole.
 encode() and decode() are one narrow pass each, in Arrow batches of bounded bytes.  Null texts count as
 empty, and empty texts give only the begin and end ids.  Repeated rows give repeated rows, and no row
 depends on another, so ties can't matter; only the key and text columns are read, so other columns can
-have any name.  Ids are little-endian unsigned 32-bit integers in a BINARY column, spans are pairs of
-64-bit integers (first byte, byte behind) in another.
+have any name.  Ids are little-endian unsigned 32-bit integers in a BINARY column, spans are pairs of such
+integers (first byte, byte behind) in another.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 MARK = "▁"
-#: A worker's memo starts anew behind the batch in which it passes so many segments or characters; results do not depend on it.
-MEMO_SEGMENTS, MEMO_CHARS = 1 << 19, 1 << 24
+#: A worker's memo starts anew behind the group in which it passes so many segments or characters; results do not depend on it.
+MEMO_SEGMENTS, MEMO_CHARS = 1 << 18, 1 << 22
+#: Texts are encoded in groups of about so many characters; MEGABYTES of them come in one batch.
+GROUP_CHARS, MEGABYTES = 1 << 19, 2
 
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Field numbers of the model file (a protocol buffer): fixed values.
@@ -139,7 +141,7 @@ class Normalizer:
             lead += 1
         steps = steps[lead:]
         if not steps:
-            return "", np.empty(0, np.int64), np.empty(0, np.int64)
+            return "", np.empty(0, np.int32), np.empty(0, np.int32)
         origin = steps[0][0]
         if self.dummy and not self.suffix:
             put(self.space, origin, origin)
@@ -159,19 +161,18 @@ class Normalizer:
             del out[-len(self.space) :], start[-len(self.space) :], end[-len(self.space) :]
         if self.dummy and self.suffix:
             put(self.space, len(data), len(data))
-        return out.decode("utf-8", "replace"), np.array(start, np.int64), np.array(end, np.int64)
+        return out.decode("utf-8", "replace"), np.array(start, np.int32), np.array(end, np.int32)
 
 
 def _plain_spans(text: str, form: str) -> tuple[np.ndarray, np.ndarray]:
     """Spans where the form only puts marks for blanks, and perhaps one in front."""
     source, made = (np.frombuffer(t.encode(), np.uint8) for t in (text, form))
-    at = np.append(np.flatnonzero(source & 0xC0 != 0x80), len(source))
-    first = np.flatnonzero(made & 0xC0 != 0x80)
-    extra = len(first) - (len(at) - 1)
-    begin = np.append(np.zeros(extra, np.int64), at[:-1])
-    behind = np.append(np.zeros(extra, np.int64), at[1:])
-    size = np.diff(np.append(first, len(made)))
-    within = np.arange(len(made)) - np.repeat(first, size)
+    at = np.append(np.flatnonzero(source & 0xC0 != 0x80), len(source)).astype(np.int32)
+    first = np.flatnonzero(made & 0xC0 != 0x80).astype(np.int32)
+    extra = np.zeros(len(first) - (len(at) - 1), np.int32)
+    begin, behind = np.append(extra, at[:-1]), np.append(extra, at[1:])
+    size = np.diff(np.append(first, np.int32(len(made))))
+    within = np.arange(len(made), dtype=np.int32) - np.repeat(first, size)
     same = np.repeat(size == behind - begin, size)
     start, end = np.repeat(begin, size), np.repeat(behind, size)
     return np.where(same, start + within, start), np.where(same, start + within + 1, end)
@@ -222,13 +223,22 @@ class Pieces:
         behind = np.cumsum(size)
         return self.rows[np.arange(behind[-1] if len(at) else 0) + np.repeat(self.ends[at] - (behind - size), size)]
 
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids with begin and end, source byte spans of each) of every text."""
-        texts = [t or "" for t in texts]
+        group, chars = [], 0
+        for text in texts:
+            group.append(text or "")
+            chars += len(group[-1])
+            if chars >= GROUP_CHARS:
+                yield from self._group(group)
+                group, chars = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         forms = [self.normal(t) for t in texts]
         parts = [_SEGMENT.findall(f) if self.parted else [f] if f else [] for f, _, _ in forms]
         self._learn(set(chain.from_iterable(parts)))
-        return [self._spanned(t, f, p) for t, f, p in zip(texts, forms, parts)]
+        return map(self._spanned, texts, forms, parts)
 
     def _spanned(self, text: str, form: tuple[str, np.ndarray, np.ndarray], parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         _, start, end = form
@@ -237,7 +247,7 @@ class Pieces:
         behind = np.cumsum(size)
         if len(start) != (behind[-1] if len(ids) else 0):
             raise ValueError("pieces do not add up to the normal form")
-        spans = np.empty((len(ids) + 2, 2), "<i8")
+        spans = np.empty((len(ids) + 2, 2), "<u4")
         spans[0], spans[-1] = 0, len(text.encode())
         spans[1:-1, 0], spans[1:-1, 1] = start[behind - size], end[behind - 1]
         return np.concatenate(([self.begin], ids, [self.end])).astype("<u4"), spans
@@ -257,16 +267,14 @@ def pieces(path: str) -> Pieces:
 
 def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens long, ids binary, spans binary) for every row of df, begin and end ids included."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, megabytes=MEGABYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            made = model.encode(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(i) for i, _ in made], pa.int64()), pa.array([i.tobytes() for i, _ in made], pa.binary()), pa.array([s.tobytes() for _, s in made], pa.binary())],
-                [key, "n_tokens", "ids", "spans"],
-            )
+            made = [(i.tobytes(), s.tobytes()) for i, s in model.encode(batch.column(1).to_pylist())]
+            columns = [pa.array([len(i) // 4 for i, _ in made], pa.int64()), pa.array([i for i, _ in made], pa.binary()), pa.array([s for _, s in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [key, "n_tokens", "ids", "spans"])
 
     rows = df.select(key, F.col(text).cast("string"))
     return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, n_tokens long, ids binary, spans binary")
@@ -274,7 +282,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the text of its ids, by the library's decode, in column `out` (replaced if it exists).  Null ids give an empty text."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, megabytes=MEGABYTES)
     rows = df.drop(out) if out != ids else df
     names, place = rows.columns, rows.columns.index(ids)
 
