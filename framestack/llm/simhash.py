@@ -345,8 +345,8 @@ def cluster(df: DataFrame, width: int = 3, bits: int = 3, key: str = "doc_id", t
 WORDS, ALIKE = 5, (4, 5)
 #: Bits within which the tries link the fingerprints of whole sets.
 SET_BITS = 3
-#: Documents whose shingles are counted to order them, and the count from which one is common; results do not depend on either.
-ORDER_DOCS, COMMON = 50_000, 8
+#: Documents whose shingles are counted to order them, and the bits of a hash that find its count (16 MB); results do not depend on either.
+ORDER_DOCS, COUNT_BITS = 50_000, 24
 #: Sets of FILTER_FROM shingles or more are not compared if they differ in over FAR of 128 bits.  At a similarity of
 #: 0.8 a bit differs with probability 0.152, so that fewer than one such pair in a million is lost.
 FAR, FILTER_FROM = 44, 32
@@ -389,7 +389,7 @@ def _ids(sets: list[np.ndarray]) -> pa.Array:
     return pa.array(np.array([_set_id(h) for h in sets], np.uint64).view(np.int64))
 
 
-def _described(df: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _described(df: DataFrame, width: int, counts) -> DataFrame:
     """(key, sig, size, fp, fp2, prefix) of rows (key, text): number, size, fingerprints and first shingles of each set."""
     bounded_batches(df.sparkSession)
 
@@ -397,7 +397,7 @@ def _described(df: DataFrame, width: int, common: tuple[np.ndarray, np.ndarray])
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             prints = np.array([set_prints(h) for h in sets], np.int64).reshape(-1, 2)
-            columns = [batch.column(0), _ids(sets), pa.array([len(h) for h in sets], pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), _lists([prefix(h, *common) for h in sets])]
+            columns = [batch.column(0), _ids(sets), pa.array([len(h) for h in sets], pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), _lists([prefix(h, counts.value) for h in sets])]
             yield pa.RecordBatch.from_arrays(columns, ["key", "sig", "size", "fp", "fp2", "prefix"])
 
     return df.mapInArrow(run, f"key {df.schema['key'].dataType.simpleString()}, sig long, size int, fp long, fp2 long, prefix array<long>")
@@ -429,32 +429,44 @@ def with_set_id(df: DataFrame, width: int = WORDS, text: str = "text", name: str
     return df.mapInArrow(run, f"{fields}, `{name}` long")
 
 
-def _common(df: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of shingles that many texts have, ascending, and their counts in a sample of ORDER_DOCS of rows (key, text)."""
+def _counted(df: DataFrame, width: int):
+    """A broadcast table of how often shingles come in a sample of about ORDER_DOCS rows (key, text): COUNT_BITS of the hash, up to 255.
+
+    Its size does not depend on the corpus; shingles that share an entry share their count.
+    """
+    spark = df.sparkSession
     total = df.count()
     some = df if total <= ORDER_DOCS else df.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(ORDER_DOCS / total * (1 << 30)))
-    counts = _whole_sets(some, width).select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    got = counts.toArrow()
-    token, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
-    order = np.argsort(token)
-    return token[order], n[order]
+    entry = F.shiftrightunsigned("token", 64 - COUNT_BITS).cast("int")
+    sets = _whole_sets(some, width).dropDuplicates(["sig"])
+    counts = sets.select(F.explode("hashes").alias("token")).groupBy(entry.alias("entry")).agg(F.least(F.count("*"), F.lit(255)).cast("int").alias("n")).where("n > 1")
+    got = counts.toArrow()  # at most a row an entry
+    table = np.zeros(1 << COUNT_BITS, np.uint8)
+    table[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return spark.sparkContext.broadcast(table)
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def prefix(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """So many of a set's hashes, rare ones first, that two sets as alike as ALIKE have one of them in common."""
     n = len(hashes) - -(-ALIKE[0] * len(hashes) // ALIKE[1]) + 1
-    if not len(hashes) or not len(common):
-        return hashes[:n] if len(hashes) else hashes
-    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-    return hashes[np.lexsort((hashes, np.where(common[at] == hashes, counts[at], 0)))][:n]
+    if not len(hashes):
+        return hashes
+    shift = np.uint64(64 - (len(counts).bit_length() - 1))
+    return hashes[np.lexsort((hashes, counts[(hashes >> shift).astype(np.int64)]))][:n]
 
 
 def _may_be_alike(a: str, b: str) -> Column:
-    """Whether the sizes and the fingerprints of two sets (structs with size, fp, fp2) allow ALIKE."""
+    """Whether two sets (structs with size, fp, fp2, and the place of a shared shingle in the order of each) may be ALIKE.
+
+    If the shingle is the first one shared, no more are shared than follow it in either set: a pair that fails this at its
+    first shared shingle is not alike, so pairs that are alike pass there.  Then sizes, and the fingerprints.
+    """
+    share = F.least(F.col(f"{a}.size") - F.col(f"{a}.pos"), F.col(f"{b}.size") - F.col(f"{b}.pos"))  # itself and what follows
     size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
     bits = F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) + F.bit_count(F.col(f"{a}.fp2").bitwiseXOR(F.col(f"{b}.fp2")))
     least, most = F.least(size_a, size_b), F.greatest(size_a, size_b)
-    return (least * ALIKE[1] >= most * ALIKE[0]) & ((least < FILTER_FROM) | (bits <= FAR))
+    enough = share * (ALIKE[0] + ALIKE[1]) >= (least + most) * ALIKE[0]
+    return (least * ALIKE[1] >= most * ALIKE[0]) & enough & ((least < FILTER_FROM) | (bits <= FAR))
 
 
 def _alike(pairs: DataFrame, one: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -486,18 +498,19 @@ def set_labels(rows: DataFrame, one: DataFrame, docs: DataFrame, width: int, bit
     """(fp, label) as connected() gives them, for the graph of all sets of shingles that are alike; fp is the set's number.
 
     Sets that share a shingle of their prefixes may be alike, all others cannot be.  First the tries' pairs, and
-    those of all sets of a shingle with two of them, are confirmed.  Confirmed parts meet no more: the second
+    those of each set with at most three of its shingles' hubs, are confirmed.  Confirmed parts meet no more: the second
     round confirms all pairs of a shingle that lie in different parts.
     """
-    me = lambda: F.struct("sig", "size", "fp", "fp2")
+    me = lambda: F.struct("sig", "size", "fp", "fp2", "pos")
     by_token = Window.partitionBy("token")
     kept = rows.select("sig", "size", "fp", "fp2", "prefix").dropDuplicates(["sig"])  # copies end in the map tasks
-    posted = kept.select("sig", "size", "fp", "fp2", F.explode("prefix").alias("token")).repartition("token").withColumn("me", me())
+    posted = kept.select("sig", "size", "fp", "fp2", F.posexplode("prefix").alias("pos", "token")).repartition("token").withColumn("me", me())
     hubs = {"lo": F.min("sig").over(by_token), "hi": F.max("sig").over(by_token), "hub_a": F.min_by("me", "sig").over(by_token), "hub_b": F.min_by("me", F.xxhash64("sig", "token")).over(by_token)}
     met = posted.withColumns(hubs).where("lo <> hi")
     near = lambda hub: F.when((F.col(f"{hub}.sig") != F.col("sig")) & _may_be_alike("me", hub), F.col(f"{hub}.sig"))
-    shared = stored(met.select("token", "sig", "size", "fp", "fp2", near("hub_a").alias("hub_a"), near("hub_b").alias("hub_b")), "shared")
-    starred = shared.select("sig", F.explode(F.array_compact(F.array("hub_a", "hub_b"))).alias("hub")).select(F.least("sig", "hub").alias("u"), F.greatest("sig", "hub").alias("v"))
+    shared = stored(met.select("token", "sig", "size", "fp", "fp2", "pos", near("hub_a").alias("hub_a"), near("hub_b").alias("hub_b")), "shared")
+    hubs = shared.groupBy("sig").agg(F.array_compact(F.array(F.min("hub_a"), F.max("hub_a"), F.min("hub_b"))).alias("hubs"))  # three at most
+    starred = hubs.select("sig", F.explode("hubs").alias("hub")).select(F.least("sig", "hub").alias("u"), F.greatest("sig", "hub").alias("v"))
     pairs = stored(starred.union(_trie_pairs(one, bits, node_rows)).distinct(), "pairs")
     edges = _alike(pairs, one, docs, width)
     labels = connected(edges.select(F.col("u").alias("fp"), F.col("v").alias("root")))
@@ -516,7 +529,7 @@ def set_labels(rows: DataFrame, one: DataFrame, docs: DataFrame, width: int, bit
 def _parts(df: DataFrame, key: str, text: str, width: int, bits: int, node_rows: int) -> tuple[DataFrame, DataFrame]:
     """(key, sig) of each row of df, and (sig, first, label): of each set of shingles the smallest key and its part."""
     docs = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = stored(_described(docs, width, _common(docs, width)), "described")
+    rows = stored(_described(docs, width, _counted(docs, width)), "described")
     one = stored(rows.groupBy("sig").agg(F.min("key").alias("first"), F.min("fp").alias("fp")), "distinct")
     known = set_labels(rows, one, docs, width, bits, node_rows).withColumnRenamed("fp", "sig")
     bounded_batches(df.sparkSession)
