@@ -189,3 +189,61 @@ def expression(source: Column, subtract: list[tuple[float, Column]] = (), diviso
 def pattern_scale(scales: list[float], y: Column, x: Column) -> Column:
     """The scale of a 2 x 2 mosaic cell."""
     return F.element_at(F.array(*map(F.lit, scales)), ((y % 2) * 2 + x % 2 + 1).cast("int"))
+
+
+def linear_fit(df: DataFrame, keys: list[str], value: str, weight: str | None = None, low: float = 5.0, high: float = 3.5, bisections: int = 10, rounds: int = 8) -> DataFrame:
+    """(keys, n, mean, n_accepted, n_rejected): rejection about a robust line through a cell's ranked samples, then the weighted mean.
+
+    A round fits a least-absolute-deviation line to the sorted samples over their ranks, its slope by bisection and its
+    intercept as the median of what remains, and drops samples farther from it than `low` below or `high` above in
+    units of twice the mean deviation times sqrt(1 + slope^2).  Rounds end when nothing is dropped, under five samples are
+    left or the scale is lost in rounding.  Samples of no weight, and those that are not finite, do not count.
+    One shuffle by the keys; a task holds the samples of a batch of cells.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.select(*keys, clean(value).alias("v"), w.alias("w")).where("v is not null and w > 0")
+    cells = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("v", "w"))).alias("s"))
+
+    def fitted(x: np.ndarray) -> tuple[float, float, float]:
+        rank, lo, up = np.arange(len(x)), 0.0, max(1e-12, 4.0 * (x[-1] - x[0]) / (len(x) - 1))
+        for _ in range(bisections):
+            slope = 0.5 * (lo + up)
+            middle = np.median(x - slope * rank)
+            if (rank * np.sign(x - (middle + slope * rank))).sum() > 0:
+                lo = slope
+            else:
+                up = slope
+        slope = 0.5 * (lo + up)
+        middle = np.median(x - slope * rank)
+        return middle, slope, np.abs(x - (middle + slope * rank)).sum() / len(x)
+
+    def reduced(x: np.ndarray, weights: np.ndarray) -> tuple[int, float, int, int]:
+        n = len(x)
+        for _ in range(rounds):
+            if len(x) < 5:
+                break
+            middle, slope, spread = fitted(x)
+            scale = 2.0 * spread * np.sqrt(1.0 + slope * slope)
+            if not scale > 0 or 1.0 + scale == 1.0:
+                break
+            off = (x - (middle + slope * np.arange(len(x)))) / scale
+            keep = (off >= -low) & (off <= high)
+            if keep.all():
+                break
+            x, weights = x[keep], weights[keep]
+        return n, float((weights * x).sum() / weights.sum()) if len(x) else None, len(x), n - len(x)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(len(keys))
+            inside, ends = lists.values, lists.offsets.to_numpy()
+            v, weights = inside.field(0).to_numpy(), inside.field(1).to_numpy()
+            out = [reduced(v[a:b], weights[a:b]) for a, b in zip(ends, ends[1:])]
+            kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], [*keys, "n", "mean", "n_accepted", "n_rejected"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema if f.name != "s")
+    return cells.mapInArrow(run, f"{schema}, n long, mean double, n_accepted long, n_rejected long")

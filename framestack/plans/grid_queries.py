@@ -124,15 +124,3 @@ def trail_corridor(spark, sf_dir):
     trails = rows.groupBy("l_linenumber").agg((F.avg("l_discount") * 20).alias("angle")).withColumns({"distance": F.lit(10.0), "start": F.lit(-40.0), "stop": F.lit(40.0), "half_width": F.lit(3.0)})
     pixels = rows.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), (F.col("l_suppkey") % 50 * 1.0).alias("y"))
     return grids.inside_corridor(pixels, trails, ["l_linenumber"], "x", "y").select("l_orderkey", "l_linenumber").distinct()
-
-
-@query("panel_scales")
-def panel_scales(spark, sf_dir):
-    """Offsets of nations from the differences of their customers' and suppliers' balances."""
-    from ..operators import network
-
-    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("a")).agg(F.avg("c_acctbal").alias("ma"), F.count("*").alias("n"))
-    edges = c.join(c.select(F.col("a").alias("b"), F.col("ma").alias("mb")), (F.col("b") == (F.col("a") + 1) % 25) | (F.col("b") == (F.col("a") + 7) % 25))
-    edges = edges.select("a", "b", (F.col("ma") - F.col("mb")).alias("difference"), (F.col("n") / 1e4).alias("weight"))
-    found = network.panel_offsets(edges, "a", "b", "difference", "weight")
-    return spark.createDataFrame([(int(k), float(v)) for k, v in sorted(found.items())], "nation int, gain double").withColumn("gain", r("gain", 3))
