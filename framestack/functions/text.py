@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,11 +70,15 @@ def role_in_path(path: Column) -> Column:
 
 
 def path_keywords(c: Column, names: list[str]) -> Column:
-    """Map of the keywords NAME_value, NAME-value or NAME value in a path; the innermost place counts."""
+    """Map of the keywords NAME_value, NAME-value or NAME value in a path, by NAME in capitals; the innermost place counts.
+
+    A value may hold letters, digits, blanks and any of -():. and ends at anything else; blanks around it go.
+    """
     found = []
     for name in names:
-        values = F.regexp_extract_all(c, F.lit(rf"(?i)(?:^|[/_\- ]){name}[_\- ]([A-Za-z0-9.]+)"), 1)
-        found.append(F.struct(F.lit(name).alias("key"), F.element_at(F.when(F.size(values) > 0, values), -1).alias("value")))
+        every = F.regexp_extract_all(c, F.lit(rf"(?i)(?:^|[^A-Za-z0-9]){re.escape(name)}[_\- ]([-():. A-Za-z0-9]+)"), 1)
+        values = F.filter(F.transform(every, lambda v: F.trim(v)), lambda v: v != "")
+        found.append(F.struct(F.lit(name.upper()).alias("key"), F.element_at(F.when(F.size(values) > 0, values), -1).alias("value")))
     return F.map_from_entries(F.filter(F.array(*found), lambda e: e["value"].isNotNull()))
 
 

@@ -46,7 +46,7 @@ def stack_tiles(tiles: DataFrame, keys: list[str], frame: str, weight: str | Non
         w = np.array([float(r[weight]) if weight else 1.0 for r in rows])
         mean, accepted, rejected = reduce_stack(stack, w)
         out = {k: pa.array([rows[0][k]], table.schema.field(k).type) for k in (*keys, "y0", "rows", "width")}
-        out |= {"data": pa.array([mean.astype("<f4").tobytes()], pa.binary()), "accepted": pa.array([accepted.astype("<u2").tobytes()], pa.binary()), "rejected": pa.array([rejected.astype("<u2").tobytes()], pa.binary())}
+        out |= {"data": pa.array([mean.astype("<f4").tobytes()], pa.binary()), "accepted": pa.array([accepted.astype("<u4").tobytes()], pa.binary()), "rejected": pa.array([rejected.astype("<u4").tobytes()], pa.binary())}
         return pa.table(out)
 
     own = [*keys, "y0", "rows", "width", "data", frame, *([weight] if weight else [])]

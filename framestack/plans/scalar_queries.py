@@ -31,13 +31,12 @@ def role_parse(spark, sf_dir):
 
 @query(
     "path_keywords",
-    """SELECT o_orderkey, nullif(regexp_extract(p, 'NIGHT[_\\- ]([A-Za-z0-9.]+)[^/]*$', 1), '') AS night, nullif(regexp_extract(p, 'PANEL[_\\- ]([A-Za-z0-9.]+)', 1), '') AS panel, try_cast(nullif(regexp_extract(p, '_([0-9]+)s_', 1), '') AS DOUBLE) AS seconds
-    FROM (SELECT o_orderkey, 'root/PANEL-' || (o_custkey % 9) || '/NIGHT_' || strftime(o_orderdate, '%Y%m%d') || '/light_' || (30 + o_orderkey % 5 * 30) || 's_' || o_orderkey || '.fits' AS p FROM orders)
-    """.replace("'NIGHT[_\\- ]([A-Za-z0-9.]+)[^/]*$'", "'NIGHT[_\\- ]([A-Za-z0-9.]+)'"),
+    """SELECT o_orderkey, nullif(trim(regexp_extract(p, 'NIGHT[_\\- ]([-():. A-Za-z0-9]+)', 1)), '') AS night, nullif(trim(regexp_extract(p, 'PANEL[_\\- ]([-():. A-Za-z0-9]+)', 1)), '') AS panel, try_cast(nullif(regexp_extract(p, '_([0-9]+)s_', 1), '') AS DOUBLE) AS seconds
+    FROM (SELECT o_orderkey, 'root/PANEL-' || (o_custkey % 9) || ' (east)/NIGHT_' || strftime(o_orderdate, '%Y-%m-%d') || '/light_' || (30 + o_orderkey % 5 * 30) || 's_' || o_orderkey || '.fits' AS p FROM orders)""",
 )
 def path_keywords(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    path = F.concat(F.lit("root/PANEL-"), (F.col("o_custkey") % 9).cast("string"), F.lit("/NIGHT_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("/light_"), (30 + F.col("o_orderkey") % 5 * 30).cast("string"), F.lit("s_"), F.col("o_orderkey").cast("string"), F.lit(".fits"))
+    path = F.concat(F.lit("root/PANEL-"), (F.col("o_custkey") % 9).cast("string"), F.lit(" (east)/NIGHT_"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("/light_"), (30 + F.col("o_orderkey") % 5 * 30).cast("string"), F.lit("s_"), F.col("o_orderkey").cast("string"), F.lit(".fits"))
     k = text.path_keywords(path, ["NIGHT", "PANEL"])
     return o.select("o_orderkey", F.element_at(k, "NIGHT").alias("night"), F.element_at(k, "PANEL").alias("panel"), text.seconds_in_name(text.innermost(path)).alias("seconds"))
 

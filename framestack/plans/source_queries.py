@@ -36,7 +36,7 @@ def stack_tile_udf(spark, sf_dir):
     def spread(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                mean, n = np.frombuffer(row["data"], "<f4"), np.frombuffer(row["accepted"], "<u2")
+                mean, n = np.frombuffer(row["data"], "<f4"), np.frombuffer(row["accepted"], "<u4")
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_pydict({"l_partkey": row["y0"] * 64 + at, "mean": mean[at].astype(float), "accepted": n[at].astype(np.int64)})
 

@@ -188,6 +188,7 @@ def test_scalar_functions(spark):
     assert val(sky.separation(F.lit(0.0), F.lit(0.0), F.lit(90.0), F.lit(0.0))) == pytest.approx(90)
     assert val(text.filter_name(F.lit(" h-Alpha "))) == "HA" and val(text.filter_name(F.lit("'Astrodon 5nm'"))) == "ASTRODON 5NM" and val(text.filter_name(F.lit("Sulphur II"))) == "SII" and val(text.filter_name(F.lit(" "))) is None and val(text.frame_role(F.lit("Dark Frame"))) == "DARK"
     assert val(text.path_keywords(F.lit("a/NIGHT_1/night-2/x_PANEL 3.fits"), ["NIGHT", "PANEL"])) == {"NIGHT": "2", "PANEL": "3.fits"}
+    assert val(text.path_keywords(F.lit("x.NIGHT_2024-03-22_a/Panel 3 (b): c /night_/nights_9.fits"), ["NIGHT", "panel"])) == {"NIGHT": "2024-03-22", "PANEL": "3 (b): c"}
     assert val(text.seconds_in_name(F.lit("light_1.5sec_3.fits"))) == 1.5 and val(text.csv_safe(F.lit("=1"))) == "'=1"
 
 

@@ -68,7 +68,7 @@ def test_tile_stack_equals_the_sql_form(spark):
     want = {(r["y"], r["x"]): r for r in stack.clip_mean(s, ["y", "x"], "value", "w").collect()}
     for (y, x), r in want.items():
         assert abs(mean[y, x] - r["mean"]) < 1e-4
-        assert np.frombuffer(out["accepted"], "<u2").reshape(4, 5)[y, x] == r["n_accepted"]
+        assert np.frombuffer(out["accepted"], "<u4").reshape(4, 5)[y, x] == r["n_accepted"]
     assert want[0, 0]["n_rejected"] == 1 and want[1, 1]["n"] == 6
 
 
