@@ -90,15 +90,16 @@ def correspondences(source: DataFrame, reference: DataFrame, keys: list[str]) ->
     cell = lambda c: F.floor(F.col(c) / INVARIANT)
     s = s.withColumns({"_i": cell("r1"), "_j": cell("r2")})
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    t = t.select(*keys, F.col("r1").alias("q1"), F.col("r2").alias("q2"), F.col("v").alias("w"), F.explode(steps).alias("_s"))
+    # Corners about their mean are made on each side of the join, so that the fit behind it stays a small expression.
+    at = lambda i, c: F.get("v", F.lit(i))[c]
+    mean = lambda c: (at(0, c) + at(1, c) + at(2, c)) / 3
+    centred = F.named_struct(*[e for i in range(3) for c in "xy" for e in (F.lit(f"{c}{i}"), at(i, c) - mean(c))])
+    s = s.withColumn("g", centred)
+    t = t.select(*keys, F.col("r1").alias("q1"), F.col("r2").alias("q2"), F.col("v").alias("w"), centred.alias("h"), F.explode(steps).alias("_s"))
     t = t.withColumns({"_i": cell("q1") + F.col("_s.i"), "_j": cell("q2") + F.col("_s.j")}).drop("_s")
     met = s.join(t, [*keys, "_i", "_j"]).where(F.pow(F.col("r1") - F.col("q1"), 2) + F.pow(F.col("r2") - F.col("q2"), 2) <= INVARIANT**2)
-    at = lambda side, i, c: F.get(side, F.lit(i))[c]
-    mean = lambda side, c: (at(side, 0, c) + at(side, 1, c) + at(side, 2, c)) / 3
-    met = met.withColumns({"_mx": mean("v", "x"), "_my": mean("v", "y"), "_nx": mean("w", "x"), "_ny": mean("w", "y")})
     total = lambda f: f(0) + f(1) + f(2)
-    dx, dy = lambda i: at("v", i, "x") - F.col("_mx"), lambda i: at("v", i, "y") - F.col("_my")
-    ex, ey = lambda i: at("w", i, "x") - F.col("_nx"), lambda i: at("w", i, "y") - F.col("_ny")
+    dx, dy, ex, ey = ((lambda i, n=n: F.col(f"{n[0]}.{n[1]}{i}")) for n in ("gx", "gy", "hx", "hy"))
     met = met.withColumn("_n", total(lambda i: dx(i) * dx(i) + dy(i) * dy(i)))
     met = met.withColumns({"a": F.try_divide(total(lambda i: dx(i) * ex(i) + dy(i) * ey(i)), F.col("_n")), "b": F.try_divide(total(lambda i: dx(i) * ey(i) - dy(i) * ex(i)), F.col("_n"))})
     off = lambda i: F.pow(F.col("a") * dx(i) - F.col("b") * dy(i) - ex(i), 2) + F.pow(F.col("b") * dx(i) + F.col("a") * dy(i) - ey(i), 2)

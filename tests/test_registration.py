@@ -49,3 +49,13 @@ def test_reasons_of_pairs_that_do_not_register(result):
     for frame in ("few", "alone"):
         assert got[frame]["reasons"] == ["INSUFFICIENT_STARS_FOR_ESTIMATE"] and got[frame]["a"] is None
     assert got["few"]["source_count"] == 2 and got["alone"]["reference_count"] == 0
+
+
+def test_triangles_fit_compiles(spark, data, capfd):
+    """The stage behind the triangle join is compiled, not given up for its size."""
+    from framestack.catalogue import QUERIES
+
+    spark.sparkContext.setLogLevel("ERROR")
+    capfd.readouterr()
+    QUERIES["register_similarity"](spark, data).count()
+    assert "grows beyond 64 KB" not in capfd.readouterr().err
