@@ -268,3 +268,40 @@ def test_different_texts_of_one_or_no_key_stay(spark):
     rows = [(None, "one text without a key"), (None, "and yet another text"), (None, "one text without a key"), (7, "seven is here"), (7, "seven is not here"), (8, "seven is here")]
     left = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r["doc_id"], r["text"]) for r in left) == Counter({rows[0], rows[1], rows[3], rows[4]})
+
+
+def test_fingerprint_filter_loses_no_pair_at_the_threshold():
+    """20,000 pairs of sets with a similarity from 0.80 to 0.85, of FILTER_FROM to 600 shingles: none differs in over FAR bits.
+
+    A bit of a pair at 0.8 differs with probability 0.152, so FAR of 128 lies six standard deviations out.
+    """
+    rng = np.random.default_rng(45)
+    most = 0
+    for _ in range(20_000):
+        n = int(rng.integers(simhash.FILTER_FROM, 600))
+        shared = -(-8 * n // 9) + int(rng.integers(0, max(1, n // 40)))  # two sets of n with so many in common
+        pool = rng.integers(0, 1 << 63, 2 * n - shared, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 2 * n - shared, dtype=np.uint64)
+        a, b = pool[:n], np.concatenate([pool[:shared], pool[n:]])
+        assert 0.8 <= shared / (2 * n - shared) <= 0.87
+        bits = np.bitwise_count(simhash.set_prints(a).view(np.uint64) ^ simhash.set_prints(b).view(np.uint64)).sum()
+        most = max(most, int(bits))
+    assert most <= simhash.FAR
+
+
+def test_prefixes_meet_within_the_positional_bound():
+    """Sets that are alike share a prefix shingle, and at the first one they share the bound on what may follow holds."""
+    rng = np.random.default_rng(46)
+    counts = rng.integers(0, 256, 1 << 10).astype(np.uint8)
+    order = lambda h: sorted(h.tolist(), key=lambda x: (counts[x >> 54], x))
+    for _ in range(3000):
+        n, m = (int(x) for x in rng.integers(1, 120, 2))
+        pool = np.unique(rng.integers(0, 1 << 63, 240, dtype=np.uint64) * np.uint64(2))
+        rng.shuffle(pool)
+        k = int(rng.integers(max(0, min(n, m) - 12), min(n, m) + 1))
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:k], pool[n : n + m - k]]))
+        if k * 5 < (n + m - k) * 4:
+            continue
+        pa, pb = simhash.prefix(a, counts).tolist(), simhash.prefix(b, counts).tolist()
+        assert pa == order(a)[: len(pa)]
+        first = next(t for t in pa if t in set(pb))
+        assert min(n - pa.index(first), m - pb.index(first)) * 9 >= (n + m) * 4
