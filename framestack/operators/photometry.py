@@ -147,3 +147,56 @@ def thinned(df: DataFrame, keys: list[str], x: str, y: str, cell: float, flux: s
     rows = cells.withColumn("_turn", turn)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_turn", F.col(flux).desc(), tie))
     return rows.withColumn("_place", place).where(F.col("_place") <= most).drop("_cx", "_cy", "_turn", "_place")
+
+
+def throughput(frames: DataFrame, pairs: DataFrame, keys: list[str], frame: str, least: int = 16, clip: float = 4.0) -> DataFrame:
+    """(keys, frame, reference, scale, sigma, stars, status, reason): each frame's flux scale to its group's reference.
+
+    Frames have (keys, frame, reference, exposure); pairs have (keys, frame, flux, reference_flux), one row for each star matched
+    with the reference.  Ratios, corrected for the exposures, from half to twice their median are clipped in three passes at `clip`
+    scaled deviations, as long as `least` remain.  A frame that can't be scaled keeps its row with a reason, and the
+    reference itself has scale 1.  Repeated frames count once, with their least reference and exposure.
+    """
+    # Status and reasons are fixed values.
+    known = frames.groupBy(*keys, frame).agg(F.min("reference").alias("reference"), F.min(clean("exposure")).alias("_e"))
+    reference = known.select(*keys, F.col(frame).alias("reference"), F.col("_e").alias("_re"))
+    known = known.join(reference, [*keys, "reference"], "left")
+    w = Window.partitionBy(*keys, frame)
+    half = lambda c: F.percentile(c, F.lit(0.5)).over(w)
+    exposed = (F.col("_e") > 0) & (F.col("_re") > 0)
+    usable = pairs.where((clean("flux") > 0) & (clean("reference_flux") > 0)).select(*keys, frame, "flux", "reference_flux")
+    rows = usable.join(known.where(exposed), [*keys, frame]).withColumn("_v", F.col("reference_flux") / F.col("flux") * F.col("_e") / F.col("_re"))
+    rows = rows.withColumns({"_n": F.count("*").over(w), "_m": half("_v")}).where(F.col("_n") >= least).where("_v between 0.5 * _m and 2 * _m")
+    for _ in range(3):
+        rows = rows.withColumn("_m", half("_v")).withColumn("_s", MADN * half(F.abs(F.col("_v") - F.col("_m"))))
+        rows = rows.withColumn("_k", F.abs(F.col("_v") - F.col("_m")) <= clip * F.col("_s"))
+        rows = rows.withColumn("_left", F.count_if("_k").over(w)).where(F.col("_k") | (F.col("_s") <= 2.220446049250313e-16) | (F.col("_left") < least))
+    rows = rows.withColumn("_m", half("_v"))
+    scales = rows.groupBy(*keys, frame).agg(F.max("_m").alias("_scale"), (MADN * F.percentile(F.abs(F.col("_v") - F.col("_m")), F.lit(0.5))).alias("_sigma"), F.count("*").alias("_stars"))
+    counts = usable.groupBy(*keys, frame).agg(F.count("*").alias("_pairs"))
+    out = known.join(counts, [*keys, frame], "left").join(scales, [*keys, frame], "left")
+    own = F.col(frame) == F.col("reference")
+    fit = exposed & (F.col("_stars") >= least)
+    reason = (
+        F.when(own | fit, F.lit(None).cast("string"))
+        .when(F.col("reference").isNull(), "no reference")
+        .when(~F.coalesce(exposed, F.lit(False)), "positive source/reference exposure is required for stellar scale")
+        .when(F.coalesce("_pairs", F.lit(0)) < least, "too few positive stellar flux ratios")
+        .otherwise("too few bounded stellar flux ratios")
+    )
+    status = F.when(own, "REFERENCE_IDENTITY").when(fit, "STELLAR_SCALE_ACCEPTED").otherwise("STELLAR_SCALE_UNAVAILABLE")
+    pick = lambda c, one: F.when(own, F.lit(one)).when(fit, F.col(c))
+    return out.select(*keys, frame, "reference", pick("_scale", 1.0).alias("scale"), pick("_sigma", 0.0).alias("sigma"), pick("_stars", None).alias("stars"), status.alias("status"), reason.alias("reason"))
+
+
+def frame_quality(stars: DataFrame, keys: list[str], frame: str, fwhm: str, peak: str, flux: str) -> DataFrame:
+    """(keys, frame, stars, fwhm, quality, native, weight) from star rows; `weight` is native over the median of the positive ones of its group.
+
+    quality = least(stars, 500) / greatest(fwhm^2, 1/4); native = peaks * fwhm^2 / (fluxes * stars), 0 without flux.
+    """
+    sums = stars.groupBy(*keys, frame).agg(F.count("*").alias("stars"), F.percentile(clean(fwhm), F.lit(0.5)).alias("fwhm"), F.sum(clean(peak)).alias("_p"), F.sum(clean(flux)).alias("_f"))
+    area = F.col("fwhm") * F.col("fwhm")
+    native = F.when(F.col("_f") > 0, F.col("_p") * area / (F.col("_f") * F.col("stars"))).otherwise(0.0)
+    rows = sums.withColumns({"quality": F.least("stars", F.lit(500)) / F.greatest(area, F.lit(0.25)), "native": native})
+    middle = F.percentile(F.when(F.col("native") > 0, F.col("native")), F.lit(0.5)).over(over(keys))
+    return rows.withColumn("weight", F.coalesce(F.col("native") / middle, F.lit(0.0))).drop("_p", "_f")
