@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,13 +12,19 @@ def _next(points: Column, i: Column, step: int) -> Column:
     return F.get(points, F.pmod(i + step, F.size(points)))
 
 
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def signed_area(points: Column) -> Column:
     """Positive where the corners run counterclockwise; 0 with fewer than three of them."""
-    return F.aggregate(F.transform(points, lambda p, i: p.x * _next(points, i, 1).y - _next(points, i, 1).x * p.y), F.lit(0.0), lambda s, v: s + v) / 2
+    terms = lambda held: F.transform(held, lambda p, i: p.x * _next(held, i, 1).y - _next(held, i, 1).x * p.y)
+    return _held(points, lambda held: F.aggregate(terms(held), F.lit(0.0), lambda s, v: s + v) / 2)
 
 
 def counterclockwise(points: Column) -> Column:
-    return F.when(signed_area(points) < 0, F.reverse(points)).otherwise(points)
+    return _held(points, lambda held: F.when(signed_area(held) < 0, F.reverse(held)).otherwise(held))
 
 
 def intersection(a: Column, b: Column) -> Column:
@@ -35,8 +43,8 @@ def intersection(a: Column, b: Column) -> Column:
 
         return F.flatten(F.transform(shape, kept))
 
-    sides = F.transform(b, lambda p, i: F.struct(p.alias("p"), _next(b, i, 1).alias("q")))
-    return F.aggregate(sides, a, cut)
+    sides = lambda held: F.transform(held, lambda p, i: F.struct(p.alias("p"), _next(held, i, 1).alias("q")))
+    return F.aggregate(_held(b, sides), a, cut)
 
 
 def overlapping(polygons: DataFrame, keys: list[str], key: str, points: str, cell: float, least: float = 0.0) -> DataFrame:
@@ -55,7 +63,9 @@ def overlapping(polygons: DataFrame, keys: list[str], key: str, points: str, cel
     dealt = rows.withColumn("_cx", F.explode(cells("x"))).withColumn("_cy", F.explode(cells("y")))
     names = ["id", "_p", "_x0", "_x1", "_y0", "_y1"]
     a, b = (dealt.select(*keys, "_cx", "_cy", *[F.col(n).alias(f"{n}_{side}") for n in names]) for side in "ab")
-    met = a.join(b, [*keys, "_cx", "_cy"]).where("id_a < id_b and _x0_a < _x1_b and _x0_b < _x1_a and _y0_a < _y1_b and _y0_b < _y1_a")
+    met = a.join(b, [*keys, "_cx", "_cy"])
+    near = F.expr("id_a < id_b and _x0_a < _x1_b and _x0_b < _x1_a and _y0_a < _y1_b and _y0_b < _y1_a")
     first = lambda axis: F.floor(F.greatest(f"_{axis}0_a", f"_{axis}0_b") / cell) == F.col(f"_c{axis}")
-    met = met.where(first("x") & first("y")).withColumn("area", signed_area(intersection(F.col("_p_a"), F.col("_p_b"))))
+    # The case keeps the cutting from pairs that the boxes part: conditions of a join have no order.
+    met = met.withColumn("area", F.when(near & first("x") & first("y"), signed_area(intersection(F.col("_p_a"), F.col("_p_b")))))
     return met.where(F.col("area") > least).select(*keys, F.col("id_a").alias("a"), F.col("id_b").alias("b"), "area")
