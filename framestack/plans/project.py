@@ -1,7 +1,7 @@
 """From a folder of frames to stacked masters: inventory, calibration groups and matches, masters, calibrated lights, stacks.
 
-Every step is a DataFrame of frames (metadata) or of row tiles (samples).  Frames are expected on one
-pixel grid; tiles.warp_frames() brings them there where transforms are known.
+Every step is a DataFrame of frames (metadata) or of row tiles (samples).  stacks() takes frames as on one pixel grid;
+registered_stacks() measures them, finds their similarities and brings them to a common one.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import grouping, joins, measure, registration, tiles, windows
+from ..operators import blocks, grouping, joins, measure, registration, tiles, windows
 from ..sources import fits
 from ..sources import frames as formats
 
@@ -136,8 +136,8 @@ def _with(rows: DataFrame, masters: DataFrame, role: str) -> DataFrame:
     return rows.join(m, [role, "y0"], "left")
 
 
-def stacks(spark: SparkSession, path: str, rows: int = 64) -> DataFrame:
-    """(target, filter, y0, rows, width, data, accepted, rejected): the calibrated lights of each target and filter, reduced."""
+def calibrated(spark: SparkSession, path: str, rows: int = 64) -> DataFrame:
+    """(path, y0, rows, width, data, target, filter): row bands of the lights, with their masters of bias, dark and flat applied."""
     frames = joins.cut(assets(spark, path))
     usable = frames.join(issues(frames).select("path").distinct(), "path", "left_anti")
     groups = joins.cut(calibration_groups(usable))
@@ -153,8 +153,12 @@ def stacks(spark: SparkSession, path: str, rows: int = 64) -> DataFrame:
     lights = every.join(matched.where("role = 'LIGHT'").select("path", "bias", "dark", "flat"), "path")
     lights = _with(_with(_with(lights, plain, "bias"), plain, "dark"), flat, "flat")
     lights = lights.join(_level(flat, "group").withColumnsRenamed({"group": "flat", "level": "flat_level"}), "flat", "left")
-    done = _calibrated(lights, normalise=False).join(usable.select("path", "target", "filter"), "path")
-    return tiles.stack_tiles(done, ["target", "filter"], "path")
+    return _calibrated(lights, normalise=False).join(usable.select("path", "target", "filter"), "path")
+
+
+def stacks(spark: SparkSession, path: str, rows: int = 64) -> DataFrame:
+    """(target, filter, y0, rows, width, data, accepted, rejected): the calibrated lights of each target and filter, reduced."""
+    return tiles.stack_tiles(calibrated(spark, path, rows), ["target", "filter"], "path")
 
 
 def masters(spark: SparkSession, path: str, rows: int = 64) -> DataFrame:
@@ -183,3 +187,48 @@ def registrations(stars: DataFrame, members: DataFrame, keys: list[str]) -> Data
     source = pairs.select(*own).distinct().join(s, "path", "left")
     reference = pairs.select(*own).distinct().join(s.withColumnRenamed("path", "reference"), "reference")
     return pairs.join(registration.register(source, reference, own, "star", "x", "y", "flux"), own)
+
+
+def full_size(found: DataFrame, scale: str, reference_scale: str) -> Column:
+    """The matrix (9 doubles) from the reference's pixels to a frame's, of a similarity found on previews of `scale` pixels a side."""
+    k, q = F.col(scale).cast("double"), F.col(reference_scale).cast("double")
+    c, d = (k - 1) / 2, (q - 1) / 2  # where a preview's first pixel has its middle
+    a, b = q * F.col("a") / k, q * F.col("b") / k
+    tx, ty = q * F.col("tx") + d - a * c + b * c, q * F.col("ty") + d - b * c - a * c
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return blocks.inverse(F.array(a, -b, tx, b, a, ty, zero, zero, one))
+
+
+def frame_matrices(spark: SparkSession, path: str, members: DataFrame, keys: list[str], most: int = 1600) -> DataFrame:
+    """(keys, path, reference, height, width, out_height, out_width, m, accepted, reasons) of members (keys, path): measured, registered, at full size.
+
+    The reference has the identity.  A frame that isn't accepted keeps its reasons; its matrix is null.
+    """
+    seen = measures(spark, path, most)
+    found = registrations(measure.star_rows(seen, "path"), members, keys)
+    sizes = formats.headers(spark, path).select("path", "height", "width").join(seen.select("path", F.col("height").alias("_h"), F.col("width").alias("_w")), "path")
+    # A preview's block is the least that keeps within `most`, or the next even one: its size tells which.
+    least = F.greatest(F.ceil(F.greatest("height", "width") / most), F.lit(1))
+    fits_least = (F.ceil(F.col("height") / least) == F.col("_h")) & (F.ceil(F.col("width") / least) == F.col("_w"))
+    sizes = joins.cut(sizes.select("path", "height", "width", F.when(fits_least, least).otherwise(least + 1).alias("scale")))
+    there = sizes.select(F.col("path").alias("reference"), F.col("height").alias("out_height"), F.col("width").alias("out_width"), F.col("scale").alias("reference_scale"))
+    met = found.join(sizes, "path", "left").join(there, "reference", "left")
+    identity = F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)])
+    own = F.col("path") == F.col("reference")
+    m = F.when(own, identity).when(F.col("accepted"), full_size(met, "scale", "reference_scale"))
+    return met.select(*keys, "path", "reference", "height", "width", "out_height", "out_width", m.alias("m"), (own | F.col("accepted")).alias("accepted"), F.when(~own, F.col("reasons")).alias("reasons"))
+
+
+def registered_stacks(spark: SparkSession, path: str, side: int = 128, most: int = 1600) -> DataFrame:
+    """(target, filter, x0, y0, rows, width, data, accepted, rejected): stacks of lights that lie on different grids, in square blocks.
+
+    All filters of a target share the grid of its frame with most stars.  Calibrated lights go through one Lanczos-3
+    interpolation; frames that don't register are left out.  Samples beyond a frame or over its bad pixels don't count.
+    """
+    lights = joins.cut(calibrated(spark, path, side))
+    members = lights.select("target", "filter", "path").distinct()
+    matrices = joins.cut(frame_matrices(spark, path, members.select("target", "path"), ["target"], most).where("accepted and m is not null"))
+    windows_ = blocks.matrix_windows(matrices, ["path"], side)
+    warped = blocks.warp(blocks.from_bands(lights, ["path"], side), windows_, ["path"], side, "<f4")
+    square = warped.join(members, "path").select("target", "filter", "path", (F.col("bx") * side).alias("x0"), (F.col("by") * side).alias("y0"), F.lit(side).alias("rows"), F.lit(side).alias("width"), "data")
+    return tiles.stack_tiles(square, ["target", "filter", "x0"], "path")

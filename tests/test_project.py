@@ -84,3 +84,38 @@ def test_measured_frames_register(spark, tmp_path):
         r = got[name]
         assert r["accepted"] and abs(r["a"] - 1) < 1e-3 and abs(r["b"]) < 1e-3
         assert abs(r["tx"] - (shifts[first][0] - dx)) < 0.3 and abs(r["ty"] - (shifts[first][1] - dy)) < 0.3
+
+
+@pytest.mark.parametrize("most", [150])
+def test_unregistered_frames_stack(spark, tmp_path, most):
+    """Shifted and turned frames of one sky, with a frame of nothing, from files to a stack on the grid of one of them."""
+    rng = np.random.default_rng(31)
+    gx, gy = np.meshgrid(np.arange(28, 280, 36), np.arange(28, 220, 36))
+    sx, sy = gx.ravel() + rng.uniform(-8, 8, gx.size), gy.ravel() + rng.uniform(-8, 8, gx.size)
+    peak = rng.uniform(300, 3000, gx.size)
+    y, x = np.mgrid[:240, :300]
+
+    def sky(angle, dx, dy):
+        px, py = np.cos(angle) * sx - np.sin(angle) * sy + dx, np.sin(angle) * sx + np.cos(angle) * sy + dy
+        return 100 + sum(p * np.exp(-((x - a) ** 2 + (y - b) ** 2) / 18) for a, b, p in zip(px, py, peak))
+
+    moves = {"a": (0, 0, 0), "b": (0.02, 6.5, -3.25), "c": (-0.03, -4.0, 7.5), "d": (0, 3.3, 2.2), "e": (0.01, 0.0, 5.0)}
+    cards = {"IMAGETYP": "Light", "FILTER": "R", "EXPTIME": 60.0, "OBJECT": "M 1"}
+    for name, move in moves.items():
+        (tmp_path / f"{name}.fits").write_bytes(fits.encode(sky(*move) + rng.normal(0, 2, x.shape), cards))
+    (tmp_path / "z.fits").write_bytes(fits.encode(100 + rng.normal(0, 2, x.shape), cards))
+    matrices = project.frame_matrices(spark, str(tmp_path), project.assets(spark, str(tmp_path)).select("target", "path"), ["target"], most)
+    names = {r.path.rsplit("/")[-1][0]: r for r in matrices.collect()}
+    first = next(iter({r.reference for r in names.values()})).rsplit("/")[-1][0]
+    assert [n for n, r in names.items() if not r.accepted] == ["z"] and names["z"].m is None
+    rows = project.registered_stacks(spark, str(tmp_path), 64, most).collect()
+    assert {(r.target, r.filter) for r in rows} == {("M 1", "R")} and len(rows) == 4 * 5
+    got, count = np.full((256, 320), np.nan), np.zeros((256, 320))
+    for r in rows:
+        got[r.y0 : r.y0 + 64, r.x0 : r.x0 + 64] = np.frombuffer(r.data, "<f4").reshape(64, 64)
+        count[r.y0 : r.y0 + 64, r.x0 : r.x0 + 64] = (np.frombuffer(r.accepted, "<u4") + np.frombuffer(r.rejected, "<u4")).reshape(64, 64)
+    got, count = got[:240, :300], count[:240, :300]
+    want = sky(*moves[first])
+    inner = count == 5
+    assert inner[30:200, 30:250].all() and (count <= 5).all()
+    assert np.median(np.abs(got - want)[inner]) < 1.5 and np.abs(got - want)[inner].max() < 0.05 * 3000
