@@ -29,8 +29,7 @@ def assets(spark: SparkSession, path: str) -> DataFrame:
     the smallest path stays.
     """
     heads = formats.headers(spark, path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", formats.GLOB).load(path)
-    twins = joins.staged_duplicates(files.select("path", "content"), "path", "content").where("path <> first").select("path")
+    twins = formats.twins(spark, path).where("path <> first").select("path")
     when = F.to_timestamp(F.regexp_replace(_card("DATE-OBS"), "Z$", ""))
     return heads.join(twins, "path", "left_anti").select(
         "path",

@@ -146,3 +146,21 @@ def test_headers_rows_and_previews_of_a_mixed_folder(spark, tmp_path, image, who
         wanted = [[np.nanmean(source[y : y + block, x : x + block].astype(float)) for x in range(0, w, block)] for y in range(0, h, block)]
         assert np.allclose(pixels(seen[n]), wanted, rtol=1e-6)
     assert frames.tiles(spark, str(tmp_path)).count() == 8
+
+
+def test_twins_read_only_what_may_be_equal(spark, tmp_path, monkeypatch):
+    """Equal files, files of one length, of one head, alone, empty (never listed); both ways of reading give the same, and no content is in a plan."""
+    from framestack.sources import frames
+
+    big = b"h" * (frames.HEAD + 10)
+    names = {"a.fits": big + b"1", "b.fit": big + b"1", "c.FITS": big + b"2", "d.fits": b"x" + big, "sub/e.xisf": big + b"1", "f.fits": b"alone", "g.fits": b"", "h.fits": b"", "i.txt": big + b"1"}
+    for name, content in names.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    short = lambda df: sorted((r.path.split(f"{tmp_path.name}/")[-1], r.first.split(f"{tmp_path.name}/")[-1], r.digest) for r in df.collect())
+    found = frames.twins(spark, str(tmp_path))
+    assert "content" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = short(found)
+    assert [g[:2] for g in got] == [("a.fits", "a.fits"), ("b.fit", "a.fits"), ("sub/e.xisf", "a.fits")]
+    monkeypatch.setattr(frames.fits, "seekable", lambda path: False)
+    assert short(frames.twins(spark, str(tmp_path))) == got
