@@ -36,5 +36,15 @@ def test_filters_reach_the_scan(spark, data):
 
 
 def test_no_query_has_a_cartesian_product(spark, data):
-    for name in ("mutual_nn", "radius_pairs", "overlap_boxes", "isolation_antijoin", "offset_mode", "trail_corridor", "triangles", "best_calibration_match"):
+    for name in ("mutual_nn", "radius_pairs", "overlap_boxes", "isolation_antijoin", "offset_mode", "trail_corridor", "triangles", "best_calibration_match", "polygon_overlap", "lattice_warp", "aperture_flux"):
         assert "CartesianProduct" not in plan(QUERIES[name](spark, data)), name
+
+
+def test_a_warp_joins_once_and_shuffles_its_output_blocks_once(spark):
+    """Source blocks and windows meet by hash, output blocks are one more shuffle; windows are never broadcast unchecked."""
+    from framestack.operators import blocks
+
+    images = spark.createDataFrame([("a", 64, 64, 64, 64, [1.0, 0.0, 0.5, 0.0, 1.0, 0.5, 0.0, 0.0, 1.0])], "f string, height int, width int, out_height int, out_width int, m array<double>")
+    held = spark.createDataFrame([("a", 0, 0, bytearray(8 * 64 * 64))], "f string, by int, bx int, data binary")
+    text = plan(blocks.warp(held, blocks.matrix_windows(images, ["f"], 64), ["f"], 64))
+    assert shuffles(text) <= 3 and "CartesianProduct" not in text and "NestedLoop" not in text, text
