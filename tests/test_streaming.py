@@ -68,3 +68,41 @@ def test_batch_writer_sees_touched_nights(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == ["2024-01-01", "2024-01-02"]
+
+
+def test_sums_follow_the_stream(spark, tmp_path):
+    """After every batch the sums are those of all frames so far; a batch that runs twice counts once."""
+    from framestack.streaming import sums
+
+    source, out, schema = tmp_path / "in", f"file://{tmp_path}/sums", "band string, cell int, v double"
+    rng = __import__("numpy").random.default_rng(8)
+    rows = []
+
+    def arrive(k):
+        new = [("R" if i % 3 else None, i % 5, float(1e6 + rng.normal(0, 1)) if i % 7 else (None if i % 2 else float("nan"))) for i in range(40 + k)]
+        rows.extend(new)
+        spark.createDataFrame(new, schema).coalesce(1).write.parquet(str(source / f"frame{k}"))
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(f"{source}/*")
+        sums.accumulate(stream, ["band", "cell"], "v", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+
+    def same():
+        got = {(r.band, r.cell): r for r in sums.accumulated(spark, out, ["band", "cell"]).collect()}
+        held = {}
+        for band, cell, v in rows:
+            if v is not None and v == v:
+                held.setdefault((band, cell), []).append(v)
+        assert got.keys() == held.keys()
+        for k, v in held.items():
+            m = sum(v) / len(v)
+            assert got[k].n == len(v) and abs(got[k]["mean"] - m) < 1e-6 and (got[k].low, got[k].high) == (min(v), max(v))
+            assert abs(got[k].variance - sum((a - m) ** 2 for a in v) / len(v)) < 1e-6
+
+    for k in range(3):
+        arrive(k)
+        run()
+        same()
+    last = spark.createDataFrame(rows[-42:], schema)
+    sums.partial_sums(last, ["band", "cell"], "v").write.mode("overwrite").parquet(f"{out}/batch=2")
+    same()
