@@ -401,7 +401,9 @@ def apertures(stars: DataFrame, blocks: DataFrame, keys: list[str], star: str, x
                     if y0 >= y1 or x0 >= x1:
                         continue
                     part = v[y0:y1, x0:x1]
-                    d2 = (np.arange(y0, y1)[:, None] - cy) ** 2 + (np.arange(x0, x1)[None] - cx) ** 2
+                    # Whole steps from the star's pixel less its own fraction, as in the count of needed centres: ties fall alike.
+                    (iy, ix), (fy, fx) = np.floor((sy, sx)), (sy - np.floor(sy), sx - np.floor(sx))
+                    d2 = (np.arange(y0, y1)[:, None] + (r["by"] * side - iy) - fy) ** 2 + (np.arange(x0, x1)[None] + (r["bx"] * side - ix) - fx) ** 2
                     known = np.isfinite(part)
                     disk, ring = known & (d2 < radius * radius), known & (d2 >= inner * inner) & (d2 < outer * outer)
                     sums[:, i] = disk.sum(), part[disk].sum(), ring.sum(), part[ring].sum()
