@@ -24,7 +24,7 @@ def keywords_compatible(left: Column, right: Column) -> Column:
     return F.forall(F.map_keys(left), lambda k: same_or_unknown(F.element_at(left, k), F.element_at(right, k)))
 
 
-#: Groups that best_match() broadcasts at most.
+#: Groups that best_match() and held() broadcast at most.
 MOST_GROUPS = 100_000
 
 
@@ -97,6 +97,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """A table of a row a group, written out and, up to MOST_GROUPS rows, broadcast: rows of few groups then stay where they are."""
+    written = cut(df)
+    return F.broadcast(written) if written.count() <= MOST_GROUPS else written
+
+
 def greedy_match(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """One-to-one matches by rising distance: rounds of pairs that are best for both sides, until none is left.
 

@@ -72,24 +72,34 @@ def coherence(theta: Column, weight: Column) -> Column:
     return F.sqrt(F.pow(F.sum(weight * F.cos(2 * theta)), 2) + F.pow(F.sum(weight * F.sin(2 * theta)), 2)) / F.nullif(F.sum(weight), F.lit(0.0))
 
 
+#: Samples between the wanted ranks above which exact_quantile() counts once more, and how often it does at most.
+NARROW, ROUNDS = 1_000_000, 8
+
+
 def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.5, bins: int = 4096) -> DataFrame:
     """(keys, quantile): exact also where one group holds a large share of all rows.
 
-    Values are counted in equal bins, which combine before the shuffle; then only the distinct values
-    of the bins that hold the two wanted ranks are ranked.
+    Values are counted in equal bins, which combine before the shuffle, and so are those of the bins that hold the two wanted
+    ranks, until few are left; then only the distinct values of these bins are ranked.  Bounds of groups are held(), so that
+    no task gathers a group's rows.
     """
+    from .joins import held
+
     rows = df.select(*keys, clean(value).alias("v")).where("v is not null")
     span = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     place = (F.col("n") - 1) * q
-    want = span.select(*keys, "lo", "hi", F.lit(0).cast("long").alias("below"), F.floor(place).alias("r0"), F.ceil(place).alias("r1"), (place - F.floor(place)).alias("f"))
-    joined = rows.join(want, keys).where("v >= lo and v <= hi")
+    want = held(span.select(*keys, "lo", "hi", F.lit(0).cast("long").alias("below"), F.floor(place).alias("r0"), F.ceil(place).alias("r1"), (place - F.floor(place)).alias("f")))
     step = (F.col("hi") - F.col("lo")) / bins
-    binned = joined.withColumn("bin", F.when(step > 0, F.least(F.floor((F.col("v") - F.col("lo")) / step), F.lit(bins - 1))).otherwise(0))
-    counts = binned.groupBy(*keys, "below", "r0", "r1", "f", "bin").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     run = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("upto", F.col("below") + F.sum("c").over(run)).withColumn("start", F.col("upto") - F.col("c"))
-    near = counts.where((F.col("upto") > F.col("r0")) & (F.col("start") <= F.col("r1")))
-    want = near.groupBy(*keys, "r0", "r1", "f").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("start").alias("below"), F.sum("c").alias("c"))
+    for _ in range(ROUNDS):
+        joined = rows.join(want, keys).where("v >= lo and v <= hi")
+        binned = joined.withColumn("bin", F.when(step > 0, F.least(F.floor((F.col("v") - F.col("lo")) / step), F.lit(bins - 1))).otherwise(0))
+        counts = binned.groupBy(*keys, "below", "r0", "r1", "f", "bin").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        counts = counts.withColumn("upto", F.col("below") + F.sum("c").over(run)).withColumn("start", F.col("upto") - F.col("c"))
+        near = counts.where((F.col("upto") > F.col("r0")) & (F.col("start") <= F.col("r1")))
+        want = held(near.groupBy(*keys, "r0", "r1", "f").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("start").alias("below"), F.sum("c").alias("c")))
+        if not want.where((F.col("c") > NARROW) & (F.col("hi") > F.col("lo"))).head(1):
+            break
     left = rows.join(want, keys).where("v >= lo and v <= hi")
     distinct = left.groupBy(*keys, "below", "r0", "r1", "f", "v").agg(F.count("*").alias("c"))
     run = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
