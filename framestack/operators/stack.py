@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import cut
+from .joins import cut, held
 from .stats import MADN, clean, exact_quantile, over, with_median_mad
 
 CLIP = 4.0
@@ -53,17 +53,17 @@ def clip_mean_large(df: DataFrame, keys: list[str], value: str, weight: str | No
     """clip_mean() for few, large or very uneven groups: no task holds a group.
 
     Medians come from counts in bins (exact_quantile), the rest is sums that combine before the
-    shuffle; the statistics of the groups are joined back, by broadcast where Spark finds them small.
+    shuffle; the statistics of the groups are held() and joined back.
     """
     from .stats import exact_quantile
 
     v = clean(value)
     rows = df.withColumns({"_v": v, "_w": F.col(weight).cast("double") if weight else F.lit(1.0)})
-    med = exact_quantile(rows, keys, "_v").withColumnRenamed("quantile", "med")
+    med = held(exact_quantile(rows, keys, "_v").withColumnRenamed("quantile", "med"))
     rows = rows.join(med, keys, "left").withColumn("_d", F.abs(F.col("_v") - F.col("med")))
     mad = exact_quantile(rows, keys, "_d").withColumnRenamed("quantile", "mad")
     n = rows.groupBy(*keys).agg(F.count("_v").alias("n"))
-    rows = rows.join(n.join(mad, keys, "left"), keys, "left")
+    rows = rows.join(held(n.join(mad, keys, "left")), keys, "left")
     sigma = F.greatest(MADN * F.col("mad"), F.lit(group_floor), numeric_floor(F.col("med")))
     ok = F.col("_v").isNotNull() & ((F.col("n") < MIN_SAMPLES) | (F.col("_d") <= clip * sigma))
     return rows.withColumn("_ok", ok).groupBy(*keys).agg(
