@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import stack, stats
+from ..operators import joins, stack, stats
 from .registry import query, r, table
 
 CLIPPED = """
@@ -106,9 +106,9 @@ def noise_weights(spark, sf_dir):
 def robust_z_score(spark, sf_dir):
     """The groups are few and large, so medians come from the bin-refining quantile, not from a window."""
     rows, keys = table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"]
-    med = stats.exact_quantile(rows, keys, "l_extendedprice").withColumnRenamed("quantile", "med")
+    med = joins.held(stats.exact_quantile(rows, keys, "l_extendedprice").withColumnRenamed("quantile", "med"))
     dev = rows.join(med, keys).withColumn("d", F.abs(F.col("l_extendedprice") - F.col("med")))
-    mad = stats.exact_quantile(dev, keys, "d").withColumnRenamed("quantile", "mad")
+    mad = joins.held(stats.exact_quantile(dev, keys, "d").withColumnRenamed("quantile", "mad"))
     z = (F.col("l_extendedprice") - F.col("med")) / (stats.MADN * F.col("mad"))
     return dev.join(mad, keys).select("l_orderkey", "l_linenumber", r(F.when(F.col("mad") > 0, z)).alias("z"))
 
