@@ -63,7 +63,8 @@ def overlapping(polygons: DataFrame, keys: list[str], key: str, points: str, cel
     dealt = rows.withColumn("_cx", F.explode(cells("x"))).withColumn("_cy", F.explode(cells("y")))
     names = ["id", "_p", "_x0", "_x1", "_y0", "_y1"]
     a, b = (dealt.select(*keys, "_cx", "_cy", *[F.col(n).alias(f"{n}_{side}") for n in names]) for side in "ab")
-    met = a.join(b, [*keys, "_cx", "_cy"])
+    # The files of corners are small, what is made of them isn't: neither side may be broadcast for its files' size.
+    met = a.join(b.hint("merge"), [*keys, "_cx", "_cy"])
     near = F.expr("id_a < id_b and _x0_a < _x1_b and _x0_b < _x1_a and _y0_a < _y1_b and _y0_b < _y1_a")
     first = lambda axis: F.floor(F.greatest(f"_{axis}0_a", f"_{axis}0_b") / cell) == F.col(f"_c{axis}")
     # The case keeps the cutting from pairs that the boxes part: conditions of a join have no order.
