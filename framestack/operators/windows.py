@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import MADN, clean, over, with_median_mad
+from .stats import MADN, clean, over, pair_slopes, with_median_mad
 
 
 def night(ts: Column, zone: str = "UTC", hours: int = 12) -> Column:
@@ -102,11 +102,9 @@ def night_extinction(df: DataFrame, night: str, airmass: str, extinction: str, o
     its lowest tenth of corrected values.
     """
     rows = df.withColumns({"_x": clean(airmass), "_y": clean(extinction)})
-    a = rows.where("_x is not null and _y is not null").select(F.col(night).alias("n1"), F.col("_x").alias("x1"), F.col("_y").alias("y1"), F.col(order).alias("o1"))
-    b = a.toDF("n2", "x2", "y2", "o2")
-    pairs = a.join(b, (F.col("n1") == F.col("n2")) & (F.col("o1") < F.col("o2"))).where(F.abs(F.col("x2") - F.col("x1")) >= least_dx)
-    slope = F.try_divide(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
-    fit = pairs.withColumn("s", slope).where(F.abs("s") <= steepest).agg(F.count("*").alias("pairs"), F.percentile("s", F.lit(0.5)).alias("raw"))
+    a = rows.where("_x is not null and _y is not null").select(F.col(night).alias("n1"), F.col("_x").alias("x1"), F.col("_y").alias("y1"))
+    known = a.where(F.col("n1").isNotNull()).withColumn("_all", F.lit(0))
+    fit = pair_slopes(known, ["_all"], "n1", "x1", "y1", least_dx, steepest).agg(F.coalesce(F.max("pairs"), F.lit(0)).alias("pairs"), F.max("slope").alias("raw"))
     valid = a.groupBy("n1").agg(F.count("*").alias("c"), (F.max("x1") - F.min("x1")).alias("span")).agg(F.sum("c").alias("valid"), F.max("span").alias("span"))
     model = fit.crossJoin(valid).select(
         F.greatest(F.least("raw", F.lit(slopes[1])), F.lit(slopes[0])).alias("slope"),
