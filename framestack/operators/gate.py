@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import cut
-from .stats import MADN, clean, envelope
+from .stats import MADN, clean, envelope, pair_slopes
 from .windows import without_self
 
 #: Columns of a frame that the gate reads, beside the keys that evaluate() names.
@@ -76,10 +76,7 @@ def nightly_fit(df: DataFrame, cohort: str, night: str, airmass: str, extinction
     """
     x, y = clean(airmass), clean(extinction)
     known = df.select(F.col(cohort), F.col(night), x.alias("x"), y.alias("y"), F.col(order).alias("o")).where(F.col(night).isNotNull() & (F.col("x") > 0) & F.col("y").isNotNull())
-    other = known.withColumnsRenamed({"x": "x2", "y": "y2", "o": "o2"})
-    pairs = known.join(other, [cohort, night]).where((F.col("o") < F.col("o2")) & (F.abs(F.col("x2") - F.col("x")) >= LEAST_AIRMASS_STEP))
-    slopes = pairs.withColumn("s", (F.col("y2") - F.col("y")) / (F.col("x2") - F.col("x"))).where(F.abs("s") <= STEEPEST)
-    fit = slopes.groupBy(cohort).agg(F.count("*").alias("pairs"), F.percentile("s", F.lit(0.5)).alias("raw"))
+    fit = pair_slopes(known.where(F.col(cohort).isNotNull()), [cohort], night, "x", "y", LEAST_AIRMASS_STEP, STEEPEST).withColumnRenamed("slope", "raw")
     spans = known.groupBy(cohort, night).agg(F.count("*").alias("k"), (F.max("x") - F.min("x")).alias("span")).groupBy(cohort).agg(F.sum("k").alias("valid"), F.max(F.when(F.col("k") > 1, F.col("span"))).alias("span"))
     sound = (F.col("valid") >= 4) & (F.col("pairs") >= 3) & (F.col("span") >= 0.20) & F.col("raw").between(*SLOPES)
     model = cut(spans.join(fit, cohort, "left").select(cohort, F.least(F.greatest("raw", F.lit(SLOPES[0])), F.lit(SLOPES[1])).alias("slope"), F.coalesce(sound, F.lit(False)).alias("reliable")))
