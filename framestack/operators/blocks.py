@@ -26,6 +26,12 @@ def _kinds(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in names)
 
 
+def _small_batches(df: DataFrame) -> DataFrame:
+    """df, after a batch of blocks is bounded by its bytes: ten thousand rows of blocks would be gigabytes in a Python worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return df
+
+
 def from_pixels(pixels: DataFrame, keys: list[str], y: str, x: str, value: str, side: int = SIDE, kind: str = "<f8") -> DataFrame:
     """Blocks of pixel rows, each pixel once; of repeated ones the greatest value counts, negative positions are left out."""
     rows = pixels.where((F.col(y) >= 0) & (F.col(x) >= 0)).select(*keys, F.floor(F.col(y) / side).cast("int").alias("by"), F.floor(F.col(x) / side).cast("int").alias("bx"), (F.col(y) % side * side + F.col(x) % side).cast("int").alias("_at"), F.col(value).cast("double").alias("_v"))
@@ -70,7 +76,7 @@ def to_pixels(blocks: DataFrame, keys: list[str], side: int = SIDE, kind: str =
                 own = [batch.column(k).take(pa.array(np.full(len(at), i))) for k in keys]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(at // side + r["by"] * side, pa.int64()), pa.array(at % side + r["bx"] * side, pa.int64()), pa.array(v[at].astype("<i8" if whole else "<f8"))], [*keys, "y", "x", name])
 
-    return blocks.select(*keys, "by", "bx", "data").mapInArrow(run, f"{_kinds(blocks, keys)}, y bigint, x bigint, `{name}` {'bigint' if whole else 'double'}")
+    return _small_batches(blocks).select(*keys, "by", "bx", "data").mapInArrow(run, f"{_kinds(blocks, keys)}, y bigint, x bigint, `{name}` {'bigint' if whole else 'double'}")
 
 
 def inverse(m: Column) -> Column:
@@ -324,7 +330,7 @@ def label_parts(blocks: DataFrame, keys: list[str], level: float, side: int = SI
                 cols = [pa.array(np.full(c, r["by"]), pa.int32()), pa.array(np.full(c, r["bx"]), pa.int32()), *[pa.array(a, pa.int64()) for a in (ids, n, *ends)], pa.array(total), pa.array(peak), pa.array(rims, rim_type)]
                 yield pa.RecordBatch.from_arrays([*own, *cols], [*keys, *[f.split()[0] for f in fields.split(", ")]])
 
-    return blocks.select(*keys, "by", "bx", "data").mapInArrow(run, f"{_kinds(blocks, keys)}, {fields}")
+    return _small_batches(blocks).select(*keys, "by", "bx", "data").mapInArrow(run, f"{_kinds(blocks, keys)}, {fields}")
 
 
 def joined_parts(parts: DataFrame, keys: list[str], diagonal: bool = False) -> DataFrame:
@@ -371,7 +377,7 @@ def label_blocks(blocks: DataFrame, joined: DataFrame, keys: list[str], level: f
                 out.append(np.array(full, "<i8")[at.ravel()].tobytes())
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in (*keys, "by", "bx")], pa.array(out, pa.binary())], [*keys, "by", "bx", "data"])
 
-    return met.mapInArrow(run, f"{_kinds(met, keys)}, by int, bx int, data binary")
+    return _small_batches(met).mapInArrow(run, f"{_kinds(met, keys)}, by int, bx int, data binary")
 
 
 def apertures(stars: DataFrame, blocks: DataFrame, keys: list[str], star: str, x: str, y: str, radius: float, inner: float, outer: float, side: int = SIDE, kind: str = "<f8") -> DataFrame:
@@ -410,7 +416,7 @@ def apertures(stars: DataFrame, blocks: DataFrame, keys: list[str], star: str, x
                 own = [batch.column(q).take(pa.array(np.full(len(near), k))) for q in keys]
                 yield pa.RecordBatch.from_arrays([*own, near.field("_star"), *[pa.array(s) for s in sums]], [*keys, "_star", "_n", "_s", "_rn", "_rs"])
 
-    sums = met.mapInArrow(run, f"{kinds}, `_n` double, `_s` double, `_rn` double, `_rs` double").groupBy(*keys, "_star").agg(*[F.sum(c).alias(c) for c in ("_n", "_s", "_rn", "_rs")])
+    sums = _small_batches(met).mapInArrow(run, f"{kinds}, `_n` double, `_s` double, `_rn` double, `_rs` double").groupBy(*keys, "_star").agg(*[F.sum(c).alias(c) for c in ("_n", "_s", "_rn", "_rs")])
     offsets = F.sequence(F.lit(-int(radius) - 1), F.lit(int(radius) + 1))
     # Centres that an aperture must hold, counted from the star's own fraction of a pixel.
     fx, fy = F.col("_x") - F.floor("_x"), F.col("_y") - F.floor("_y")
