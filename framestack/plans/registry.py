@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that a task gets from dealt(), on average.
+TASK_ROWS = 1 << 20
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys to tasks of about TASK_ROWS of its `rows` rows: what a task sorts or groups does not grow with the table."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // TASK_ROWS)), *keys)
+
+
 def r(c: Column | str, digits: int = 6) -> Column:
     """Rounded; a tie of the true value falls the same way in any order of addition."""
     return F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, digits)

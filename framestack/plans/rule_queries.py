@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import grouping, rules
-from .registry import query, r, table
+from .registry import dealt, query, r, table
 
 FRAMES = """WITH f AS (SELECT l_returnflag AS channel, l_suppkey AS frame, count(*) AS stars, avg(l_extendedprice) AS sky, avg(l_quantity) / 10 AS fwhm, avg(l_discount) * 10 AS extinction, avg(l_tax) * 5 AS ellipticity FROM lineitem GROUP BY 1, 2),
 c AS (SELECT channel, count(*) AS frames, count(*) FILTER (WHERE extinction < 0.5) AS clean_frames,
@@ -15,7 +15,13 @@ c AS (SELECT channel, count(*) AS frames, count(*) FILTER (WHERE extinction < 0.
 
 
 def frames(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("channel"), F.col("l_suppkey").alias("frame")).agg(
+    """Means of a frame's lines, added in the order of the table's rows: thresholds on means then fall alike for any splits of the files."""
+    lines = table(spark, sf_dir, "lineitem")
+    channel, frame = F.col("l_returnflag").alias("channel"), F.col("l_suppkey").alias("frame")
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")][0 if len(lines.inputFiles()) > 1 else 1 :]
+    rows = lines.select(channel, frame, "l_extendedprice", "l_quantity", "l_discount", "l_tax", *place)
+    rows = dealt(rows, lines.count(), "channel", "frame").sortWithinPartitions("channel", "frame", *[c for c in ("_file", "_row") if c in rows.columns])
+    return rows.groupBy("channel", "frame").agg(
         F.count("*").alias("stars"), F.avg("l_extendedprice").alias("sky"), (F.avg("l_quantity") / 10).alias("fwhm"), (F.avg("l_discount") * 10).alias("extinction"), (F.avg("l_tax") * 5).alias("ellipticity")
     )
 
