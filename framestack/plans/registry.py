@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows of a table that a task gets from dealt(), on average.
-TASK_ROWS = 1 << 20
+TASK_ROWS = 1 << 19
 
 
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
