@@ -19,8 +19,9 @@ that cannot be alike, and every link is confirmed by the exact similarity.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -345,8 +346,12 @@ def cluster(df: DataFrame, width: int = 3, bits: int = 3, key: str = "doc_id", t
 WORDS, ALIKE = 5, (4, 5)
 #: Bits within which the tries link the fingerprints of whole sets.
 SET_BITS = 3
-#: Documents whose shingles are counted to order them, and the bits of a hash that find its count (16 MB); results do not depend on either.
-ORDER_DOCS, COUNT_BITS = 50_000, 24
+#: The bits of a hash that find its shingle's count (16 MB), and the entries of a part of the counts; results do not depend on either.
+COUNT_BITS, PART = 24, 1 << 16
+#: Bits of a set's parities, whose differences between two sets are no more than the shingles that only one of them has.
+PARITIES = 1024
+#: Sets of a shingle's other parts that each set meets before parts meet wholly; results do not depend on it.
+NEIGHBOURS = 8
 #: Sets of FILTER_FROM shingles or more are not compared if they differ in over FAR of 128 bits.  At a similarity of
 #: 0.8 a bit differs with probability 0.152, so that fewer than one such pair in a million is lost.
 FAR, FILTER_FROM = 44, 32
@@ -380,6 +385,12 @@ def set_prints(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's hashes falls on each of PARITIES places."""
+    odd = np.bincount((hashes & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _lists(items: list[np.ndarray]) -> pa.ListArray:
     ends = np.concatenate(([0], np.cumsum([len(i) for i in items]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*items, np.empty(0, np.uint64)]).view(np.int64)))
@@ -390,17 +401,17 @@ def _ids(sets: list[np.ndarray]) -> pa.Array:
 
 
 def _described(df: DataFrame, width: int, counts) -> DataFrame:
-    """(key, sig, size, fp, fp2, prefix) of rows (key, text): number, size, fingerprints and first shingles of each set."""
+    """(key, sig, size, fp, fp2, prefix, odd) of rows (key, text): number, size, fingerprints, first shingles and parities of each set."""
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             prints = np.array([set_prints(h) for h in sets], np.int64).reshape(-1, 2)
-            columns = [batch.column(0), _ids(sets), pa.array([len(h) for h in sets], pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), _lists([prefix(h, counts.value) for h in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "sig", "size", "fp", "fp2", "prefix"])
+            columns = [batch.column(0), _ids(sets), pa.array([len(h) for h in sets], pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), _lists([prefix(h, counts.value) for h in sets]), _lists([parities(h) for h in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "sig", "size", "fp", "fp2", "prefix", "odd"])
 
-    return df.mapInArrow(run, f"key {df.schema['key'].dataType.simpleString()}, sig long, size int, fp long, fp2 long, prefix array<long>")
+    return df.mapInArrow(run, f"key {df.schema['key'].dataType.simpleString()}, sig long, size int, fp long, fp2 long, prefix array<long>, odd array<long>")
 
 
 def _whole_sets(df: DataFrame, width: int) -> DataFrame:
@@ -430,19 +441,48 @@ def with_set_id(df: DataFrame, width: int = WORDS, text: str = "text", name: str
 
 
 def _counted(df: DataFrame, width: int):
-    """A broadcast table of how often shingles come in a sample of about ORDER_DOCS rows (key, text): COUNT_BITS of the hash, up to 255.
+    """A broadcast table of how often shingles come in all rows (key, text): COUNT_BITS of the hash, each an eighth of a power of two.
 
+    A task adds up its rows in one table and hands it on in compressed parts of PART entries; parts are added as they are read.
     Its size does not depend on the corpus; shingles that share an entry share their count.
     """
     spark = df.sparkSession
-    total = df.count()
-    some = df if total <= ORDER_DOCS else df.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(ORDER_DOCS / total * (1 << 30)))
-    entry = F.shiftrightunsigned("token", 64 - COUNT_BITS).cast("int")
-    sets = _whole_sets(some, width).dropDuplicates(["sig"])
-    counts = sets.select(F.explode("hashes").alias("token")).groupBy(entry.alias("entry")).agg(F.least(F.count("*"), F.lit(255)).cast("int").alias("n")).where("n > 1")
-    got = counts.toArrow()  # at most a row an entry
+    bounded_batches(spark)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << COUNT_BITS, np.uint16)
+        for batch in batches:
+            sets = [shingle_set(t, width) for t in batch.column(0).to_pylist()]
+            entry, n = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]) >> np.uint64(64 - COUNT_BITS), return_counts=True)
+            entry = entry.astype(np.int64)
+            table[entry] = np.minimum(table[entry] + n, 65535)
+        for at in range(0, len(table), PART):
+            part = table[at : at + PART]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at // PART], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scaled() -> pa.RecordBatch:
+            code = np.minimum(np.rint(8 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([code.tobytes()], pa.binary())], ["part", "counts"])
+
+        now, total = None, None
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if part != now:
+                    if now is not None:
+                        yield scaled()
+                    now, total = part, np.zeros(PART, np.int64)
+                total += np.frombuffer(zlib.decompress(counts), np.uint16)
+        if now is not None:
+            yield scaled()
+
+    schema = "part int, counts binary"
+    parts = df.select("text").mapInArrow(count, schema).repartition(partitions(spark), "part").sortWithinPartitions("part")
+    got = parts.mapInArrow(add, schema).toArrow()  # a byte an entry
     table = np.zeros(1 << COUNT_BITS, np.uint8)
-    table[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    for part, counts in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
+        table[part * PART : (part + 1) * PART] = np.frombuffer(counts, np.uint8)
     return spark.sparkContext.broadcast(table)
 
 
@@ -469,6 +509,12 @@ def _may_be_alike(a: str, b: str) -> Column:
     return (least * ALIKE[1] >= most * ALIKE[0]) & enough & ((least < FILTER_FROM) | (bits <= FAR))
 
 
+def _few_differ(a: str, b: str) -> Column:
+    """Whether the parities of two sets (structs with size and odd) leave room for ALIKE: loses nothing, as each differing place holds a shingle that only one set has."""
+    differ = reduce(lambda p, q: p + q, [F.bit_count(F.get(f"{a}.odd", F.lit(i)).bitwiseXOR(F.get(f"{b}.odd", F.lit(i)))) for i in range(PARITIES // 64)])
+    return differ * (ALIKE[0] + ALIKE[1]) <= (F.col(f"{a}.size") + F.col(f"{b}.size")) * (ALIKE[1] - ALIKE[0])
+
+
 def _alike(pairs: DataFrame, one: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Pairs (u, v) whose sets have a Jaccard similarity of at least ALIKE; texts are read again for the sets in pairs only."""
     met = pairs.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
@@ -499,7 +545,7 @@ def set_labels(rows: DataFrame, one: DataFrame, docs: DataFrame, width: int, bit
 
     Sets that share a shingle of their prefixes may be alike, all others cannot be.  First the tries' pairs, and
     those of each set with at most three of its shingles' hubs, are confirmed.  Confirmed parts meet no more: the second
-    round confirms all pairs of a shingle that lie in different parts.
+    round confirms a few neighbours of other parts, and the last one all pairs of a shingle that lie in different parts and differ in few enough parities.
     """
     me = lambda: F.struct("sig", "size", "fp", "fp2", "pos")
     by_token = Window.partitionBy("token")
@@ -514,12 +560,27 @@ def set_labels(rows: DataFrame, one: DataFrame, docs: DataFrame, width: int, bit
     pairs = stored(starred.union(_trie_pairs(one, bits, node_rows)).distinct(), "pairs")
     edges = _alike(pairs, one, docs, width)
     labels = connected(edges.select(F.col("u").alias("fp"), F.col("v").alias("root")))
+    odd = rows.select("sig", "odd").dropDuplicates(["sig"])
+    one_of = lambda df: df.withColumns({"lo": F.min("label").over(by_token), "hi": F.max("label").over(by_token)}).where("lo <> hi").drop("lo", "hi")
     named = shared.drop("hub_a", "hub_b").join(labels.withColumnRenamed("fp", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    apart = named.withColumns({"lo": F.min("label").over(by_token), "hi": F.max("label").over(by_token)}).where("lo <> hi").drop("lo", "hi")
-    a = stored(apart.select("token", me().alias("a"), F.col("label").alias("la")), "apart")
+    you = F.struct("sig", "size", "fp", "fp2", "pos", "odd")
+    apart = stored(one_of(named).join(odd, "sig").select("token", "sig", you.alias("me"), "label"), "apart")
+    # Every set meets the NEIGHBOURS next ones of each shingle in a random order, and up to four of those of other parts
+    # that may be alike are confirmed: in large families most alike parts then grow together before all their pairs would meet.
+    by_chance = by_token.orderBy(F.xxhash64("sig", "token"), "sig")
+    nexts = apart.withColumns({f"n{k}": F.lead(F.struct("me", "label"), k).over(by_chance) for k in range(1, NEIGHBOURS + 1)})
+    near = lambda c: F.when((F.col(f"{c}.label") != F.col("label")) & _may_be_alike("me", f"{c}.me") & _few_differ("me", f"{c}.me"), F.col(f"{c}.me.sig"))
+    found = nexts.select("sig", F.explode(F.array_compact(F.array(*[near(f"n{k}") for k in range(1, NEIGHBOURS + 1)]))).alias("to"))
+    four = found.groupBy("sig").agg(F.array(F.min("to"), F.max("to"), F.min_by("to", F.xxhash64("to", "sig")), F.max_by("to", F.xxhash64("to", "sig"))).alias("to"))
+    starred = four.select("sig", F.explode("to").alias("to")).select(F.least("sig", "to").alias("u"), F.greatest("sig", "to").alias("v")).distinct()
+    further = stored(starred.join(pairs, ["u", "v"], "left_anti"), "further")
+    edges = edges.union(_alike(further, one, docs, width))
+    labels = connected(edges.select(F.col("u").alias("fp"), F.col("v").alias("root")))
+    told = apart.drop("label").join(labels.withColumnRenamed("fp", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    a = stored(one_of(told).select("token", F.col("me").alias("a"), F.col("label").alias("la")), "still_apart")
     b = a.withColumnsRenamed({"a": "b", "la": "lb"})
-    rest = a.join(b, "token").where((F.col("a.sig") < F.col("b.sig")) & (F.col("la") != F.col("lb")) & _may_be_alike("a", "b")).select(F.col("a.sig").alias("u"), F.col("b.sig").alias("v")).distinct()
-    rest = stored(rest.join(pairs, ["u", "v"], "left_anti"), "rest")
+    rest = a.join(b, "token").where((F.col("a.sig") < F.col("b.sig")) & (F.col("la") != F.col("lb")) & _may_be_alike("a", "b") & _few_differ("a", "b")).select(F.col("a.sig").alias("u"), F.col("b.sig").alias("v")).distinct()
+    rest = stored(rest.join(pairs.union(further), ["u", "v"], "left_anti"), "rest")
     more = _alike(rest, one, docs, width)
     if not more.head(1):
         return labels
