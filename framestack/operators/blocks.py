@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -333,6 +334,76 @@ def label_parts(blocks: DataFrame, keys: list[str], level: float, side: int = SI
     return _small_batches(blocks).select(*keys, "by", "bx", "data").mapInArrow(run, f"{_kinds(blocks, keys)}, {fields}")
 
 
+def label_points(pixels: DataFrame, keys: list[str], y: str, x: str, value: str, level: float, side: int = SIDE, diagonal: bool = False, tasks: int | None = None) -> DataFrame:
+    """label_parts() of from_pixels(), for images with few pixels above the level: work follows the pixels, not the blocks' area.
+
+    Pixels are dealt by block and read in order, whole blocks of a batch at once; neighbours are found by their places.
+    """
+    v = F.col(value).cast("double")
+    own = pixels.where((F.col(y) >= 0) & (F.col(x) >= 0) & v.isNotNull() & ~F.isnan(v))
+    own = own.select(*keys, F.floor(F.col(y) / side).cast("int").alias("by"), F.floor(F.col(x) / side).cast("int").alias("bx"), (F.col(y) % side * side + F.col(x) % side).cast("int").alias("_at"), v.alias("_v"))
+    block = [*keys, "by", "bx"]
+    own = own.repartition(tasks, *block) if tasks else own.repartition(*block)
+    rows = own.groupBy(*block, "_at").agg(F.max("_v").alias("_v")).where((F.col("_v") > level) & (F.col("_v") < float("inf"))).sortWithinPartitions(*block, "_at")
+    fields = "by int, bx int, part bigint, n bigint, y0 bigint, x0 bigint, y1 bigint, x1 bigint, total double, peak double, rim array<struct<y:bigint,x:bigint>>"
+    steps = [(0, 1), (1, 0), *([(1, -1), (1, 1)] if diagonal else [])]
+
+    def starts(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        new[:1] = True
+        for c in (t[k].combine_chunks() for k in block):
+            a, b = c[1:], c[:-1]
+            new[1:] |= pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+        return new
+
+    def answer(t: pa.Table, new: np.ndarray) -> pa.RecordBatch:
+        at, v, by, bx = (t[c].to_numpy() for c in ("_at", "_v", "by", "bx"))
+        py, px = at // side, at % side
+        place = (np.cumsum(new) - 1) * side * side + at  # ascending
+        pairs = []
+        for dy, dx in steps:
+            inside = np.flatnonzero((py + dy < side) & (px + dx >= 0) & (px + dx < side))
+            there = np.searchsorted(place, place[inside] + dy * side + dx)
+            met = there < len(place)
+            met[met] = place[there[met]] == (place[inside] + dy * side + dx)[met]
+            pairs.append(np.stack([inside[met], there[met]]))
+        a, b = np.concatenate(pairs, 1)
+        least, was = np.arange(len(place)), None
+        while was is None or not np.array_equal(least, was):
+            was, m = least.copy(), np.minimum(least[a], least[b])
+            np.minimum.at(least, least[a], m)
+            np.minimum.at(least, least[b], m)
+            least = least[least]
+        first, part = np.unique(least, return_inverse=True)
+        order = np.argsort(part, kind="stable")
+        edges = np.concatenate(([0], np.cumsum(np.bincount(part))[:-1]))
+        Y, X = py.astype(np.int64) + by.astype(np.int64) * side, px.astype(np.int64) + bx.astype(np.int64) * side
+        over = lambda f, c: f.reduceat(c[order], edges)
+        ends = [over(np.minimum, Y), over(np.minimum, X), over(np.maximum, Y), over(np.maximum, X)]
+        edge = ((py == 0) | (px == 0) | (py == side - 1) | (px == side - 1))[order]
+        rims = np.concatenate(([0], np.cumsum(np.bincount(part[order][edge], minlength=len(first))))).astype(np.int32)
+        rim = pa.ListArray.from_arrays(pa.array(rims), pa.StructArray.from_arrays([pa.array(Y[order][edge]), pa.array(X[order][edge])], ["y", "x"]))
+        named = t.select(block).take(pa.array(first)).combine_chunks().columns
+        cols = [Y[first] * COLUMNS + X[first], np.bincount(part), *ends, np.bincount(part, v), over(np.maximum, v)]
+        return pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in named], *[pa.array(c) for c in cols], rim], [*keys, *[f.split()[0] for f in fields.split(", ")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            held = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches([batch])])
+            if not held.num_rows:
+                continue
+            new = starts(held)
+            last = int(np.flatnonzero(new)[-1])  # a block that may go on in the next batch, of side * side pixels at most
+            if last:
+                yield answer(held.slice(0, last), new[:last])
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield answer(held, starts(held))
+
+    return rows.mapInArrow(run, f"{_kinds(rows, keys)}, {fields}")
+
+
 def joined_parts(parts: DataFrame, keys: list[str], diagonal: bool = False) -> DataFrame:
     """label_parts() with `label`, the least part that is connected over block borders: an equi-join of rim pixels with their neighbours, then components."""
     parts = cut(parts)

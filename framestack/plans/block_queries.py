@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import blocks, joins, photometry, polygons
-from .registry import query, r, table
+from .registry import query, r, table, tasks
 
 ROWS, SIDE = 24, 64
 TILT = 0.0002
@@ -84,8 +84,9 @@ def lattice_warp(spark, sf_dir):
     SELECT m.f, m.label // 2147483648 AS y, m.label % 2147483648 AS x, count(*) AS n, min(m.y) AS y0, min(m.x) AS x0, max(m.y) AS y1, max(m.x) AS x1, round(sum(v) + 1e-9, 4) AS total, max(v) * 1.0::DOUBLE AS peak FROM m JOIN p ON p.f = m.f AND p.y = m.y AND p.x = m.x GROUP BY m.f, m.label""",
 )
 def region_labels(spark, sf_dir):
-    held = blocks.from_pixels(table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "f"), ["f"], "l_suppkey", "l_partkey", "l_quantity", SIDE)
-    joined = blocks.joined_parts(blocks.label_parts(held, ["f"], 15.0, SIDE), ["f"])
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "f")
+    parts = blocks.label_points(lines, ["f"], "l_suppkey", "l_partkey", "l_quantity", 15.0, SIDE, tasks=tasks(spark, lines.count()))
+    joined = blocks.joined_parts(parts, ["f"])
     return blocks.regions(joined, ["f"]).drop("label").withColumn("total", r("total", 4))
 
 

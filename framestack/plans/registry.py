@@ -29,10 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TASK_ROWS = 1 << 19
 
 
+def tasks(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """df dealt by keys to tasks of about TASK_ROWS of its `rows` rows: what a task sorts or groups does not grow with the table."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, -(-rows // TASK_ROWS)), *keys)
+    return df.repartition(tasks(df.sparkSession, rows), *keys)
 
 
 def r(c: Column | str, digits: int = 6) -> Column:
