@@ -194,23 +194,48 @@ def overlapping_boxes(boxes: DataFrame, key: str, low: list[str], high: list[str
     return met.select(*[F.col(f"a.{k}") for k in keys], F.col("a.id").alias("a"), F.col("b.id").alias("b"), reduce(lambda p, q: p * q, sides).alias("area"))
 
 
+def least_reached(least: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node that each node 0, 1, ... reaches over the edges a to b, from such nodes of edges before."""
+    was = None
+    while was is None or not np.array_equal(least, was):
+        was = least.copy()
+        # Ends of an edge are joined at their own least nodes, so that all that hangs from them follows.
+        p, q = least[a], least[b]
+        m = np.minimum(p, q)
+        least = was.copy()
+        np.minimum.at(least, p, m)
+        np.minimum.at(least, q, m)
+        least = least[least]
+    return least
+
+
+#: Edges that a task thins at once.
+MOST_EDGES = 1 << 21
+
+
 def _thinned(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with the same connections: of each batch, every node with the least node it reaches within the batch."""
+    """Edges (u, v) with the same connections: every node with the least node it reaches, over MOST_EDGES edges of a task at a time."""
+
+    def thin(table: pa.Table) -> pa.RecordBatch:
+        nodes, ends = np.unique(np.concatenate([table["u"].to_numpy(), table["v"].to_numpy()]), return_inverse=True)
+        least = least_reached(np.arange(len(nodes)), ends[: len(ends) // 2], ends[len(ends) // 2 :])
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[least], pa.int64())], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, n = [], 0
         for batch in batches:
             whole = pc.and_(pc.is_valid(batch["u"]), pc.is_valid(batch["v"]))
             yield batch.filter(pc.invert(whole))
-            known = batch.filter(whole)
-            nodes, ends = np.unique(np.concatenate([known["u"].to_numpy(), known["v"].to_numpy()]), return_inverse=True)
-            a, b = ends[: len(ends) // 2], ends[len(ends) // 2 :]
-            least, was = np.arange(len(nodes)), None
-            while was is None or not np.array_equal(least, was):
-                was, m = least.copy(), np.minimum(least[a], least[b])
-                np.minimum.at(least, a, m)
-                np.minimum.at(least, b, m)
-                least = least[least]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[least], pa.int64())], ["u", "v"])
+            kept.append(batch.filter(whole))
+            n += kept[-1].num_rows
+            if n >= MOST_EDGES:
+                kept = [thin(pa.Table.from_batches(kept))]
+                n = kept[0].num_rows
+                if n > MOST_EDGES // 2:
+                    yield from kept
+                    kept, n = [], 0
+        if n:
+            yield thin(pa.Table.from_batches(kept))
 
     return edges.mapInArrow(run, "u long, v long")
 
@@ -218,11 +243,13 @@ def _thinned(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component): the smallest node reachable; rounds of neighbour minima and label jumps, each written out.
 
-    Edges of whole numbers are thinned first, batch by batch, to as few as keep every connection.
+    Edges of whole numbers are thinned first to as few as keep every connection, in ever fewer tasks of up to MOST_EDGES.
     """
     edges = edges.select(F.col(u).alias("u"), F.col(v).alias("v"))
     if {edges.schema[c].dataType.simpleString() for c in "uv"} == {"bigint"}:
-        edges = cut(_thinned(edges))
+        edges, before = cut(_thinned(edges)), None
+        while (n := edges.count()) and (before is None or before > MOST_EDGES and n <= before // 2):
+            edges, before = cut(_thinned(edges.repartition(-(-n // MOST_EDGES)))), n
     both = cut(edges.union(edges.select("v", "u")).distinct())
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:

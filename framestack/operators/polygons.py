@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import cut, held, least_reached
+
 
 def _next(points: Column, i: Column, step: int) -> Column:
     return F.get(points, F.pmod(i + step, F.size(points)))
@@ -27,46 +31,153 @@ def counterclockwise(points: Column) -> Column:
     return _held(points, lambda held: F.when(signed_area(held) < 0, F.reverse(held)).otherwise(held))
 
 
-def intersection(a: Column, b: Column) -> Column:
-    """The corners that two counterclockwise convex polygons share: a is cut along the line of each of b's sides."""
-
-    def cut(shape: Column, side: Column) -> Column:
-        depth = lambda p: (side.q.x - side.p.x) * (p.y - side.p.y) - (side.q.y - side.p.y) * (p.x - side.p.x)
+#: Polygons of a block, candidates looked at at a time (of all pairs, of spanning ones) and pairs measured at a time.  A cell of more polygons than a block is met block by block.
+BLOCK, CANDIDATES, SPANNED, CUT = 4096, 1 << 17, 1 << 13, 1 << 11
+#: A corner is nearly on a line within this share of the longest side.
+NEAR = 1e-6
 
-        def kept(p: Column, i: Column) -> Column:
-            o = _next(shape, i, -1)
-            here, there = depth(p), depth(o)
-            t = there / (there - here)
-            crossing = F.struct((o.x + t * (p.x - o.x)).alias("x"), (o.y + t * (p.y - o.y)).alias("y"))
-            none = F.slice(F.array(p), 1, 0)
-            return F.concat(F.when((here >= 0) != (there >= 0), F.array(crossing)).otherwise(none), F.when(here >= 0, F.array(p)).otherwise(none))
 
-        return F.flatten(F.transform(shape, kept))
+def _rim(depth: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Twice the area swept by a polygon's sides as far as they lie in the other: depth (sides of the other, corners, pairs), turn (corners, pairs)."""
+    fall = depth - np.roll(depth, -1, 1)
+    t = depth / fall
+    # A side that goes out ends there, one that comes in begins there; one along the line is in (+inf) or out (-inf).
+    leaves = fall >= 0
+    first, last = np.where(leaves, 0.0, t).max(0), np.where(leaves, t, 1.0).min(0)
+    return (np.maximum(np.minimum(last, 1.0) - np.maximum(first, 0.0), 0.0) * turn).sum(0)
 
-    sides = lambda held: F.transform(held, lambda p, i: F.struct(p.alias("p"), _next(held, i, 1).alias("q")))
-    return F.aggregate(_held(b, sides), a, cut)
 
+def shared_areas(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Areas that counterclockwise convex polygons share, row by row; rows of fewer corners than others repeat their last one.
 
-def overlapping(polygons: DataFrame, keys: list[str], key: str, points: str, cell: float, least: float = 0.0) -> DataFrame:
+    The rim of what is shared is each polygon's rim within the other.  Where a corner lies nearly on the line of a side, rims
+    could count twice or not at all: those pairs are cut.
+    """
+    x0, y0 = bx[:, :1], by[:, :1]
+    (ux, uy), (vx, vy) = ((np.ascontiguousarray((x - x0).T), np.ascontiguousarray((y - y0).T)) for x, y in ((ax, ay), (bx, by)))
+    sides = lambda x, y: (np.roll(x, -1, 0) - x, np.roll(y, -1, 0) - y)
+    depth = lambda x, y, px, py, ex, ey: ex[:, None] * (y - py[:, None]) - ey[:, None] * (x - px[:, None])
+    a, b = sides(ux, uy), sides(vx, vy)
+    da, db = depth(ux, uy, vx, vy, *b), depth(vx, vy, ux, uy, *a)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        area = (_rim(da, ux * a[1] - uy * a[0]) + _rim(db, vx * b[1] - vy * b[0])) / 2
+    long = np.maximum(*(np.maximum(ex * ex, ey * ey).max(0) for ex, ey in (a, b)))
+    at = np.flatnonzero(np.minimum(np.abs(da).min((0, 1)), np.abs(db).min((0, 1))) <= NEAR * long)
+    if len(at):
+        area[at] = _cut_areas(ax[at], ay[at], bx[at], by[at])
+    return area
+
+
+def _cut_areas(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """shared_areas() by cutting a along the line of each of b's sides, safe for sides on one line."""
+    area, row, x, y = np.zeros(len(ax)), np.arange(len(ax)), ax.copy(), ay.copy()
+    for k in range(bx.shape[1]):
+        px, py = bx[row, k, None], by[row, k, None]
+        qx, qy = bx[row, (k + 1) % bx.shape[1], None], by[row, (k + 1) % bx.shape[1], None]
+        depth = (qx - px) * (y - py) - (qy - py) * (x - px)
+        inside = depth >= 0
+        some, whole = inside.any(1), inside.all(1)
+        if not some.all():
+            row, x, y, depth, inside, whole = row[some], x[some], y[some], depth[some], inside[some], whole[some]
+        at = np.flatnonzero(~whole)
+        if not len(at):
+            continue
+        i, d, ox, oy = inside[at], depth[at], x[at], y[at]
+        crossed = i != np.roll(i, 1, 1)
+        # A corner's crossing comes before the corner itself.
+        place = np.cumsum(crossed + i.astype(int), 1)
+        width = max(int(place[:, -1].max()), x.shape[1])
+        nx, ny = np.zeros((2, len(at), width))
+        r, c = np.nonzero(i)
+        nx[r, place[r, c] - 1], ny[r, place[r, c] - 1] = ox[r, c], oy[r, c]
+        r, c = np.nonzero(crossed)
+        before, slot = c - 1, place[r, c] - 1 - i[r, c]
+        t = d[r, before] / (d[r, before] - d[r, c])
+        nx[r, slot] = ox[r, before] + t * (ox[r, c] - ox[r, before])
+        ny[r, slot] = oy[r, before] + t * (oy[r, c] - oy[r, before])
+        r, c = np.nonzero(np.arange(width) >= place[:, -1:])
+        nx[r, c], ny[r, c] = nx[r, place[r, -1] - 1], ny[r, place[r, -1] - 1]
+        if width > x.shape[1]:
+            rest = width - x.shape[1]
+            x, y = (np.concatenate([v, np.repeat(v[:, -1:], rest, 1)], 1) for v in (x, y))
+        x[at], y[at] = nx, ny
+    area[row] = (x * np.roll(y, -1, 1) - np.roll(x, -1, 1) * y).sum(1) / 2
+    return area
+
+
+def _corners(column: pa.ListArray) -> np.ndarray:
+    """Lists of numbers as rows of equal length: short ones repeat their last number."""
+    first, n = column.offsets.to_numpy()[:-1], column.value_lengths().to_numpy()
+    return column.values.to_numpy()[first[:, None] + np.minimum(np.arange(n.max()), n[:, None] - 1)]
+
+
+def _met(table: pa.Table, keys: list[str], cell: float, least: float, spanning: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group: of polygons of one block, or of each of two blocks with those of the other."""
+    head = table.slice(0, 1).to_pylist()[0]
+    ids, x, y = table["id"].combine_chunks(), _corners(table["_x"].combine_chunks()), _corners(table["_y"].combine_chunks())
+    order = np.argsort(x.min(1), kind="stable")
+    x, y, block = x[order], y[order], table["_block"].to_numpy()[order]
+    rank = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1][order]
+    x0, x1, y0, y1 = x.min(1), x.max(1), y.min(1), y.max(1)
+    in_x, in_y = np.floor(x0 / cell) == head["_cx"], np.floor(y0 / cell) == head["_cy"]
+    # Boxes by rising x0: those that start within a box follow it.
+    n = np.maximum(np.searchsorted(x0, x1, "left") - np.arange(len(x0)) - 1, 0)
+    ends = np.cumsum(n)
+    label, row = np.arange(len(x0)), 0
+    while row < len(x0):
+        last = max(row + 1, int(np.searchsorted(ends, ends[row] - n[row] + (SPANNED if spanning else CANDIDATES), "right")))
+        i = np.repeat(np.arange(row, last), n[row:last])
+        j = np.arange(len(i)) - np.repeat(ends[row:last] - n[row:last] - (ends[row] - n[row]), n[row:last]) + i + 1
+        row = last
+        # A pair counts in the first cell that both reach.
+        near = in_x[j] & (in_y[i] | in_y[j]) & (y0[i] < y1[j]) & (y0[j] < y1[i]) & (rank[i] != rank[j])
+        if head["_i"] != head["_j"]:
+            near &= block[i] != block[j]
+        if spanning:
+            near &= label[i] != label[j]
+        i, j = i[near], j[near]
+        i, j = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
+        area = np.concatenate([np.zeros(0), *[shared_areas(x[a], y[a], x[b], y[b]) for a, b in ((i[k : k + CUT], j[k : k + CUT]) for k in range(0, len(i), CUT))]])
+        kept = area > least
+        i, j, area = i[kept], j[kept], area[kept]
+        if spanning:
+            label = least_reached(label, i, j)
+        elif len(i):
+            own = [pa.repeat(head_value, len(i)) for head_value in (table[k][0] for k in keys)]
+            yield pa.RecordBatch.from_arrays([*own, ids.take(pa.array(order[i])), ids.take(pa.array(order[j])), pa.array(area)], [*keys, "a", "b", "area"])
+    if spanning and len(i := np.flatnonzero(label != np.arange(len(label)))):
+        j = label[i]
+        i, j = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
+        own = [pa.repeat(head_value, len(i)) for head_value in (table[k][0] for k in keys)]
+        yield pa.RecordBatch.from_arrays([*own, ids.take(pa.array(order[i])), ids.take(pa.array(order[j]))], [*keys, "a", "b"])
+
+
+def overlapping(polygons: DataFrame, keys: list[str], key: str, points: str, cell: float, least: float = 0.0, spanning: bool = False) -> DataFrame:
     """(keys, a, b, area) of convex polygons that share more than `least` area, a < b; those that only touch share none.
 
     Polygons meet in the grid cells of their boxes, and a pair counts in the first cell both reach.  A cell of about a
     polygon's size is right.  Corners may run either way; polygons without area or with unknown corners meet none.
+    `spanning` gives only (keys, a, b) of links that connect what the pairs connect: what is connected already is not cut again.
     """
     p = F.transform(points, lambda c: F.struct(c.x.cast("double").alias("x"), c.y.cast("double").alias("y")))
-    rows = polygons.select(*keys, F.col(key).alias("id"), p.alias("_p"))
+    rows = polygons.select(*keys, F.col(key).alias("id"), p.alias("_p")).where(F.col("id").isNotNull())
     rows = rows.where(F.forall("_p", lambda c: (F.abs(c.x) < 1e15) & (F.abs(c.y) < 1e15)) & (signed_area(F.col("_p")) != 0)).withColumn("_p", counterclockwise(F.col("_p")))
-    for axis in "xy":
-        v = F.transform("_p", lambda c: c[axis])
-        rows = rows.withColumns({f"_{axis}0": F.array_min(v), f"_{axis}1": F.array_max(v)})
-    cells = lambda axis: F.sequence(F.floor(F.col(f"_{axis}0") / cell), F.floor(F.col(f"_{axis}1") / cell))
-    dealt = rows.withColumn("_cx", F.explode(cells("x"))).withColumn("_cy", F.explode(cells("y")))
-    names = ["id", "_p", "_x0", "_x1", "_y0", "_y1"]
-    a, b = (dealt.select(*keys, "_cx", "_cy", *[F.col(n).alias(f"{n}_{side}") for n in names]) for side in "ab")
-    # The files of corners are small, what is made of them isn't: neither side may be broadcast for its files' size.
-    met = a.join(b.hint("merge"), [*keys, "_cx", "_cy"])
-    near = F.expr("id_a < id_b and _x0_a < _x1_b and _x0_b < _x1_a and _y0_a < _y1_b and _y0_b < _y1_a")
-    first = lambda axis: F.floor(F.greatest(f"_{axis}0_a", f"_{axis}0_b") / cell) == F.col(f"_c{axis}")
-    # The case keeps the cutting from pairs that the boxes part: conditions of a join have no order.
-    met = met.withColumn("area", F.when(near & first("x") & first("y"), signed_area(intersection(F.col("_p_a"), F.col("_p_b")))))
-    return met.where(F.col("area") > least).select(*keys, F.col("id_a").alias("a"), F.col("id_b").alias("b"), "area")
+    rows = rows.select(*keys, "id", F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y"))
+    cells = lambda v: F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell))
+    dealt = rows.withColumn("_cx", F.explode(cells("_x"))).withColumn("_cy", F.explode(cells("_y")))
+    at = [*keys, "_cx", "_cy"]
+    crowded = cut(dealt.groupBy(*at).agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK))
+    if crowded.head(1):
+        same = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in at]
+        dealt = dealt.alias("d").join(held(crowded).alias("c"), same, "left").select("d.*", F.ceil(F.coalesce("_n", F.lit(1)) / BLOCK).alias("_n"))
+        dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("id"), "_n")).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+        dealt = dealt.withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")}).drop("_n", "_other")
+    else:
+        dealt = dealt.withColumns({c: F.lit(0).cast("long") for c in ("_block", "_i", "_j")})
+    kinds = ", ".join(f"`{k}` {dealt.schema[k].dataType.simpleString()}" for k in keys)
+    kind = dealt.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _met(pa.Table.from_batches(batches), keys, cell, least, spanning)
+
+    return dealt.groupBy(*at, "_i", "_j").applyInArrow(run, f"{kinds}{', ' if keys else ''}a {kind}, b {kind}{'' if spanning else ', area double'}")
