@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import cut, held, least_reached
 
-
-def _next(points: Column, i: Column, step: int) -> Column:
-    return F.get(points, F.pmod(i + step, F.size(points)))
-
-
-def _held(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once a row however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def signed_area(points: Column) -> Column:
-    """Positive where the corners run counterclockwise; 0 with fewer than three of them."""
-    terms = lambda held: F.transform(held, lambda p, i: p.x * _next(held, i, 1).y - _next(held, i, 1).x * p.y)
-    return _held(points, lambda held: F.aggregate(terms(held), F.lit(0.0), lambda s, v: s + v) / 2)
-
-
-def counterclockwise(points: Column) -> Column:
-    return _held(points, lambda held: F.when(signed_area(held) < 0, F.reverse(held)).otherwise(held))
-
-
 #: Polygons of a block, candidates looked at at a time (of all pairs, of spanning ones) and pairs measured at a time.  A cell of more polygons than a block is met block by block.
-BLOCK, CANDIDATES, SPANNED, CUT = 4096, 1 << 17, 1 << 13, 1 << 11
+BLOCK, CANDIDATES, SPANNED, CUT = 4096, 1 << 18, 1 << 14, 1 << 11
 #: A corner is nearly on a line within this share of the longest side.
 NEAR = 1e-6
 
@@ -115,37 +95,43 @@ def _met(table: pa.Table, keys: list[str], cell: float, least: float, spanning:
     """Pairs of a group: of polygons of one block, or of each of two blocks with those of the other."""
     head = table.slice(0, 1).to_pylist()[0]
     ids, x, y = table["id"].combine_chunks(), _corners(table["_x"].combine_chunks()), _corners(table["_y"].combine_chunks())
+    turn = (x * np.roll(y, -1, 1) - np.roll(x, -1, 1) * y).sum(1)
+    x, y = (np.where(turn[:, None] < 0, v[:, ::-1], v) for v in (x, y))
     order = np.argsort(x.min(1), kind="stable")
+    order = order[turn[order] != 0]
     x, y, block = x[order], y[order], table["_block"].to_numpy()[order]
     rank = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1][order]
     x0, x1, y0, y1 = x.min(1), x.max(1), y.min(1), y.max(1)
     in_x, in_y = np.floor(x0 / cell) == head["_cx"], np.floor(y0 / cell) == head["_cy"]
-    # Boxes by rising x0: those that start within a box follow it.
-    n = np.maximum(np.searchsorted(x0, x1, "left") - np.arange(len(x0)) - 1, 0)
-    ends = np.cumsum(n)
-    label, row = np.arange(len(x0)), 0
-    while row < len(x0):
-        last = max(row + 1, int(np.searchsorted(ends, ends[row] - n[row] + (SPANNED if spanning else CANDIDATES), "right")))
-        i = np.repeat(np.arange(row, last), n[row:last])
-        j = np.arange(len(i)) - np.repeat(ends[row:last] - n[row:last] - (ends[row] - n[row]), n[row:last]) + i + 1
-        row = last
-        # A pair counts in the first cell that both reach.
-        near = in_x[j] & (in_y[i] | in_y[j]) & (y0[i] < y1[j]) & (y0[j] < y1[i]) & (rank[i] != rank[j])
-        if head["_i"] != head["_j"]:
-            near &= block[i] != block[j]
+    # All pairs: rows by rising x0 with those that start later and within them.  Spanning ones: scattered rows with any not yet connected.
+    n = len(order)
+    label, every, rows = np.arange(n), np.arange(n), np.random.default_rng(n).permutation(n) if spanning else np.arange(n)
+    step = max(1, (SPANNED if spanning else CANDIDATES) // max(1, n))
+    for at in range(0, n, step):
+        r = rows[at : at + step, None]
+        c = every if spanning else every[at + 1 : np.searchsorted(x0, x1[r].max(), "left")]
+        near = (x0[c] < x1[r]) & (y0[c] < y1[r]) & (y0[r] < y1[c])
         if spanning:
-            near &= label[i] != label[j]
-        i, j = i[near], j[near]
+            near &= (x0[r] < x1[c]) & (label[r] != label[c])
+        else:
+            # A pair counts in the first cell that both reach.
+            near &= in_x[c] & (in_y[r] | in_y[c]) & (r < c) & (rank[r] != rank[c])
+            if head["_i"] != head["_j"]:
+                near &= block[r] != block[c]
+        i, j = np.nonzero(near)
+        i, j = r[i, 0], c[j]
         i, j = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
         area = np.concatenate([np.zeros(0), *[shared_areas(x[a], y[a], x[b], y[b]) for a, b in ((i[k : k + CUT], j[k : k + CUT]) for k in range(0, len(i), CUT))]])
         kept = area > least
         i, j, area = i[kept], j[kept], area[kept]
         if spanning:
             label = least_reached(label, i, j)
+            if not label.any():
+                break
         elif len(i):
             own = [pa.repeat(head_value, len(i)) for head_value in (table[k][0] for k in keys)]
             yield pa.RecordBatch.from_arrays([*own, ids.take(pa.array(order[i])), ids.take(pa.array(order[j])), pa.array(area)], [*keys, "a", "b", "area"])
-    if spanning and len(i := np.flatnonzero(label != np.arange(len(label)))):
+    if spanning and len(i := np.flatnonzero(rank != rank[label])):
         j = label[i]
         i, j = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
         own = [pa.repeat(head_value, len(i)) for head_value in (table[k][0] for k in keys)]
@@ -159,10 +145,8 @@ def overlapping(polygons: DataFrame, keys: list[str], key: str, points: str, cel
     polygon's size is right.  Corners may run either way; polygons without area or with unknown corners meet none.
     `spanning` gives only (keys, a, b) of links that connect what the pairs connect: what is connected already is not cut again.
     """
-    p = F.transform(points, lambda c: F.struct(c.x.cast("double").alias("x"), c.y.cast("double").alias("y")))
-    rows = polygons.select(*keys, F.col(key).alias("id"), p.alias("_p")).where(F.col("id").isNotNull())
-    rows = rows.where(F.forall("_p", lambda c: (F.abs(c.x) < 1e15) & (F.abs(c.y) < 1e15)) & (signed_area(F.col("_p")) != 0)).withColumn("_p", counterclockwise(F.col("_p")))
-    rows = rows.select(*keys, "id", F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y"))
+    rows = polygons.select(*keys, F.col(key).alias("id"), *[F.col(points)[c].cast("array<double>").alias(f"_{c}") for c in "xy"])
+    rows = rows.where(F.col("id").isNotNull() & F.forall("_x", lambda v: F.abs(v) < 1e15) & F.forall("_y", lambda v: F.abs(v) < 1e15))
     cells = lambda v: F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell))
     dealt = rows.withColumn("_cx", F.explode(cells("_x"))).withColumn("_cy", F.explode(cells("_y")))
     at = [*keys, "_cx", "_cy"]

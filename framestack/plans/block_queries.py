@@ -169,12 +169,12 @@ ov AS (SELECT a, b, area FROM ar WHERE area > 0.0005)
 """
 
 
-def _overlaps(spark, sf_dir):
+def _overlaps(spark, sf_dir, spanning=False):
     n = F.col("p_partkey")
     x, y, w, h, t = n * 37 % 997 / 10.0, F.col("p_size") * 2.0 + n % 17 / 10.0, 1 + n % 4, 1 + n % 3, n % 31 / 10.0
     corner = lambda a, b: F.struct((x + a * w * F.cos(t) - b * h * F.sin(t)).alias("x"), (y + a * w * F.sin(t) + b * h * F.cos(t)).alias("y"))
     shapes = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("shape"))
-    return polygons.overlapping(shapes, ["p_brand"], "p_partkey", "shape", 8.0, 0.0005)
+    return polygons.overlapping(shapes, ["p_brand"], "p_partkey", "shape", 8.0, 0.0005, spanning)
 
 
 @query("polygon_overlap", SHAPES + "SELECT a, b, round(area + 1e-9, 5) AS area FROM ov")
@@ -188,4 +188,4 @@ def polygon_overlap(spark, sf_dir):
     SELECT node, min(seen) AS component FROM c2 GROUP BY 1""",
 )
 def panels_connected(spark, sf_dir):
-    return joins.components(_overlaps(spark, sf_dir), "a", "b")
+    return joins.components(_overlaps(spark, sf_dir, spanning=True), "a", "b")
