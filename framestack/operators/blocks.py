@@ -45,6 +45,39 @@ def from_pixels(pixels: DataFrame, keys: list[str], y: str, x: str, value: str,
     return rows.groupBy(*keys, "by", "bx").applyInArrow(run, f"{_kinds(rows, [*keys, 'by', 'bx'])}, data binary")
 
 
+def from_sparse(pixels: DataFrame, images: DataFrame, keys: list[str], y: str, x: str, value: str, side: int = SIDE) -> DataFrame:
+    """Blocks of whole images (keys, height, width) of which pixel rows give the means of some pixels; the others are 0, no row is made of them.
+
+    Rows of a pixel repeat; those without a value count nothing.  One shuffle brings the rows of a block together.
+    """
+    at = lambda c: F.floor(F.col(c) / side).cast("int")
+    rows = pixels.where((F.col(y) >= 0) & (F.col(x) >= 0)).select(*keys, at(y).alias("by"), at(x).alias("bx"), (F.col(y) % side * side + F.col(x) % side).cast("int").alias("_at"), F.col(value).cast("double").alias("_v"))
+    count = lambda c: F.ceil(F.col(c) / side) - 1
+    # A long row of blocks is counted up in two steps, so that no array grows with the image.
+    tall = images.where("height > 0 and width > 0").withColumn("by", F.explode(F.sequence(F.lit(0).cast("long"), count("height"))))
+    far = tall.withColumn("_x", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(count("width") / 4096)))).withColumn("bx", F.explode(F.sequence(F.col("_x") * 4096, F.least(F.col("_x") * 4096 + 4095, count("width")))))
+    marks = far.select(*keys, F.col("by").cast("int").alias("by"), F.col("bx").cast("int").alias("bx"), (-F.least(F.lit(side), F.col("height") - F.col("by") * side) * (side + 1) - F.least(F.lit(side), F.col("width") - F.col("bx") * side)).cast("int").alias("_at"), F.lit(None).cast("double").alias("_v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n, own, size = np.zeros(side * side), np.zeros(side * side), None, None
+        for batch in batches:
+            own = batch.slice(0, 1).select([*keys, "by", "bx"]) if own is None and batch.num_rows else own
+            place, known = batch["_at"].to_numpy(), batch["_v"].is_valid().to_numpy(zero_copy_only=False)
+            if (place < 0).any():
+                size = divmod(-int(place.min()), side + 1)
+            known &= place >= 0
+            v = batch["_v"].to_numpy(zero_copy_only=False)[known]
+            total += np.bincount(place[known], v, side * side)
+            n += np.bincount(place[known], minlength=side * side)
+        if size:
+            data = np.full((side, side), np.nan)
+            mean = np.divide(total, n, out=np.zeros(side * side), where=n > 0).reshape(side, side)
+            data[: size[0], : size[1]] = mean[: size[0], : size[1]]
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array([data.astype("<f8").tobytes()], pa.binary())], [*keys, "by", "bx", "data"])
+
+    return rows.unionByName(marks).groupBy(*keys, "by", "bx").applyInArrow(run, f"{_kinds(rows, [*keys, 'by', 'bx'])}, data binary")
+
+
 def from_bands(bands: DataFrame, keys: list[str], side: int = SIDE, kind: str = "<f4") -> DataFrame:
     """Blocks of row bands (keys, y0, rows, width, data) that lie within one row of blocks each; no shuffle where bands are `side` high."""
     schema = f"{_kinds(bands, keys)}, by int, bx int, data binary"
@@ -143,7 +176,9 @@ def lattice_windows(images: DataFrame, nodes: DataFrame, keys: list[str], spacin
     dealt = met.withColumn("ty", F.explode(touched("ny"))).withColumn("tx", F.explode(touched("nx")))
     dealt = dealt.where((F.col("ty") >= 0) & (F.col("tx") >= 0) & (F.col("ty") * side < F.col("out_height")) & (F.col("tx") * side < F.col("out_width")))
     own = [*keys, F.col("ty").cast("int").alias("ty"), F.col("tx").cast("int").alias("tx"), "out_height", "out_width", "height", "width"]
-    tiles = dealt.groupBy(*own).agg(F.collect_list(F.struct("ny", "nx", "sx", "sy")).alias("nodes"), *[f(c).alias(f"{n}_{c}") for c in ("sx", "sy") for f, n in ((F.min, "low"), (F.max, "high"))])
+    # Lists are made once the nodes of a block are together, not in part by the tasks that deal them.
+    dealt = dealt.select(*own, "ny", "nx", "sx", "sy").repartition(*keys, "ty", "tx")
+    tiles = dealt.groupBy(*keys, "ty", "tx", "out_height", "out_width", "height", "width").agg(F.collect_list(F.struct("ny", "nx", "sx", "sy")).alias("nodes"), *[f(c).alias(f"{n}_{c}") for c in ("sx", "sy") for f, n in ((F.min, "low"), (F.max, "high"))])
     (y0, y1), (x0, x1) = _reached(F.col("low_sy"), F.col("high_sy"), F.col("height"), side), _reached(F.col("low_sx"), F.col("high_sx"), F.col("width"), side)
     return tiles.select(*keys, "ty", "tx", "out_height", "out_width", "height", "width", F.lit(None).cast("array<double>").alias("m"), "nodes", y0.alias("y_first"), y1.alias("y_last"), x0.alias("x_first"), x1.alias("x_last"))
 
@@ -205,7 +240,8 @@ def warp(blocks: DataFrame, windows: DataFrame, keys: list[str], side: int = SID
     """
     spread = lambda a, b: F.when((F.col(a) <= F.col(b)) & (F.col(b) >= 0), F.sequence(F.col(a), F.col(b)))
     dealt = windows.withColumn("by", F.explode_outer(spread("y_first", "y_last"))).withColumn("bx", F.explode_outer(spread("x_first", "x_last")))
-    met = dealt.join(blocks.select(*keys, "by", "bx", "data"), [*keys, "by", "bx"], "left")
+    # Windows come from a few rows of images, blocks from files: neither is as small as it looks, so neither may be broadcast.
+    met = dealt.join(blocks.select(*keys, "by", "bx", "data").hint("merge"), [*keys, "by", "bx"], "left")
 
     def run(table: pa.Table) -> pa.Table:
         r = table.slice(0, 1).to_pylist()[0]
@@ -462,7 +498,7 @@ def apertures(stars: DataFrame, blocks: DataFrame, keys: list[str], star: str, x
     named = sound.groupBy(*keys, "_star").agg(F.min(F.struct("_y", "_x")).alias("_p")).select(*keys, "_star", "_p._x", "_p._y")
     dealt = named.withColumn("by", F.explode(ends("_y"))).withColumn("bx", F.explode(ends("_x")))
     lists = dealt.groupBy(*keys, "by", "bx").agg(F.collect_list(F.struct("_star", "_x", "_y")).alias("_stars"))  # stars of one block
-    met = blocks.select(*keys, "by", "bx", "data").join(lists, [*keys, "by", "bx"])
+    met = blocks.select(*keys, "by", "bx", "data").join(lists.hint("merge"), [*keys, "by", "bx"])
     kinds = f"{_kinds(blocks, keys)}, `_star` {stars.schema[star].dataType.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -492,6 +528,6 @@ def apertures(stars: DataFrame, blocks: DataFrame, keys: list[str], star: str, x
     # Centres that an aperture must hold, counted from the star's own fraction of a pixel.
     fx, fy = F.col("_x") - F.floor("_x"), F.col("_y") - F.floor("_y")
     need = F.aggregate(offsets, F.lit(0), lambda n, j: n + F.size(F.filter(offsets, lambda i: (j - fy) * (j - fy) + (i - fx) * (i - fx) < radius * radius)))
-    out = named.withColumn("_need", need).join(sums, [*keys, "_star"], "left")
+    out = named.withColumn("_need", need).join(sums.hint("merge"), [*keys, "_star"], "left")
     background = F.try_divide("_rs", "_rn")
     return out.select(*keys, F.col("_star").alias(star), F.coalesce(F.col("_n"), F.lit(0.0)).cast("long").alias("n"), background.alias("background"), F.when(F.col("_n") == F.col("_need"), F.col("_s") - F.col("_n") * background).alias("flux"))
