@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import blocks, joins, photometry, polygons
-from .registry import query, r, table, tasks
+from .registry import dealt, query, r, table, tasks
 
 ROWS, SIDE = 24, 64
 TILT = 0.0002
@@ -20,19 +20,15 @@ p AS (SELECT g.f, g.y, g.x, coalesce(v.v, 0) AS v FROM g LEFT JOIN v ON g.f = v.
 """
 
 
-def _image(spark, sf_dir):
-    """Every pixel of every image, those without a row 0."""
-    rows = table(spark, sf_dir, "lineitem")
-    known = rows.groupBy(F.col("l_returnflag").alias("f"), (F.col("l_suppkey") % ROWS).alias("y"), F.col("l_partkey").alias("x")).agg(F.avg("l_discount").alias("v"))
-    width = int(rows.agg(F.max("l_partkey")).first()[0] or 0) + 1
-    grid = rows.select(F.col("l_returnflag").alias("f")).distinct().withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ROWS - 1).cast("long")))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))))
-    return grid.join(known, ["f", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0.0))), width
-
-
-def _images(pixels, width, matrix):
+def _images(spark, sf_dir, matrix=None):
+    """(images, blocks, width): a row an image, and all their pixels in blocks; those without a line are 0."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("f"), (F.col("l_suppkey") % ROWS).alias("y"), F.col("l_partkey").alias("x"), F.col("l_discount").alias("v"))
+    width = int(rows.agg(F.max("x")).first()[0] or 0) + 1
     m = F.array(*[F.lit(v) for v in matrix]) if matrix else F.lit(None).cast("array<double>")
     one = lambda v: F.lit(v).cast("int")
-    return pixels.select("f").distinct().select("f", one(ROWS).alias("height"), one(width).alias("width"), one(ROWS).alias("out_height"), one(width).alias("out_width"), m.alias("m"))
+    # The images are written out, as they are read again for blocks and windows.
+    images = joins.cut(rows.select("f").distinct()).select("f", one(ROWS).alias("height"), one(width).alias("width"), one(ROWS).alias("out_height"), one(width).alias("out_width"), m.alias("m"))
+    return images, blocks.from_sparse(rows, images, ["f"], "y", "x", "v", SIDE), width
 
 
 @query(
@@ -45,9 +41,8 @@ def _images(pixels, width, matrix):
     SELECT q.f, q.y, q.x, round(least(max(p.v), greatest(min(p.v), sum(c * p.v) / sum(c))) + 1e-9, 6) AS value FROM q JOIN p ON p.f = q.f AND p.y = q.py AND p.x = q.px GROUP BY 1, 2, 3""",
 )
 def lanczos_warp(spark, sf_dir):
-    pixels, width = _image(spark, sf_dir)
-    held = blocks.from_pixels(pixels, ["f"], "y", "x", "v", SIDE)
-    out = blocks.warp(held, blocks.matrix_windows(_images(pixels, width, MATRIX), ["f"], SIDE), ["f"], SIDE)
+    images, held, _ = _images(spark, sf_dir, MATRIX)
+    out = blocks.warp(held, blocks.matrix_windows(images, ["f"], SIDE), ["f"], SIDE)
     return blocks.to_pixels(out, ["f"], SIDE).select("f", "y", "x", r("value").alias("value"))
 
 
@@ -63,13 +58,14 @@ def lanczos_warp(spark, sf_dir):
     ),
 )
 def lattice_warp(spark, sf_dir):
-    pixels, width = _image(spark, sf_dir)
-    images = _images(pixels, width, None)
-    to = lambda n: F.sequence(F.lit(0), F.lit(-(-n // 8)))
+    images, held, width = _images(spark, sf_dir)
+    last = lambda n: -(-n // 8)
     ny, nx = F.col("ny"), F.col("nx")
-    nodes = images.select("f", F.explode(to(ROWS)).alias("ny")).withColumn("nx", F.explode(to(width)))
+    # Nodes of a row are made by thousands in many tasks: the images are few rows.
+    some = images.select("f", F.explode(F.sequence(F.lit(0), F.lit(last(ROWS)))).alias("ny")).withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(last(width) // 4096))))
+    some = dealt(some, (last(ROWS) + 1) * (last(width) + 1), "f", "ny", "_n")
+    nodes = some.select("f", "ny", F.explode(F.sequence(F.col("_n") * 4096, F.least(F.col("_n") * 4096 + 4095, F.lit(last(width))))).alias("nx"))
     nodes = nodes.withColumns({"sx": nx * 8 + 0.5 + (nx * 7 + ny * 3) % 4 * 0.25, "sy": ny * 8 + 0.25 + (nx + ny * 2) % 4 * 0.125})
-    held = blocks.from_pixels(pixels, ["f"], "y", "x", "v", SIDE)
     out = blocks.warp(held, blocks.lattice_windows(images, nodes, ["f"], 8, SIDE), ["f"], SIDE, linear=True, spacing=8)
     return blocks.to_pixels(out, ["f"], SIDE).select("f", "y", "x", r("value").alias("value"))
 
@@ -103,13 +99,13 @@ FLUX = (
 
 
 def _fluxes(spark, sf_dir):
-    pixels, _ = _image(spark, sf_dir)
+    images, held, _ = _images(spark, sf_dir)
     part = table(spark, sf_dir, "part")
     at = part.select(F.col("p_partkey").alias("star"), (F.col("p_partkey") + F.col("p_size") % 10 / 10.0).alias("x"), (12 + (F.col("p_partkey") % 7 - 3) / 2.0).alias("y"))
     # Three images at most: the flags.
-    flags = [F.lit(row[0]) for row in pixels.select("f").distinct().orderBy("f").limit(100).collect()]
+    flags = [F.lit(row[0]) for row in images.select("f").orderBy("f").limit(100).collect()]
     stars = at.withColumn("f", F.explode(F.array(*flags)))
-    return blocks.apertures(stars, blocks.from_pixels(pixels, ["f"], "y", "x", "v", SIDE), ["f"], "star", "x", "y", *RADII, SIDE)
+    return blocks.apertures(stars, held, ["f"], "star", "x", "y", *RADII, SIDE)
 
 
 @query("aperture_flux", FLUX + "SELECT f, star, n, round(b + 1e-9, 6) AS background, round(flux + 1e-9, 6) AS flux FROM u")
