@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import MADN, clean, over, with_median_mad
+from .joins import cut, held
+from .stats import MADN, clean, exact_quantile, over, with_median_mad
 
 
 def flatness(tiles: DataFrame, keys: list[str], background: str, dark: float = 0.70) -> DataFrame:
@@ -149,6 +150,10 @@ def thinned(df: DataFrame, keys: list[str], x: str, y: str, cell: float, flux: s
     return rows.withColumn("_place", place).where(F.col("_place") <= most).drop("_cx", "_cy", "_turn", "_place")
 
 
+#: Ratios of all frames that throughput() takes medians of at once; of more, they are counted in bins.
+FEW = 1 << 20
+
+
 def throughput(frames: DataFrame, pairs: DataFrame, keys: list[str], frame: str, least: int = 16, clip: float = 4.0) -> DataFrame:
     """(keys, frame, reference, scale, sigma, stars, status, reason): each frame's flux scale to its group's reference.
 
@@ -161,31 +166,44 @@ def throughput(frames: DataFrame, pairs: DataFrame, keys: list[str], frame: str,
     known = frames.groupBy(*keys, frame).agg(F.min("reference").alias("reference"), F.min(clean("exposure")).alias("_e"))
     reference = known.select(*keys, F.col(frame).alias("reference"), F.col("_e").alias("_re"))
     known = known.join(reference, [*keys, "reference"], "left")
-    w = Window.partitionBy(*keys, frame)
-    half = lambda c: F.percentile(c, F.lit(0.5)).over(w)
+    own = {k: f"_k{i}" for i, k in enumerate([*keys, frame])}
+    at = list(own.values())
+
+    def beside(rows: DataFrame, other: DataFrame) -> DataFrame:
+        """Rows with the values of their frame, which stay where they are: a frame may have most of all stars."""
+        return rows.join(other if few else held(other), at)
+
+    def half(rows: DataFrame, value: str, name: str) -> DataFrame:
+        return rows.groupBy(*at).agg(F.percentile(value, F.lit(0.5)).alias(name)) if few else exact_quantile(rows, at, value).withColumnRenamed("quantile", name)
+
     exposed = (F.col("_e") > 0) & (F.col("_re") > 0)
     usable = pairs.where((clean("flux") > 0) & (clean("reference_flux") > 0)).select(*keys, frame, "flux", "reference_flux")
-    rows = usable.join(known.where(exposed), [*keys, frame]).withColumn("_v", F.col("reference_flux") / F.col("flux") * F.col("_e") / F.col("_re"))
-    rows = rows.withColumns({"_n": F.count("*").over(w), "_m": half("_v")}).where(F.col("_n") >= least).where("_v between 0.5 * _m and 2 * _m")
+    rows = cut(usable.join(known.where(exposed), [*own]).select(*[F.col(k).alias(n) for k, n in own.items()], (F.col("reference_flux") / F.col("flux") * F.col("_e") / F.col("_re")).alias("_v")))
+    few = rows.count() <= FEW
+    enough = rows.groupBy(*at).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    rows = cut(beside(rows, half(beside(rows, enough), "_v", "_m")).where("_v between 0.5 * _m and 2 * _m").select(*at, "_v"))
     for _ in range(3):
-        rows = rows.withColumn("_m", half("_v")).withColumn("_s", MADN * half(F.abs(F.col("_v") - F.col("_m"))))
-        rows = rows.withColumn("_k", F.abs(F.col("_v") - F.col("_m")) <= clip * F.col("_s"))
-        rows = rows.withColumn("_left", F.count_if("_k").over(w)).where(F.col("_k") | (F.col("_s") <= 2.220446049250313e-16) | (F.col("_left") < least))
-    rows = rows.withColumn("_m", half("_v"))
-    scales = rows.groupBy(*keys, frame).agg(F.max("_m").alias("_scale"), (MADN * F.percentile(F.abs(F.col("_v") - F.col("_m")), F.lit(0.5))).alias("_sigma"), F.count("*").alias("_stars"))
+        rows = beside(rows, half(rows, "_v", "_m")).withColumn("_d", F.abs(F.col("_v") - F.col("_m")))
+        rows = cut(beside(rows, half(rows, "_d", "_s")).withColumn("_s", MADN * F.col("_s")).withColumn("_k", F.col("_d") <= clip * F.col("_s")))
+        rows = beside(rows, rows.groupBy(*at).agg(F.count_if("_k").alias("_left")))
+        rows = cut(rows.where(F.col("_k") | (F.col("_s") <= 2.220446049250313e-16) | (F.col("_left") < least)).select(*at, "_v"))
+    rows = beside(rows, half(rows, "_v", "_scale")).withColumn("_d", F.abs(F.col("_v") - F.col("_scale")))
+    spread = half(rows, "_d", "_sigma").withColumn("_sigma", MADN * F.col("_sigma"))
+    scales = rows.groupBy(*at).agg(F.max("_scale").alias("_scale"), F.count("*").alias("_stars"))
+    scales = scales.join(spread, at).withColumnsRenamed({n: k for k, n in own.items()})
     counts = usable.groupBy(*keys, frame).agg(F.count("*").alias("_pairs"))
     out = known.join(counts, [*keys, frame], "left").join(scales, [*keys, frame], "left")
-    own = F.col(frame) == F.col("reference")
+    itself = F.col(frame) == F.col("reference")
     fit = exposed & (F.col("_stars") >= least)
     reason = (
-        F.when(own | fit, F.lit(None).cast("string"))
+        F.when(itself | fit, F.lit(None).cast("string"))
         .when(F.col("reference").isNull(), "no reference")
         .when(~F.coalesce(exposed, F.lit(False)), "positive source/reference exposure is required for stellar scale")
         .when(F.coalesce("_pairs", F.lit(0)) < least, "too few positive stellar flux ratios")
         .otherwise("too few bounded stellar flux ratios")
     )
-    status = F.when(own, "REFERENCE_IDENTITY").when(fit, "STELLAR_SCALE_ACCEPTED").otherwise("STELLAR_SCALE_UNAVAILABLE")
-    pick = lambda c, one: F.when(own, F.lit(one)).when(fit, F.col(c))
+    status = F.when(itself, "REFERENCE_IDENTITY").when(fit, "STELLAR_SCALE_ACCEPTED").otherwise("STELLAR_SCALE_UNAVAILABLE")
+    pick = lambda c, one: F.when(itself, F.lit(one)).when(fit, F.col(c))
     return out.select(*keys, frame, "reference", pick("_scale", 1.0).alias("scale"), pick("_sigma", 0.0).alias("sigma"), pick("_stars", None).alias("stars"), status.alias("status"), reason.alias("reason"))
 
 

@@ -130,7 +130,7 @@ def _clip(n: int) -> str:
 )
 def stellar_throughput(spark, sf_dir):
     flux = joins.cut(_fluxes(spark, sf_dir).withColumn("_", F.lit(1)).select("f", "star", "flux"))
-    pairs = flux.join(flux.where("f = 'N'").select("star", F.col("flux").alias("reference_flux")), "star").drop("star")
+    pairs = flux.join(flux.where("f = 'N'").select("star", F.col("flux").alias("reference_flux")).hint("merge"), "star").drop("star")
     frames = flux.select("f").distinct().select("f", F.lit("N").alias("reference"), F.when(F.col("f") == "R", 60.0).otherwise(30.0).alias("exposure"))
     out = photometry.throughput(frames, pairs, [], "f")
     return out.select("f", r("scale", 5).alias("scale"), r("sigma", 5).alias("sigma"), "stars", "status")
